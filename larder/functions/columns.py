@@ -13,11 +13,6 @@ def half_even(c: Column, digits: int = 0) -> Column:
     return F.bround(c, digits)
 
 
-def null_if_nan(c: Column) -> Column:
-    """NaN compares greater than everything in Spark; missing values are NULL here."""
-    return F.nanvl(c, F.lit(None).cast("double"))
-
-
 def max_or_null(a: Column, b: Column) -> Column:
     """Larger of two values, NULL if either is missing (``greatest`` skips NULLs)."""
     return F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b))
@@ -32,13 +27,3 @@ def sum_columns(cols: list[Column]) -> Column:
     """Row sum that skips missing cells; all missing gives 0."""
     zero = F.lit(0.0)
     return reduce(lambda a, b: a + b, (F.coalesce(c.cast("double"), zero) for c in cols), zero)
-
-
-def add_up(cols: list[Column], start: Column | None = None) -> Column:
-    """Plain sum of columns; ``start`` is returned for an empty list."""
-    return reduce(lambda a, b: a + b, cols) if cols else (F.lit(0) if start is None else start)
-
-
-def any_of(conds: list[Column]) -> Column:
-    """OR of conditions, false for an empty list."""
-    return reduce(lambda a, b: a | b, conds) if conds else F.lit(False)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values: (month, day) of the holidays that move off a weekend.
@@ -22,47 +22,39 @@ JUNE_19_FROM = "2021-06-18"
 MONDAY, FRIDAY = 0, 4
 
 
-def _nominal(d: Column) -> Column:
+def _fixed_day(d: str) -> str:
     """Whether a date is one of the fixed-day holidays before any move off a weekend."""
-    md = F.month(d) * 100 + F.dayofmonth(d)
-    return md.isin([m * 100 + day for m, day in FIXED_HOLIDAYS])
+    days = ", ".join(str(100 * m + day) for m, day in FIXED_HOLIDAYS)
+    return f"(100 * month({d}) + day({d}) IN ({days}))"
 
 
-def is_federal_holiday(d: Column) -> Column:
-    """Holiday test on the date alone: no dimension table, no join, no known year range.
+def federal_holiday_sql(d: str = "date") -> str:
+    """Holiday test on a date column alone: no dimension table, no join, no known year range.
 
     A fixed-day holiday on Saturday is observed the Friday before, on Sunday the
     Monday after, so 31 December can be a holiday of the next year.
     """
-    weekday = F.weekday(d)
-    tomorrow, yesterday = F.date_add(d, 1), F.date_sub(d, 1)
-    june = ((F.month(d) == 6) & (d < F.lit(JUNE_19_FROM).cast("date")))
-    observed = (
-        ((weekday <= FRIDAY) & _nominal(d))
-        | ((weekday == FRIDAY) & _nominal(tomorrow))
-        | ((weekday == MONDAY) & _nominal(yesterday))
-    ) & ~june
-    floating = F.lit(False)
-    for month, day, first, last in FLOATING_HOLIDAYS:
-        rule = (F.month(d) == month) & (weekday == day) & F.dayofmonth(d).between(first, last)
-        if month == 1:
-            rule = rule & (d >= F.lit(JANUARY_MONDAY_FROM).cast("date"))
-        floating = floating | rule
-    return observed | floating
+    observed = (f"(weekday({d}) <= {FRIDAY} AND {_fixed_day(d)}"
+                f" OR weekday({d}) = {FRIDAY} AND {_fixed_day(f'date_add({d}, 1)')}"
+                f" OR weekday({d}) = {MONDAY} AND {_fixed_day(f'date_sub({d}, 1)')})"
+                f" AND NOT (month({d}) = 6 AND {d} < DATE'{JUNE_19_FROM}')")
+    floating = [f"month({d}) = {m} AND weekday({d}) = {wd} AND day({d}) BETWEEN {lo} AND {hi}"
+                + (f" AND {d} >= DATE'{JANUARY_MONDAY_FROM}'" if m == 1 else "")
+                for m, wd, lo, hi in FLOATING_HOLIDAYS]
+    return " OR ".join(f"({rule})" for rule in [observed, *floating])
 
 
 def holiday_table(spark: SparkSession, first: str, last: str) -> DataFrame:
     """The holidays between two dates."""
     days = spark.range(1).select(
         F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("date"))
-    return days.filter(is_federal_holiday(F.col("date")))
+    return days.filter(federal_holiday_sql("date"))
 
 
 def calendar_columns(df: DataFrame) -> DataFrame:
     """Recompute day name, weekend and holiday flags from the date."""
-    d = F.col("date")
     return df.withColumns({
-        "day_of_week": F.date_format(d, "EEEE"),
-        "is_weekend": (F.weekday(d) >= 5).cast("int"),
-        "is_holiday": is_federal_holiday(d).cast("int"),
+        "day_of_week": F.date_format("date", "EEEE"),
+        "is_weekend": F.expr("if(weekday(date) >= 5, 1, 0)"),
+        "is_holiday": F.expr(f"if({federal_holiday_sql('date')}, 1, 0)"),
     })

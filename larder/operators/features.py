@@ -37,7 +37,7 @@ def roll_std() -> Column:
 
 def weekday_features() -> dict[str, Column]:
     """Monday is the reference day."""
-    return {f"dow_{k}": (F.weekday("date") == k).cast("double") for k in range(1, 7)}
+    return {f"dow_{k}": F.expr(f"double(weekday(date) = {k})") for k in range(1, 7)}
 
 
 def season_features() -> dict[str, Column]:

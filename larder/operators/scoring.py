@@ -102,3 +102,24 @@ def forecast_vs_actual(forecasts: DataFrame, winners: DataFrame) -> DataFrame:
         forecasts.join(winners.select("series_id", F.col("winner").alias("model")), ["series_id", "model"])
         .select("series_id", "date", "model", "actual", "forecast")
     )
+
+
+def select_on_validation(val_forecasts: DataFrame, val_scale: DataFrame, test_forecasts: DataFrame,
+                         test_scale: DataFrame, registry: list[str]) -> DataFrame:
+    """Members and winner fixed on validation; the test block is scored once.
+
+    Returns ``series_id, model, val_mase, test_mase, test_mae, is_member, is_winner``.
+    """
+    val_scores = score(val_forecasts, val_scale)
+    members = trimmed_members(val_scores)
+    val_all = val_scores.unionByName(score(average(val_forecasts, members), val_scale))
+    test_all = score(test_forecasts.unionByName(average(test_forecasts, members)), test_scale)
+    return (
+        test_all.select("series_id", "model", F.col("mase").alias("test_mase"), F.col("mae").alias("test_mae"))
+        .join(val_all.select("series_id", "model", F.col("mase").alias("val_mase")), ["series_id", "model"])
+        .join(members.withColumn("is_member", F.lit(1)), ["series_id", "model"], "left")
+        .join(winner(val_all, registry).select("series_id", "winner"), "series_id")
+        .select("series_id", "model", "val_mase", "test_mase", "test_mae",
+                F.coalesce("is_member", F.lit(0)).alias("is_member"),
+                (F.col("model") == F.col("winner")).cast("int").alias("is_winner"))
+    )

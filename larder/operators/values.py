@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.functions.columns import any_of, flag, half_even, null_if_nan
-from larder.functions.windows import KEY, ahead, day_number, past, up_to_today, whole
+from larder.functions.columns import flag
+from larder.functions.windows import KEY, day_number, up_to_today, whole
 
 
 def coerce_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     """Text to double; what is not a number becomes NULL."""
-    return df.withColumns({c: null_if_nan(F.expr(f"try_cast(`{c}` AS double)")) for c in columns})
+    numbers = set(columns)
+    return df.selectExpr(*[
+        f"nanvl(try_cast(`{c}` AS double), CAST(NULL AS double)) AS `{c}`" if c in numbers else f"`{c}`"
+        for c in df.columns])
 
 
 def negatives_to_null(df: DataFrame, columns: list[str]) -> DataFrame:
     """Drop impossible negatives; ``negative_cells`` counts them per row."""
-    count = sum((flag(F.col(c) < 0) for c in columns), F.lit(0))
-    kept = {c: F.when(F.col(c) >= 0, F.col(c)) for c in columns}
-    return df.withColumn("negative_cells", count).withColumns(kept)
+    numbers = set(columns)
+    count = " + ".join(f"if(`{c}` < 0, 1, 0)" for c in columns) or "0"
+    kept = [f"CASE WHEN `{c}` >= 0 THEN `{c}` END AS `{c}`" if c in numbers else f"`{c}`" for c in df.columns]
+    return df.selectExpr(*kept, f"{count} AS negative_cells")
 
 
 def null_run_length(df: DataFrame, column: str, output: str = "run_length") -> DataFrame:
@@ -41,13 +45,11 @@ def null_run_length(df: DataFrame, column: str, output: str = "run_length") -> D
             .drop("_t", "_n", "_before", "_after"))
 
 
-def _gap(column: str, max_gap: int) -> tuple[Column, Column, Column]:
-    """(short gap?, nearest present neighbour before, after) from the helper columns."""
-    before, after = F.col(f"_before_{column}"), F.col(f"_after_{column}")
-    from_day = F.when(before.isNotNull(), before["t"]).when(F.col("_t") < max_gap, F.lit(-1))
-    to_day = F.when(after.isNotNull(), after["t"]).when(F.col("_n") - 1 - F.col("_t") < max_gap, F.col("_n"))
-    short = F.col(column).isNull() & flag(to_day - from_day - 1 <= max_gap).cast("boolean")
-    return short, before, after
+def _short_gap(c: str, max_gap: int) -> str:
+    """Whether a row lies in a run of at most ``max_gap`` missing values of ``c``; an end of the series ends a run."""
+    from_day = f"CASE WHEN _before_{c} IS NOT NULL THEN _before_{c}.t WHEN _t < {max_gap} THEN -1 END"
+    to_day = f"CASE WHEN _after_{c} IS NOT NULL THEN _after_{c}.t WHEN _n - 1 - _t < {max_gap} THEN _n END"
+    return f"(`{c}` IS NULL AND coalesce(({to_day}) - ({from_day}) - 1 <= {max_gap}, false))"
 
 
 def fill_short_gaps(df: DataFrame, carried: list[str], interpolated: list[str], max_gap: int = 2,
@@ -66,28 +68,26 @@ def fill_short_gaps(df: DataFrame, carried: list[str], interpolated: list[str],
     if not columns or max_gap < 1:
         return df.withColumn("row_was_imputed", F.lit(0))
     numbered = df.withColumns({"_t": day_number(), "_n": F.count(F.lit(1)).over(whole())})
-    neighbours = {}
+    neighbours = []
     for c in columns:
-        cell = F.when(F.col(c).isNotNull(), F.struct(F.col("_t").alias("t"), F.col(c).alias("v")))
-        neighbours[f"_before_{c}"] = F.last(cell, ignorenulls=True).over(past(max_gap))
-        neighbours[f"_after_{c}"] = F.first(cell, ignorenulls=True).over(ahead(max_gap))
-    numbered = numbered.withColumns(neighbours)
-
-    filled, imputed = {}, []
+        cell = f"if(`{c}` IS NOT NULL, named_struct('t', _t, 'v', `{c}`), NULL)"
+        neighbours += [
+            f"last({cell}, true) OVER (PARTITION BY series_id ORDER BY date "
+            f"ROWS BETWEEN {max_gap} PRECEDING AND 1 PRECEDING) AS _before_{c}",
+            f"first({cell}, true) OVER (PARTITION BY series_id ORDER BY date "
+            f"ROWS BETWEEN 1 FOLLOWING AND {max_gap} FOLLOWING) AS _after_{c}"]
+    fills = []
     for c in columns:
-        short, before, after = _gap(c, max_gap)
-        if c in carried or past_only:
-            candidate = before["v"]
-        else:
-            step = (after["v"] - before["v"]) / (after["t"] - before["t"])
-            candidate = F.coalesce(before["v"] + step * (F.col("_t") - before["t"]), before["v"], after["v"])
-        filled[c] = F.when(short, half_even(candidate)).otherwise(F.col(c))
-        imputed.append(short & candidate.isNotNull())
-    kept = [c for c in df.columns if c not in columns]
-    result = numbered.select(
-        *[F.col(c) for c in kept], *[v.alias(c) for c, v in filled.items()],
-        any_of(imputed).cast("int").alias("row_was_imputed"))
-    return result.select(*df.columns, "row_was_imputed")
+        b, a = f"_before_{c}", f"_after_{c}"
+        candidate = f"{b}.v"
+        if c not in carried and not past_only:
+            candidate = f"coalesce({b}.v + ({a}.v - {b}.v) / ({a}.t - {b}.t) * (_t - {b}.t), {b}.v, {a}.v)"
+        fills.append(f"CASE WHEN {_short_gap(c, max_gap)} THEN bround({candidate}, 0) END AS _fill_{c}")
+    near = numbered.selectExpr("*", *neighbours).selectExpr(*df.columns, *fills)
+    touched = " OR ".join(f"_fill_{c} IS NOT NULL" for c in columns)
+    return near.selectExpr(
+        *[f"coalesce(`{c}`, _fill_{c}) AS `{c}`" if c in columns else f"`{c}`" for c in df.columns],
+        f"if({touched}, 1, 0) AS row_was_imputed")
 
 
 def high_outlier_flag(df: DataFrame, columns: list[str], mult: float = 5.0) -> DataFrame:
@@ -95,14 +95,11 @@ def high_outlier_flag(df: DataFrame, columns: list[str], mult: float = 5.0) -> D
 
     Adds ``has_high_outlier`` and ``high_outlier_columns`` (names on this row).
     """
-    scales = {f"_p99_{c}": F.percentile(c, F.lit(0.99)).over(whole()) for c in columns}
-    scaled = df.withColumns(scales) if scales else df
-    hits = {c: flag((F.col(f"_p99_{c}") > 0) & (F.col(c) > mult * F.col(f"_p99_{c}"))) for c in columns}
-    names = F.array_compact(F.array(*[F.when(h == 1, F.lit(c)) for c, h in hits.items()])) if hits \
-        else F.array().cast("array<string>")
-    return (scaled.withColumn("high_outlier_columns", names)
-            .withColumn("has_high_outlier", flag(F.size("high_outlier_columns") > 0))
-            .drop(*scales))
+    scales = [f"percentile(`{c}`, 0.99) OVER (PARTITION BY series_id) AS _p99_{c}" for c in columns]
+    names = ", ".join(f"if(_p99_{c} > 0 AND `{c}` > {mult} * _p99_{c}, '{c}', NULL)" for c in columns)
+    scaled = df.selectExpr("*", *scales)
+    flagged = scaled.selectExpr(*df.columns, f"array_compact(cast(array({names}) AS array<string>)) AS high_outlier_columns")
+    return flagged.withColumn("has_high_outlier", flag(F.size("high_outlier_columns") > 0))
 
 
 def by_day_order(df: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder import schema
-from larder.functions.columns import add_up
 from larder.functions.windows import whole
 from larder.operators import calendar, checks, diagnostics, rows, values
 
@@ -29,8 +28,8 @@ def repair(raw: DataFrame, roles: dict[str, str] | None = None, max_gap_fill: in
     typed = values.negatives_to_null(values.coerce_numeric(complete, numeric), numeric)
     interpolated = [c for c in numeric if c not in carried]
     filled = values.fill_short_gaps(typed, carried, interpolated, max_gap_fill, past_only)
-    missing = add_up([F.col(c).isNull().cast("int") for c in numeric])
-    return filled.withColumn("missing_cells", missing).withColumnsRenamed({m: f"_{m}" for m in marks})
+    missing = " + ".join(f"if(`{c}` IS NULL, 1, 0)" for c in numeric) or "0"
+    return filled.withColumn("missing_cells", F.expr(missing)).withColumnsRenamed({m: f"_{m}" for m in marks})
 
 
 def annotate(repaired: DataFrame, roles: dict[str, str] | None = None, outlier_k: float = 4.0,

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from larder.operators import policy, splits
 from larder.operators.features import build_features
@@ -15,17 +14,8 @@ DIRTY = {"date_column": "date_text", "sequence": "ingest_seq"}
 
 def emit(df: DataFrame) -> DataFrame:
     """Dates as text and doubles to 6 places, so that two engines can be compared by value."""
-    cols = []
-    for name, kind in df.dtypes:
-        c = F.col(name)
-        if kind == "date":
-            c = c.cast("string")
-        elif kind in ("double", "float"):
-            c = F.round(c, 6)
-        elif kind == "boolean":
-            c = c.cast("int")
-        cols.append(c.alias(name))
-    return df.select(*cols)
+    forms = {"date": "CAST(`{0}` AS string)", "double": "round(`{0}`, 6)", "boolean": "int(`{0}`)"}
+    return df.selectExpr(*[forms.get(kind, "`{0}`").format(name) + f" AS `{name}`" for name, kind in df.dtypes])
 
 
 def daily(spark: SparkSession, sf: str) -> DataFrame:

@@ -145,7 +145,7 @@ FROM {p}fill f JOIN {p}p99 q USING (series_id)"""
   - (units_received - units_used - units_expired)) > 1, FALSE) AS INT) AS inventory_mismatch"""
     ctes[f"{p}dow"] = f"SELECT series_id, isodow(date) AS wd, median(demand_model) AS lvl FROM {p}base GROUP BY 1, 2"
     ctes[f"{p}res"] = f"""
-SELECT b.*, demand_model - lvl AS resid{mismatch},
+SELECT *, demand_model - lvl AS resid{mismatch},
   round_even(avg(demand_model) OVER ({W} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), 1) AS usage_avg_7d
 FROM (SELECT *, isodow(date) AS wd FROM {p}base) JOIN {p}dow USING (series_id, wd)"""
     ctes[f"{p}med"] = f"SELECT series_id, median(resid) AS m FROM {p}res GROUP BY 1"
@@ -193,20 +193,20 @@ FROM (SELECT series_id, n, CAST(round_even(n * CAST(0.15 AS DOUBLE), 0) AS BIGIN
 
 
 def needed(text: str, done: list[str]) -> None:
-    """Collect, in order of definition, the tables a query refers to."""
+    """Collect the tables a query refers to, directly or through others."""
     import re
     words = set(re.findall(r"\w+", text))
     for name in CTES:
         if name in words and name not in done:
-            needed(CTES[name], done)
             done.append(name)
+            needed(CTES[name], done)
 
 
 def query(body: str) -> str:
     """A complete statement: the tables ``body`` refers to, then ``body``."""
     names: list[str] = []
     needed(body, names)
-    names.sort(key=list(CTES).index)
+    names.sort(key=list(CTES).index)  # a table is defined after those it reads
     if not names:
         return body
     recursive = "RECURSIVE " if any("UNION ALL" in CTES[n] and n in RECURSIVE for n in names) else ""
