@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_VALUES = 4_000_000
+MAX_VALUES = 8_000_000
 
 
 def as_arrays(df: DataFrame, columns: list[str], keep: list[str] = (), key: str = "series_id") -> DataFrame:

@@ -14,6 +14,10 @@ from larder.functions.columns import half_even
 from larder.functions.windows import by_day
 from larder.operators.splits import SEASON
 
+# Sums of doubles depend on the order rows arrive in; scores are ranked to this many places,
+# so that equal forecasts tie.
+RANK_PLACES = 9
+
 BASELINE = "seasonal_naive"
 ENSEMBLE = "avg_trimmed"
 
@@ -55,8 +59,8 @@ def trimmed_members(scores: DataFrame, baseline: str = BASELINE) -> DataFrame:
     better = F.filter("_all", lambda m: (m["model"] != baseline) & (m["mase"] < F.col("_base")))
     kept = (
         scores.filter(F.col("model") != ENSEMBLE).groupBy("series_id").agg(
-            F.collect_list(F.struct("model", "mase")).alias("_all"),
-            F.max(F.when(F.col("model") == baseline, F.col("mase"))).alias("_base"))
+            F.collect_list(F.struct("model", F.round("mase", RANK_PLACES).alias("mase"))).alias("_all"),
+            F.max(F.when(F.col("model") == baseline, F.round("mase", RANK_PLACES))).alias("_base"))
         .withColumn("_better", F.transform(better, lambda m: m["model"]))
     )
     chosen = F.when(F.size("_better") > 0, F.col("_better")).otherwise(F.array(F.lit(baseline)))
@@ -84,9 +88,9 @@ def with_ensemble(forecasts: DataFrame, scores: DataFrame) -> DataFrame:
 def winner(scores: DataFrame, registry: list[str]) -> DataFrame:
     """Lowest MASE per series; a tie goes to the earlier registry entry."""
     ranked = scores.filter(F.col("mase").isNotNull()).withColumn("_rank", rank_of(registry))
-    key = F.struct("mase", "_rank")
+    key = F.struct(F.round("mase", RANK_PLACES), F.col("_rank"))
     return ranked.groupBy("series_id").agg(
-        F.min_by("model", key).alias("winner"), F.min("mase").alias("winner_mase"))
+        F.min_by("model", key).alias("winner"), F.min_by("mase", key).alias("winner_mase"))
 
 
 def score_table(scores: DataFrame, registry: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from larder.operators import policy, splits
 from larder.operators.features import build_features
 from larder.plans.cleaning import clean_daily, clean_marked
+from larder.session import stored
 from larder.sources import lineitem
 
 DIRTY = {"date_column": "date_text", "sequence": "ingest_seq"}
@@ -38,8 +39,29 @@ def marked_dirty(spark: SparkSession, sf: str) -> DataFrame:
     return clean_marked(dirty(spark, sf), **DIRTY)
 
 
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _once(spark: SparkSession, sf: str, label: str, make) -> DataFrame:
+    """A table written to the shared folder the first time a session asks for it."""
+    key = (spark.sparkContext.applicationId, sf, label)
+    if key not in _STORED:
+        _STORED[key] = stored(make(), label)
+    return _STORED[key]
+
+
+def clean_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The cleaned daily table, written once: every later job starts from it."""
+    return _once(spark, sf, "clean", lambda: clean(spark, sf))
+
+
 def features(spark: SparkSession, sf: str) -> DataFrame:
-    return build_features(clean(spark, sf))
+    return build_features(clean_table(spark, sf))
+
+
+def feature_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The feature matrix, written once; models and scores read it many times."""
+    return _once(spark, sf, "features", lambda: features(spark, sf))
 
 
 def window(feats: DataFrame, test_days: int = 168) -> DataFrame:
@@ -48,4 +70,4 @@ def window(feats: DataFrame, test_days: int = 168) -> DataFrame:
 
 def policy_input(spark: SparkSession, sf: str) -> DataFrame:
     """Demand, trailing-mean forecast and mean of every series."""
-    return policy.fallback_forecast(clean(spark, sf))
+    return policy.fallback_forecast(clean_table(spark, sf))

@@ -11,7 +11,8 @@ from larder.plans import cleaning
 from larder.session import new_path
 from larder.sources import daily as sources
 from larder.sources.sink import write_report
-from registry.common import clean, clean_dirty, daily, dirty, emit, features, marked_dirty, window
+from registry.common import (clean, clean_dirty, clean_table, daily, dirty, emit, feature_table, features,
+                             marked_dirty, window)
 
 DIRTY_NUMBERS = ["units_used", "units_requested", "driver_census_a"]
 
@@ -29,7 +30,7 @@ def short_history(spark, sf):
 
 
 def report_sink(spark, sf):
-    profile = diagnostics.realism_profile(clean(spark, sf))
+    profile = diagnostics.realism_profile(clean_table(spark, sf))
     return emit(write_report(profile, new_path(spark, "report")))
 
 
@@ -150,11 +151,11 @@ def cleaning_report(spark, sf):
 
 
 def df_stationarity(spark, sf):
-    return emit(diagnostics.stationarity(clean(spark, sf)))
+    return emit(diagnostics.stationarity(clean_table(spark, sf)))
 
 
 def seasonal_trend_strength(spark, sf):
-    return emit(diagnostics.strength(clean(spark, sf)))
+    return emit(diagnostics.strength(clean_table(spark, sf)))
 
 
 def clean_daily(spark, sf):
@@ -166,7 +167,7 @@ def clean_dirty_daily(spark, sf):
 
 
 def realism_profile(spark, sf):
-    return emit(diagnostics.realism_profile(clean(spark, sf)))
+    return emit(diagnostics.realism_profile(clean_table(spark, sf)))
 
 
 def _feature_columns(names):
@@ -176,11 +177,11 @@ def _feature_columns(names):
 
 
 def exog_fill_bfill(spark, sf):
-    return emit(feat.exog_fill_bfill(feat.exog_matrix(features(spark, sf))).drop("t"))
+    return emit(feat.exog_fill_bfill(feat.exog_matrix(feature_table(spark, sf))).drop("t"))
 
 
 def _train_exog(spark, sf):
-    feats = features(spark, sf)
+    feats = feature_table(spark, sf)
     blocks = splits.pct_split(feats).select("series_id", "train_size")
     exog = feat.exog_matrix(feats).join(blocks, "series_id")
     return feat.exog_fill_train_mean(exog, F.col("train_size"))
@@ -191,7 +192,7 @@ def exog_fill_trainmean(spark, sf):
 
 
 def scale_full(spark, sf):
-    filled = feat.exog_fill_bfill(feat.exog_matrix(features(spark, sf)))
+    filled = feat.exog_fill_bfill(feat.exog_matrix(feature_table(spark, sf)))
     return emit(feat.scale_full(filled, feat.EXOG).drop("t"))
 
 
@@ -200,11 +201,11 @@ def scale_train(spark, sf):
 
 
 def complete_rows(spark, sf):
-    return emit(feat.complete_rows(features(spark, sf)).drop("y"))
+    return emit(feat.complete_rows(feature_table(spark, sf)).drop("y"))
 
 
 def backtest_window(spark, sf):
-    return emit(splits.backtest_window(features(spark, sf)))
+    return emit(splits.backtest_window(feature_table(spark, sf)))
 
 
 def backtest_rejects(spark, sf):
@@ -213,16 +214,16 @@ def backtest_rejects(spark, sf):
 
 
 def pct_split(spark, sf):
-    return emit(splits.pct_split(features(spark, sf)))
+    return emit(splits.pct_split(feature_table(spark, sf)))
 
 
 def rolling_origin(spark, sf):
-    feats = features(spark, sf)
+    feats = feature_table(spark, sf)
     return emit(splits.fold_summary(splits.with_split(feats, window(feats)), 14))
 
 
 def time_series_folds(spark, sf):
-    return emit(splits.time_series_folds(feat.complete_rows(features(spark, sf))))
+    return emit(splits.time_series_folds(feat.complete_rows(feature_table(spark, sf))))
 
 
 QUERIES = {f.__name__: f for f in [

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from larder.functions.labels import readable
 from larder.operators import drivers, ledger, naive, policy, scoring, splits
 from larder.schema import stock_columns
-from registry.common import clean, daily, emit, features, policy_input, window
+from registry.common import clean_table, daily, emit, feature_table, policy_input, window
 
 STOCK = stock_columns(5)
 REGISTRY = ["seasonal_naive", "naive_1", "naive_14", "mean_7"]
 
 
 def _base(spark, sf):
-    return features(spark, sf).select("series_id", "date", "t", "y")
+    return feature_table(spark, sf).select("series_id", "date", "t", "y")
 
 
 def naive_forecasts(base):
@@ -102,7 +102,7 @@ def interval_error_std(spark, sf):
 def _ordered(spark, sf):
     """Order-up-to on every recorded day: position = recorded stock, forecast = trailing mean."""
     s = policy.Scenario()
-    base = clean(spark, sf)
+    base = clean_table(spark, sf)
     total = base.select("series_id", "date", policy.sum_columns([F.col(c) for c in STOCK]).alias("position"))
     inputs = policy.fallback_forecast(base)
     sigma = policy.interval_error_std(inputs, s.horizon)
@@ -170,7 +170,7 @@ def arrival_split(spark, sf):
 
 
 def emergency_topup(spark, sf):
-    base = clean(spark, sf)
+    base = clean_table(spark, sf)
     on_shelf = policy.sum_columns([F.col(c) for c in STOCK])
     return emit(base.select("series_id", "date", on_shelf.alias("on_shelf"), policy.emergency_topup(
         F.col("demand_model"), on_shelf, F.lit(10)).alias("courier")))
@@ -187,11 +187,11 @@ def policy_kpis(spark, sf):
 
 
 def current_kpis(spark, sf):
-    return emit(policy.current_kpis(clean(spark, sf)))
+    return emit(policy.current_kpis(clean_table(spark, sf)))
 
 
 def policy_comparison(spark, sf):
-    base = clean(spark, sf)
+    base = clean_table(spark, sf)
     inputs = policy.fallback_forecast(base)
     new = ledger.policy_kpis(ledger.stock_ledger(inputs, [policy.Scenario()]), ledger.series_means(inputs))
     return emit(policy.policy_comparison(policy.current_kpis(base), new))
@@ -212,7 +212,7 @@ def stock_over_time(spark, sf):
 
 def _coefficients(spark, sf):
     """Regression slopes of demand on each feature alone, standing in for model coefficients."""
-    return drivers.single_slopes(features(spark, sf))
+    return drivers.single_slopes(feature_table(spark, sf))
 
 
 def season_driver(spark, sf):
