@@ -89,29 +89,29 @@ def centred(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def elastic_paths(cov: np.ndarray, cross: np.ndarray, l1: np.ndarray, alphas: np.ndarray,
-                  sweeps: int = 1000, tol: float = 1e-5) -> np.ndarray:
+                  sweeps: int = 1000, tol: float = 1e-4) -> np.ndarray:
     """Elastic-net coefficients along a falling penalty, for many problems at once.
 
     Problem k minimises b'Cb/2 - c'b + alpha * (l1 |b|_1 + (1 - l1) |b|^2 / 2) with its own
     C (``cov``), c (``cross``), ``l1`` and ``alphas``; each penalty starts from the previous
-    solution.  Returns (penalties, problems, columns).
+    solution and ends when no coefficient moves by more than ``tol`` of the largest.
+    Returns (penalties, problems, columns).
     """
     problems, width = cross.shape
     b = np.zeros((problems, width))
     diagonal = np.einsum("kjj->kj", cov)
+    live = diagonal > 1e-12
+    columns = [np.ascontiguousarray(cov[:, j]) for j in range(width)]
     out = np.zeros((alphas.shape[1], problems, width))
     for a in range(alphas.shape[1]):
-        lasso, ridge = alphas[:, a] * l1, alphas[:, a] * (1 - l1)
+        lasso = alphas[:, a] * l1
+        scale = np.where(live, diagonal + (alphas[:, a] * (1 - l1))[:, None], 1.0)
         for _ in range(sweeps):
-            moved = 0.0
+            before = b.copy()
             for j in range(width):
-                rest = cross[:, j] - np.einsum("ki,ki->k", cov[:, j], b) + diagonal[:, j] * b[:, j]
-                scale = diagonal[:, j] + ridge
-                new = np.sign(rest) * np.maximum(np.abs(rest) - lasso, 0.0) / np.where(scale > 0, scale, 1.0)
-                new = np.where(diagonal[:, j] > 1e-12, new, 0.0)
-                moved = max(moved, float(np.max(np.abs(new - b[:, j]) * np.sqrt(np.maximum(diagonal[:, j], 0)))))
-                b[:, j] = new
-            if moved <= tol * float(np.max(np.abs(cross)) + 1e-12):
+                rest = cross[:, j] - np.einsum("ki,ki->k", columns[j], b) + diagonal[:, j] * b[:, j]
+                b[:, j] = live[:, j] * (rest - np.clip(rest, -lasso, lasso)) / scale[:, j]
+            if np.all(np.abs(b - before).max(axis=1) <= tol * np.abs(b).max(axis=1)):
                 break
         out[a] = b
     return out
@@ -128,65 +128,74 @@ def split_days(first: int, end: int, past_only: bool) -> list[tuple[int, int]]:
     return [(int(edges[i]), int(edges[i + 1])) for i in range(CV_SPLITS)]
 
 
-def fit_elastic_net(sums: Sums, first: int, end: int, past_only: bool = True, n_alphas: int = N_ALPHAS,
-                    l1_ratios: tuple[float, ...] = L1_RATIOS) -> dict:
-    """Penalties by cross-validation and the final fit on the rows [first, end).
+def fit_elastic_net(sums: Sums, first: int, ends: list[int], past_only: bool = True, n_alphas: int = N_ALPHAS,
+                    l1_ratios: tuple[float, ...] = L1_RATIOS) -> list[dict]:
+    """Penalties by cross-validation and the final fit, for each training slice [first, end).
 
     Columns are standardised on the whole training slice (population deviation).
     The target is the last column.  With ``past_only`` every validation block is
-    judged by a fit on earlier rows, otherwise on all other rows.
+    judged by a fit on earlier rows, otherwise on all other rows.  All slices,
+    validation splits and ratios are solved side by side.
     """
+    l1 = np.array(l1_ratios)
+    span = np.logspace(0, np.log10(ALPHA_SPAN), n_alphas)
     start = sums.before(first)
-    whole = sums.before(end) - start
-    cov, mean = centred(whole)
-    sd = np.sqrt(np.maximum(np.diag(cov)[:-1], 0.0))
-    sd = np.where(sd > 1e-12, sd, 1.0)
+    slices, problems = [], []
+    for end in ends:
+        whole = sums.before(end) - start
+        cov, mean = centred(whole)
+        sd = np.sqrt(np.maximum(np.diag(cov)[:-1], 0.0))
+        sd = np.where(sd > 1e-12, sd, 1.0)
+        full = _standard(whole, mean, sd)
+        alphas = (np.max(np.abs(full[1])) / l1)[:, None] * span[None, :]
+        slices.append((mean, sd, full, alphas))
+        for lo, hi in split_days(first, end, past_only):
+            held = sums.before(hi) - sums.before(lo)
+            train = (sums.before(lo) - start) if past_only else whole - held
+            if train[0, 0] > 1 and held[0, 0] > 0:
+                problems.append((len(slices) - 1, _standard(train, mean, sd), _standard(held, mean, sd)))
+
+    errors = np.zeros((len(slices), n_alphas, len(l1)))
+    if problems:
+        paths = elastic_paths(
+            np.repeat(np.stack([p[1][0] for p in problems]), len(l1), axis=0),
+            np.repeat(np.stack([p[1][1] for p in problems]), len(l1), axis=0),
+            np.tile(l1, len(problems)), np.concatenate([slices[p[0]][3] for p in problems]))
+        for k, (at, (_, _, mx, my, _), (hc, hx, hmx, hmy, hvar)) in enumerate(problems):
+            b = paths[:, k * len(l1):(k + 1) * len(l1)]
+            # Mean squared error on the held-out rows, from their own moments.
+            bias = (hmy - my) - np.einsum("alj,j->al", b, hmx - mx)
+            errors[at] += hvar - 2 * b @ hx + np.einsum("ali,ij,alj->al", b, hc, b) + bias ** 2
+    ratio, penalty = np.divmod(np.argmin(errors.transpose(0, 2, 1).reshape(len(slices), -1), axis=1), n_alphas)
+    chosen = np.stack([s[3][r] for s, r in zip(slices, ratio)])
+    final = elastic_paths(np.stack([s[2][0] for s in slices]), np.stack([s[2][1] for s in slices]), l1[ratio], chosen)
+    fits = []
+    for k, (mean, sd, _, _) in enumerate(slices):
+        b = final[penalty[k], k]
+        fits.append({"alpha": float(chosen[k, penalty[k]]), "l1_ratio": float(l1[ratio[k]]), "standard": b,
+                     "coef": b / sd, "intercept": float(mean[-1] - (b / sd) @ mean[:-1])})
+    return fits
 
-    def standard(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        c, mu = centred(m)
-        return c[:-1, :-1] / np.outer(sd, sd), c[:-1, -1] / sd, (mu[:-1] - mean[:-1]) / sd, mu[-1]
 
-    full_cov, full_cross, _, _ = standard(whole)
-    l1 = np.array(l1_ratios)
-    top = np.max(np.abs(full_cross)) / l1
-    alphas = top[:, None] * np.logspace(0, np.log10(ALPHA_SPAN), n_alphas)[None, :]
+def _standard(m: np.ndarray, mean: np.ndarray, sd: np.ndarray):
+    """(covariances, covariances with the target, means, target mean, target variance) in units of ``sd``."""
+    c, mu = centred(m)
+    return c[:-1, :-1] / np.outer(sd, sd), c[:-1, -1] / sd, (mu[:-1] - mean[:-1]) / sd, mu[-1], c[-1, -1]
+
 
-    errors = np.zeros((n_alphas, len(l1)))
-    used = 0
+def fit_least_squares(sums: Sums, first: int, ends: list[int]) -> list[dict]:
+    """Ordinary least squares on each slice [first, end); a column without variation gets 0."""
     fits = []
-    for lo, hi in split_days(first, end, past_only):
-        held = sums.before(hi) - sums.before(lo)
-        train = (sums.before(lo) - start) if past_only else whole - held
-        if train[0, 0] > 1 and held[0, 0] > 0:
-            fits.append((standard(train), standard(held), held))
-    if fits:
-        covs = np.repeat(np.stack([f[0][0] for f in fits]), len(l1), axis=0)
-        crosses = np.repeat(np.stack([f[0][1] for f in fits]), len(l1), axis=0)
-        paths = elastic_paths(covs, crosses, np.tile(l1, len(fits)), np.tile(alphas, (len(fits), 1)))
-        for k, ((_, _, mx, my), (hc, hx, hmx, hmy), held) in enumerate(fits):
-            b = paths[:, k * len(l1):(k + 1) * len(l1)]
-            # Mean squared error on the held-out rows, from their own moments.
-            bias = (hmy - my) - np.einsum("alj,j->al", b, hmx - mx)
-            var_y = centred(held)[0][-1, -1]
-            errors += var_y - 2 * b @ hx + np.einsum("ali,ij,alj->al", b, hc, b) + bias ** 2
-            used += 1
-    pick = np.unravel_index(np.argmin(errors.T), errors.T.shape) if used else (len(l1) - 1, n_alphas - 1)
-    row, at = int(pick[0]), int(pick[1])
-    b = elastic_paths(full_cov[None], full_cross[None], l1[row:row + 1], alphas[row:row + 1, :at + 1])[-1, 0]
-    return {"alpha": float(alphas[row, at]), "l1_ratio": float(l1[row]), "standard": b, "coef": b / sd,
-            "intercept": float(mean[-1] - (b / sd) @ mean[:-1])}
-
-
-def fit_least_squares(sums: Sums, first: int, end: int) -> dict:
-    """Ordinary least squares; a column without variation gets 0."""
-    cov, mean = centred(sums.before(end) - sums.before(first))
-    sd = np.sqrt(np.maximum(np.diag(cov)[:-1], 0.0))
-    live = sd > 1e-9 * (1.0 + np.abs(mean[:-1]))
-    scale = np.where(live, sd, 1.0)
-    corr = cov[:-1, :-1] / np.outer(scale, scale) * np.outer(live, live)
-    b = np.linalg.lstsq(corr, cov[:-1, -1] / scale * live, rcond=1e-10)[0] / scale
-    return {"alpha": None, "l1_ratio": None, "standard": b * sd, "coef": b,
-            "intercept": float(mean[-1] - b @ mean[:-1])}
+    for end in ends:
+        cov, mean = centred(sums.before(end) - sums.before(first))
+        sd = np.sqrt(np.maximum(np.diag(cov)[:-1], 0.0))
+        live = sd > 1e-9 * (1.0 + np.abs(mean[:-1]))
+        scale = np.where(live, sd, 1.0)
+        corr = cov[:-1, :-1] / np.outer(scale, scale) * np.outer(live, live)
+        b = np.linalg.lstsq(corr, cov[:-1, -1] / scale * live, rcond=1e-10)[0] / scale
+        fits.append({"alpha": None, "l1_ratio": None, "standard": b * sd, "coef": b,
+                     "intercept": float(mean[-1] - b @ mean[:-1])})
+    return fits
 
 
 FIT_SCHEMA = ("series_id string, candidate string, fold int, alpha double, l1_ratio double, intercept double, "
@@ -210,7 +219,7 @@ def block_starts_sql(refit_every: int, past_only: bool | None) -> str:
 
 
 def fold_fits(prepared: DataFrame, columns: list[str], refit_every: int, past_only: bool | None,
-              fit: Callable[[Sums, int, int], dict]) -> DataFrame:
+              fit: Callable[[Sums, int, list[int]], list[dict]]) -> DataFrame:
     """Coefficients per series, candidate and fold.
 
     ``prepared`` has ``series_id, candidate, t, t0, n`` and the columns, target last.
@@ -226,8 +235,7 @@ def fold_fits(prepared: DataFrame, columns: list[str], refit_every: int, past_on
         t0, n = int(pdf["t0"].iloc[0]), int(pdf["n"].iloc[0])
         sums = Sums(pdf, np.asarray(pdf["starts"].iloc[0]), len(columns))
         rows = []
-        for fold, end in enumerate(range(t0, n, refit_every)):
-            f = fit(sums, WARMUP, end)
+        for fold, f in enumerate(fit(sums, WARMUP, list(range(t0, n, refit_every)))):
             rows.append((pdf["series_id"].iloc[0], pdf["candidate"].iloc[0], fold, f["alpha"], f["l1_ratio"],
                          f["intercept"], f["coef"], f["standard"]))
         return pd.DataFrame(rows, columns=["series_id", "candidate", "fold", "alpha", "l1_ratio", "intercept",
@@ -326,13 +334,14 @@ def _with_differences(df: DataFrame, orders: list) -> DataFrame:
 
 
 def arx(features: DataFrame, split: DataFrame, refit_every: int = 28, orders: list | None = None,
-        name: str | None = "sarimax") -> DataFrame:
+        name: str | None = "sarimax", only: DataFrame | None = None) -> DataFrame:
     """Test-block forecasts of an autoregression on differenced demand and four drivers.
 
     Coefficients are estimated anew every ``refit_every`` days; in between the
     lags roll on with the actual values.  Drivers' leading gaps take the mean of
     the rows before the test block, and scaling is part of the fit, so nothing
-    looks ahead.  Several ``orders`` become several models, from one job.
+    looks ahead.  Several ``orders`` become several models, from one job; ``only``
+    (``series_id, candidate``) says which series needs which of them.
     """
     wanted = orders or [DEFAULT_ORDER]
     joined = features.select("series_id", "date", "t", "y", *EXOG).join(split, "series_id").filter(F.col("t") < F.col("n"))
@@ -340,6 +349,8 @@ def arx(features: DataFrame, split: DataFrame, refit_every: int = 28, orders: li
     rows = _with_differences(filled, wanted).select(
         "series_id", "date", "t", "n", "t0", "y", *EXOG,
         F.inline(F.array(*[_candidate(o, s) for o, s in wanted])))
+    if only is not None:
+        rows = rows.join(only, ["series_id", "candidate"], "left_semi")
     columns = [*AR_COLUMNS, *EXOG]
     fits = fold_fits(rows, [*columns, "_target"], refit_every, None, fit_least_squares)
     days = forecast_days(rows).withColumn("fold", fold_number(refit_every))

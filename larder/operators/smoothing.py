@@ -58,32 +58,48 @@ def holt_winters_days(y: np.ndarray, weights: list[tuple[float, float, float, fl
     On a day without a value the model believes its own forecast.
     """
     days, lanes = y.shape
-    alpha, beta, gamma, phi = (np.array(w)[None, :] for w in zip(*weights))
-    head = y[:2 * SEASON]
-    filled = np.where(np.isnan(head), _mean(head), head)
-    level0 = filled[:SEASON].mean(axis=0)
-    trend0 = (filled[SEASON:].mean(axis=0) - level0) / SEASON if variant.trend and days >= 2 * SEASON else np.zeros(lanes)
-    level = np.repeat(level0[:, None], alpha.size, axis=1)
-    trend = np.repeat(trend0[:, None], alpha.size, axis=1)
-    week = filled[:SEASON]
-    start = week / np.where(level0 == 0, 1.0, level0) if variant.multiplicative else week - level0
-    season = np.repeat(start[:, :, None], alpha.size, axis=2)
-    out = np.full((days, lanes, alpha.size), np.nan)
+    columns = tuple(np.array(w)[None, :] for w in zip(*weights))
+    state = holt_winters_start(y[:2 * SEASON], len(weights), variant)
+    out = np.full((days, lanes, len(weights)), np.nan)
     for t in range(days):
-        s = season[t % SEASON]
-        base = level + phi * trend
-        forecast = base * s if variant.multiplicative else base + s
-        out[t] = forecast
-        value = np.where(np.isnan(y[t])[:, None], forecast, y[t][:, None])
-        without_season = _ratio(value, s) if variant.multiplicative else value - s
-        new_level = alpha * without_season + (1 - alpha) * base
-        trend = beta * (new_level - level) + (1 - beta) * phi * trend
-        without_level = _ratio(value, base) if variant.multiplicative else value - base
-        season[t % SEASON] = gamma * without_level + (1 - gamma) * s
-        level = new_level
+        out[t] = holt_winters_forecast(state, t, columns, variant)
+        value = np.where(np.isnan(y[t])[:, None], out[t], y[t][:, None])
+        holt_winters_learn(state, t, value, columns, variant)
     return out
 
 
+def holt_winters_start(head: np.ndarray, settings: int, variant: Variant = DEFAULT_VARIANT) -> dict:
+    """Level, trend and season per lane and setting from the first two weeks (days, lanes)."""
+    filled = np.where(np.isnan(head), _mean(head), head)
+    level = filled[:SEASON].mean(axis=0)
+    enough = variant.trend and len(head) >= 2 * SEASON
+    trend = (filled[SEASON:].mean(axis=0) - level) / SEASON if enough else np.zeros(head.shape[1])
+    week = filled[:SEASON]
+    season = week / np.where(level == 0, 1.0, level) if variant.multiplicative else week - level
+    return {"level": np.repeat(level[:, None], settings, axis=1), "trend": np.repeat(trend[:, None], settings, axis=1),
+            "season": np.repeat(season[:, :, None], settings, axis=2)}
+
+
+def holt_winters_forecast(state: dict, t: int, weights: tuple, variant: Variant = DEFAULT_VARIANT) -> np.ndarray:
+    base = state["level"] + weights[3] * state["trend"]
+    season = state["season"][t % SEASON]
+    return base * season if variant.multiplicative else base + season
+
+
+def holt_winters_learn(state: dict, t: int, value: np.ndarray, weights: tuple,
+                       variant: Variant = DEFAULT_VARIANT) -> None:
+    """Move level, trend and season on by one day's value."""
+    alpha, beta, gamma, phi = weights
+    season = state["season"][t % SEASON]
+    base = state["level"] + phi * state["trend"]
+    without_season = _ratio(value, season) if variant.multiplicative else value - season
+    level = alpha * without_season + (1 - alpha) * base
+    state["trend"] = beta * (level - state["level"]) + (1 - beta) * phi * state["trend"]
+    without_level = _ratio(value, base) if variant.multiplicative else value - base
+    state["season"][t % SEASON] = gamma * without_level + (1 - gamma) * season
+    state["level"] = level
+
+
 def _mean(a: np.ndarray) -> np.ndarray:
     """Column means over the present values, 0 where there is none."""
     n = (~np.isnan(a)).sum(axis=0)
@@ -167,6 +183,30 @@ def holt_winters(features: DataFrame, split: DataFrame, refit_every: int = 14,
     return run_lanes(_arrays(features, split), step, LONG_SCHEMA, values_per_day=3 * widest)
 
 
+def holt_winters_weights(features: DataFrame, split: DataFrame, refit_every: int = 14) -> DataFrame:
+    """Versioned weights: per series and refit day the setting with the smallest past error.
+
+    ``series_id, version, valid_from, valid_to, alpha, beta, gamma``; a version holds on the
+    days from ``valid_from`` up to, not including, ``valid_to``.
+    """
+    grid = DEFAULT_VARIANT.weights()
+
+    def step(rows: pd.DataFrame, longest: int) -> pd.DataFrame:
+        y = padded(rows["y"], longest)
+        best = np.argmin(past_squares(y, holt_winters_days(y, grid)), axis=2)
+        out = []
+        for k, row in rows.iterrows():
+            first = pd.Timestamp(np.asarray(row["date"])[0])
+            for version, day in enumerate(range(int(row["t0"]), int(row["n"]), refit_every)):
+                until = min(day + refit_every, int(row["n"]))
+                out.append((row["series_id"], version, (first + pd.Timedelta(days=day)).date(),
+                            (first + pd.Timedelta(days=until)).date(), *grid[best[day, k]][:3]))
+        return pd.DataFrame(out, columns=["series_id", "version", "valid_from", "valid_to", "alpha", "beta", "gamma"])
+
+    schema = ("series_id string, version int, valid_from date, valid_to date, alpha double, beta double, gamma double")
+    return run_lanes(_arrays(features, split), step, schema, values_per_day=3 * len(grid))
+
+
 # -- Theta --------------------------------------------------------------------------------------
 
 THETA_LEVELS = (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8)
