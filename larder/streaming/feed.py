@@ -15,9 +15,15 @@ def daily_demand(transactions: DataFrame, series_id: Column, measures: dict[str,
     State is one partial aggregate per open day and series; rows later than
     ``delay`` are dropped by the watermark.
     """
-    keyed = transactions.withColumn("series_id", series_id).withWatermark(time, delay)
-    rolled = keyed.groupBy(F.window(time, "1 day"), "series_id").agg(*[c.alias(n) for n, c in measures.items()])
-    return rolled.select("series_id", F.col("window.start").cast("date").alias("date"), *measures)
+    kind = dict(transactions.dtypes)[time]
+    # Days are UTC days, whatever the session's time zone.
+    instant = F.expr(
+        f"make_timestamp_ltz(year({time}), month({time}), day({time}), hour({time}), minute({time}), "
+        f"extract(SECOND FROM {time}), 'UTC')") if kind == "timestamp_ntz" else F.col(time)
+    keyed = transactions.withColumns({"series_id": series_id, "_at": instant}).withWatermark("_at", delay)
+    rolled = keyed.groupBy(F.window("_at", "1 day"), "series_id").agg(*[c.alias(n) for n, c in measures.items()])
+    day = F.date_from_unix_date((F.unix_seconds("window.start") / 86400).cast("int"))
+    return rolled.select("series_id", day.alias("date"), *measures)
 
 
 def run_to_end(stream: DataFrame, label: str) -> DataFrame:

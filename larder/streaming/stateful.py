@@ -60,7 +60,7 @@ def in_day_order(daily: DataFrame, columns: list[str], step: Callable[[list[floa
         if out:
             yield pd.DataFrame(out, columns=names)
 
-    timed = (daily.withColumn("at", F.col("date").cast("timestamp")).withWatermark("at", delay)
+    timed = (daily.withColumn("at", F.timestamp_seconds(F.unix_date("date").cast("bigint") * 86400)).withWatermark("at", delay)
              .select("series_id", F.unix_date("date").alias("day"), *[F.col(c).cast("double") for c in columns], "at"))
     keep = ["series_id", "day", *columns]
 
