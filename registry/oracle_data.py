@@ -50,8 +50,8 @@ SELECT series_id, CAST(sum(is_inserted) AS BIGINT) AS missing_calendar_days_inse
   CAST(sum(CAST(units_used IS NULL AS INT) + CAST(units_requested IS NULL AS INT)
        + CAST(driver_census_a IS NULL AS INT)) AS BIGINT) AS cells_left_missing_long_gap,
   CAST(sum(has_high_outlier) AS BIGINT) AS high_value_outliers_flagged,
-  array_to_string(list_sort(list_distinct(flatten(list(string_split(high_outlier_columns, ','))
-    FILTER (WHERE high_outlier_columns <> '')))), ',') AS high_value_outlier_columns,
+  coalesce(array_to_string(list_sort(list_distinct(flatten(list(string_split(high_outlier_columns, ','))
+    FILTER (WHERE high_outlier_columns <> '')))), ','), '') AS high_value_outlier_columns,
   CAST(NULL AS BIGINT) AS inventory_mismatch_rows,
   CAST(sum(is_shortage) AS BIGINT) AS shortage_days_decensored,
   CAST(sum(is_demand_outlier) AS BIGINT) AS demand_outliers_flagged
@@ -179,3 +179,4 @@ SQL |= {
 FROM x_mean JOIN (SELECT series_id, {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in EXOG)}
   FROM x_mean WHERE t < train_size GROUP BY 1) USING (series_id)"""),
 }
+SQL["report_sink"] = SQL["realism_profile"]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from registry import oracle_stock  # noqa: F401  (defines the score and ledger tables used here)
-from registry.sql import CTES, KEYS, RECURSIVE, query, r, rounded
+from registry.sql import CTES, FEATURES, KEYS, RECURSIVE, query, r, rounded
 
 CTES["hw_start"] = f"""
 SELECT series_id, avg(v) FILTER (WHERE t < 7) AS level,
@@ -57,3 +57,10 @@ SELECT {KEYS}, {rounded(['demand', 'ordered', 'arrived_short', 'arrived_long', '
                          'served', 'short', 'onhand_short', 'onhand_long'])} FROM p_book
 WHERE date < (SELECT max(date) FROM p_book) - INTERVAL 2 DAY"""),
 }
+
+CTES["scalable"] = f"""
+SELECT * FROM feats JOIN usable USING (series_id) WHERE {' AND '.join(f'{c} IS NOT NULL' for c in FEATURES)}"""
+SQL["scale_features"] = query(f"""
+SELECT {KEYS}, {', '.join(f'round(({c} - m_{c}) / s_{c}, 6) AS {c}' for c in FEATURES)} FROM scalable,
+  (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}' for c in FEATURES)} FROM scalable
+   WHERE t >= 14 AND t < t0)""")
