@@ -45,13 +45,6 @@ def null_run_length(df: DataFrame, column: str, output: str = "run_length") -> D
             .drop("_t", "_n", "_before", "_after"))
 
 
-def _short_gap(c: str, max_gap: int) -> str:
-    """Whether a row lies in a run of at most ``max_gap`` missing values of ``c``; an end of the series ends a run."""
-    from_day = f"CASE WHEN _before_{c} IS NOT NULL THEN _before_{c}.t WHEN _t < {max_gap} THEN -1 END"
-    to_day = f"CASE WHEN _after_{c} IS NOT NULL THEN _after_{c}.t WHEN _n - 1 - _t < {max_gap} THEN _n END"
-    return f"(`{c}` IS NULL AND coalesce(({to_day}) - ({from_day}) - 1 <= {max_gap}, false))"
-
-
 def fill_short_gaps(df: DataFrame, carried: list[str], interpolated: list[str], max_gap: int = 2,
                     past_only: bool = False) -> DataFrame:
     """Fill runs of at most ``max_gap`` missing days; longer runs stay missing.
@@ -61,28 +54,31 @@ def fill_short_gaps(df: DataFrame, carried: list[str], interpolated: list[str],
     of a series; with ``past_only`` they are carried too, so that no filled day
     uses a later one.  Fills are whole units.  Adds ``row_was_imputed``.
 
-    A short gap has both neighbours within ``max_gap`` days, so the frames are
-    bounded and every column is served by the same sort.
+    A short gap has a present value, or the end of the series, within ``max_gap``
+    days on either side, so a few fixed offsets decide and every column is served by
+    the same sort.
     """
     columns = carried + interpolated
     if not columns or max_gap < 1:
         return df.withColumn("row_was_imputed", F.lit(0))
     numbered = df.withColumns({"_t": day_number(), "_n": F.count(F.lit(1)).over(whole())})
-    neighbours = []
-    for c in columns:
-        cell = f"if(`{c}` IS NOT NULL, named_struct('t', _t, 'v', `{c}`), NULL)"
-        neighbours += [
-            f"last({cell}, true) OVER (PARTITION BY series_id ORDER BY date "
-            f"ROWS BETWEEN {max_gap} PRECEDING AND 1 PRECEDING) AS _before_{c}",
-            f"first({cell}, true) OVER (PARTITION BY series_id ORDER BY date "
-            f"ROWS BETWEEN 1 FOLLOWING AND {max_gap} FOLLOWING) AS _after_{c}"]
-    fills = []
+    steps = range(1, max_gap + 1)
+    by_date = "OVER (PARTITION BY series_id ORDER BY date)"
+    neighbours, fills = [], []
     for c in columns:
-        b, a = f"_before_{c}", f"_after_{c}"
-        candidate = f"{b}.v"
+        neighbours += [f"lag(`{c}`, {i}) {by_date} AS _lag{i}_{c}" for i in steps]
+        neighbours += [f"lead(`{c}`, {i}) {by_date} AS _lead{i}_{c}" for i in steps]
+        before = f"coalesce({', '.join(f'_lag{i}_{c}' for i in steps)})"
+        after = f"coalesce({', '.join(f'_lead{i}_{c}' for i in steps)})"
+        # Days to the present value, or to just outside the series, on either side; NULL if too far.
+        back = " ".join(f"WHEN _lag{i}_{c} IS NOT NULL THEN {i}" for i in steps) + f" WHEN _t < {max_gap} THEN _t + 1"
+        on = " ".join(f"WHEN _lead{i}_{c} IS NOT NULL THEN {i}" for i in steps) + f" WHEN _n - 1 - _t < {max_gap} THEN _n - _t"
+        back, on = f"(CASE {back} END)", f"(CASE {on} END)"
+        candidate = before
         if c not in carried and not past_only:
-            candidate = f"coalesce({b}.v + ({a}.v - {b}.v) / ({a}.t - {b}.t) * (_t - {b}.t), {b}.v, {a}.v)"
-        fills.append(f"CASE WHEN {_short_gap(c, max_gap)} THEN bround({candidate}, 0) END AS _fill_{c}")
+            line = f"{before} + ({after} - {before}) / ({back} + {on}) * {back}"
+            candidate = f"coalesce({line}, {before}, {after})"
+        fills.append(f"CASE WHEN `{c}` IS NULL AND {back} + {on} - 1 <= {max_gap} THEN bround({candidate}, 0) END AS _fill_{c}")
     near = numbered.selectExpr("*", *neighbours).selectExpr(*df.columns, *fills)
     touched = " OR ".join(f"_fill_{c} IS NOT NULL" for c in columns)
     return near.selectExpr(

@@ -14,8 +14,8 @@ DIRTY = {"date_column": "date_text", "sequence": "ingest_seq"}
 
 
 def emit(df: DataFrame) -> DataFrame:
-    """Dates as text and doubles to 6 places, so that two engines can be compared by value."""
-    forms = {"date": "CAST(`{0}` AS string)", "double": "round(`{0}`, 6)", "boolean": "int(`{0}`)"}
+    """Dates as text and doubles to 6 places (no negative zero), so that two engines can be compared by value."""
+    forms = {"date": "CAST(`{0}` AS string)", "double": "round(`{0}`, 6) + 0D", "boolean": "int(`{0}`)"}
     return df.selectExpr(*[forms.get(kind, "`{0}`").format(name) + f" AS `{name}`" for name, kind in df.dtypes])
 
 

@@ -83,7 +83,7 @@ SQL = {
     "interpolate_short": query(f"SELECT {KEYS}, {rounded(['driver_census_a'])} FROM d_fill"),
     "fill_past_only": query(
         f"SELECT {KEYS}, round(coalesce(driver_census_a, CASE WHEN run_driver_census_a <= 2 THEN "
-        "round_even(pv_driver_census_a, 0) END), 6) AS driver_census_a FROM d_runs"),
+        "round_even(pv_driver_census_a, 0) END), 6) + 0.0::DOUBLE AS driver_census_a FROM d_runs"),
     "imputed_flag": query(f"SELECT {KEYS}, row_was_imputed FROM d_fill"),
     "long_gap_cells": query("SELECT series_id, cells_left_missing_long_gap FROM d_report"),
     "high_outlier_flag": query(
@@ -99,7 +99,7 @@ FROM d_pos JOIN (SELECT series_id, {', '.join(f'quantile_cont({c}, 0.99) AS p_{c
     "decensor_demand": query(
         f"SELECT {KEYS}, CAST(coalesce(units_requested > units_used, FALSE) AS INT) AS is_shortage, "
         "round(CASE WHEN units_used IS NOT NULL AND units_requested IS NOT NULL "
-        "THEN greatest(units_used, units_requested) END, 6) AS demand_model FROM d_pos"),
+        "THEN greatest(units_used, units_requested) END, 6) + 0.0::DOUBLE AS demand_model FROM d_pos"),
     "demand_outlier_mad": query(f"SELECT {KEYS}, {r('demand_model')}, is_demand_outlier FROM d_clean"),
     "usage_avg_7d": query(f"SELECT {KEYS}, {r('usage_avg_7d')} FROM d_clean"),
     "cleaning_report": query(
@@ -149,7 +149,7 @@ WHERE n - test_days < 35"""),
     "pct_split": query("SELECT * FROM blocks"),
     "rolling_origin": query("""
 SELECT series_id, fold, t0 + 14 * fold AS fold_start, count(*) FILTER (WHERE t >= 14 AND t < t0 + 14 * fold) AS n_train,
-  round(sum(y) FILTER (WHERE t >= 14 AND t < t0 + 14 * fold), 6) AS sum_y_train,
+  round(sum(y) FILTER (WHERE t >= 14 AND t < t0 + 14 * fold), 6) + 0.0::DOUBLE AS sum_y_train,
   count(*) FILTER (WHERE t >= t0 + 14 * fold AND t < t0 + 14 * fold + 14) AS n_test
 FROM feats JOIN usable USING (series_id), (SELECT CAST(unnest(generate_series(0, 11)) AS INT) AS fold)
 WHERE t0 + 14 * fold < n GROUP BY ALL"""),
@@ -172,10 +172,10 @@ SQL |= {
     "exog_fill_bfill": query(f"SELECT {KEYS}, {rounded(EXOG)} FROM x_bfill"),
     "exog_fill_trainmean": query(f"SELECT {KEYS}, {rounded(EXOG)} FROM x_mean"),
     "scale_full": query(f"""SELECT {KEYS}, {', '.join(
-        f'round(({c} - avg({c}) OVER (PARTITION BY series_id)) / nullif(stddev_samp({c}) OVER (PARTITION BY series_id), 0), 6) AS {c}'
+        f'round(({c} - avg({c}) OVER (PARTITION BY series_id)) / nullif(stddev_samp({c}) OVER (PARTITION BY series_id), 0), 6) + 0.0::DOUBLE AS {c}'
         for c in EXOG)} FROM x_bfill"""),
     "scale_train": query(f"""SELECT {KEYS}, {', '.join(
-        f'round(({c} - m_{c}) / CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END, 6) AS {c}' for c in EXOG)}
+        f'round(({c} - m_{c}) / CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END, 6) + 0.0::DOUBLE AS {c}' for c in EXOG)}
 FROM x_mean JOIN (SELECT series_id, {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in EXOG)}
   FROM x_mean WHERE t < train_size GROUP BY 1) USING (series_id)"""),
 }

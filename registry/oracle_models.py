@@ -61,6 +61,6 @@ WHERE date < (SELECT max(date) FROM p_book) - INTERVAL 2 DAY"""),
 CTES["scalable"] = f"""
 SELECT * FROM feats JOIN usable USING (series_id) WHERE {' AND '.join(f'{c} IS NOT NULL' for c in FEATURES)}"""
 SQL["scale_features"] = query(f"""
-SELECT {KEYS}, {', '.join(f'round(({c} - m_{c}) / s_{c}, 6) AS {c}' for c in FEATURES)} FROM scalable,
+SELECT {KEYS}, {', '.join(f'round(({c} - m_{c}) / s_{c}, 6) + 0.0::DOUBLE AS {c}' for c in FEATURES)} FROM scalable,
   (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}' for c in FEATURES)} FROM scalable
    WHERE t >= 14 AND t < t0)""")

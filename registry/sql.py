@@ -218,7 +218,7 @@ RECURSIVE: set[str] = set()
 
 def r(expr: str, name: str | None = None) -> str:
     """A double rounded to 6 places."""
-    return f"round({expr}, 6) AS {name or expr}"
+    return f"round({expr}, 6) + 0.0::DOUBLE AS {name or expr}"
 
 
 def rounded(names: list[str]) -> str:
