@@ -334,7 +334,7 @@ def _with_differences(df: DataFrame, orders: list) -> DataFrame:
 
 
 def arx(features: DataFrame, split: DataFrame, refit_every: int = 28, orders: list | None = None,
-        name: str | None = "sarimax", only: DataFrame | None = None) -> DataFrame:
+        name: str | None = "arx", only: DataFrame | None = None) -> DataFrame:
     """Test-block forecasts of an autoregression on differenced demand and four drivers.
 
     Coefficients are estimated anew every ``refit_every`` days; in between the

@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.columns import half_even, sum_columns
@@ -54,16 +54,19 @@ class Scenario:
         return self.shelf_life * (1.0 - self.frac_long) + self.shelf_life_long * self.frac_long
 
 
-SCENARIO_SCHEMA = (
-    "scenario string, service_level double, z double, frac_long double, lead_time int, review int, "
-    "shelf_life int, shelf_life_long int, safety_floor int, cover_cap double")
+def with_scenarios(df: DataFrame, scenarios: list[Scenario]) -> DataFrame:
+    """Every row once per scenario, with its settings beside it.
 
-
-def scenario_table(spark: SparkSession, scenarios: list[Scenario]) -> DataFrame:
-    """The runs asked for, one row each; as many rows as the caller listed."""
-    return spark.createDataFrame(
-        [(s.name, float(s.service_level), s.z, float(s.frac_long), s.lead_time, s.review, s.shelf_life,
-          s.shelf_life_long, s.safety_floor, s.cover_cap) for s in scenarios], SCENARIO_SCHEMA)
+    The settings are literals of the plan, so rows are repeated where they are:
+    no join, no shuffle.
+    """
+    rows = F.array(*[F.struct(
+        F.lit(s.name).alias("scenario"), F.lit(float(s.service_level)).alias("service_level"), F.lit(s.z).alias("z"),
+        F.lit(float(s.frac_long)).alias("frac_long"), F.lit(s.lead_time).alias("lead_time"),
+        F.lit(s.review).alias("review"), F.lit(s.shelf_life).alias("shelf_life"),
+        F.lit(s.shelf_life_long).alias("shelf_life_long"), F.lit(s.safety_floor).alias("safety_floor"),
+        F.lit(s.cover_cap).alias("cover_cap")) for s in scenarios])
+    return df.select("*", F.inline(rows))
 
 
 def service_level_scenarios(levels: tuple[float, ...] = (0.90, 0.95, 0.98, 0.99)) -> list[Scenario]:

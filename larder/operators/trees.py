@@ -44,11 +44,11 @@ class TreeModel:
 
 # Default settings.  The forest's unlimited depth becomes 12, as a distributed tree doubles its
 # statistics per level; leaf-wise growth to 31 leaves becomes depth 5 with 20 rows per leaf.
-GBT = TreeModel("xgboost", "boost", {
+GBT = TreeModel("gbt", "boost", {
     "maxIter": 300, "maxDepth": 3, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"})
 FOREST = TreeModel("random_forest", "forest", {
     "numTrees": 300, "maxDepth": 12, "minInstancesPerNode": 1, "featureSubsetStrategy": "all"})
-GBT_LEAFWISE = TreeModel("lightgbm", "boost", {
+GBT_LEAFWISE = TreeModel("gbt_leafwise", "boost", {
     "maxIter": 300, "maxDepth": 5, "minInstancesPerNode": 20, "stepSize": 0.05, "subsamplingRate": 0.8,
     "featureSubsetStrategy": "0.8"})
 

@@ -37,9 +37,9 @@ LEAFWISE_SPACE = [
     ("colsample_bytree", "uniform", 0.6, 1.0),
     ("n_estimators", "int", 200, 801),
 ]
-SPACES = {"xgboost": BOOST_SPACE, "random_forest": FOREST_SPACE, "lightgbm": LEAFWISE_SPACE}
+SPACES = {"gbt": BOOST_SPACE, "random_forest": FOREST_SPACE, "gbt_leafwise": LEAFWISE_SPACE}
 # Each model draws from its own stream.
-SEED_OFFSET = {"xgboost": 0, "random_forest": 1, "lightgbm": 2}
+SEED_OFFSET = {"gbt": 0, "random_forest": 1, "gbt_leafwise": 2}
 # Deepest tree a fit may ask for; Spark's limit is 30.
 DEEPEST = 20
 
@@ -84,8 +84,9 @@ def trial_rows(series: DataFrame, models: list[str], trials: int, seed: int = 42
     """The drawn settings beside every series they will be tried on, one row per setting."""
     rows = [(m, i, name, float(value)) for m in models
             for i, p in enumerate(sample_params(m, trials, seed)) for name, value in p.items()]
-    drawn = series.sparkSession.createDataFrame(rows, "model string, trial int, setting string, value double")
-    return series.select("series_id").crossJoin(drawn)
+    names = ["model", "trial", "setting", "value"]
+    columns = [F.lit(list(c)).alias(n) for n, c in zip(names, zip(*rows))]
+    return series.select("series_id", F.inline(F.arrays_zip(*columns)))
 
 
 def holt_winters_variants() -> list[smoothing.Variant]:
@@ -103,12 +104,13 @@ def grid_params(features: DataFrame) -> DataFrame:
     """``series_id, model, config`` to try; multiplicative seasons only where every value is above 0."""
     rows = [("holt_winters", v.name, v.multiplicative) for v in holt_winters_variants()]
     rows += [("theta", f.name, False) for f in theta_forms()]
-    rows += [("sarimax", linear.order_name(*o), False) for o in linear.ORDERS]
-    options = features.sparkSession.createDataFrame(rows, "model string, config string, needs_positive boolean")
+    rows += [("arx", linear.order_name(*o), False) for o in linear.ORDERS]
+    options = F.inline(F.array(*[F.struct(
+        F.lit(m).alias("model"), F.lit(c).alias("config"), F.lit(p).alias("needs_positive")) for m, c, p in rows]))
     positive = features.groupBy("series_id").agg(
         F.bool_and(F.coalesce(F.col("y") > 0, F.lit(False))).alias("_positive"))
-    return (positive.crossJoin(options).filter(F.col("_positive") | ~F.col("needs_positive"))
-            .select("series_id", "model", "config"))
+    return (positive.select("series_id", "_positive", options)
+            .filter(F.col("_positive") | ~F.col("needs_positive")).select("series_id", "model", "config"))
 
 
 def adopt(scores: DataFrame, default: str, by: list[str] | None = None) -> DataFrame:

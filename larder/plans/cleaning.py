@@ -66,7 +66,10 @@ def clean_daily(raw: DataFrame, **options) -> DataFrame:
 
 
 def cleaning_report(marked: DataFrame, diagnose: bool = True) -> DataFrame:
-    """One row per series from a ``clean_marked`` table."""
+    """One row per series from a ``clean_marked`` table.
+
+    With ``diagnose`` the table is read three times; pass a stored one (``session.stored``).
+    """
     mismatch = F.sum("inventory_mismatch") if "inventory_mismatch" in marked.columns else F.lit(None)
     shortage = F.sum("is_shortage") if "is_shortage" in marked.columns else F.lit(0)
     report = marked.groupBy("series_id").agg(

@@ -42,13 +42,13 @@ def registry(s: Settings) -> dict[str, Forecaster]:
     models: dict[str, Forecaster] = {
         "seasonal_naive": naive.seasonal_naive,
         "holt_winters": lambda f, p: smoothing.holt_winters(f, p, s.refit_every, [s.variant]),
-        "sarimax": lambda f, p: linear.arx(f, p, s.reestimate_every, [s.order]),
-        "xgboost": tree(s.gbt),
+        "arx": lambda f, p: linear.arx(f, p, s.reestimate_every, [s.order]),
+        "gbt": tree(s.gbt),
         "elasticnet": lambda f, p: linear.elastic_net(
             splits.with_split(f, p), s.refit_every, s.past_only_cv, s.n_alphas),
         "random_forest": tree(s.forest),
         "theta": lambda f, p: smoothing.theta(f, p, [s.theta]),
-        "lightgbm": tree(s.gbt_leafwise),
+        "gbt_leafwise": tree(s.gbt_leafwise),
     }
     return {**models, **s.extra}
 

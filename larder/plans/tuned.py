@@ -21,7 +21,7 @@ class TuningSettings:
     val_frac: float = 0.15
     refit_every: int = 14
     reestimate_every: int = 28
-    trials: dict[str, int] = field(default_factory=lambda: {"xgboost": 40, "random_forest": 40, "lightgbm": 40})
+    trials: dict[str, int] = field(default_factory=lambda: {"gbt": 40, "random_forest": 40, "gbt_leafwise": 40})
     seed: int = 42
     n_alphas: int = linear.N_ALPHAS
     tree_models: list[trees.TreeModel] = field(
@@ -30,7 +30,7 @@ class TuningSettings:
     overrides: dict[str, dict] = field(default_factory=dict)
 
 
-REGISTRY = ["seasonal_naive", "holt_winters", "sarimax", "xgboost", "elasticnet", "random_forest", "theta", "lightgbm"]
+REGISTRY = ["seasonal_naive", "holt_winters", "arx", "gbt", "elasticnet", "random_forest", "theta", "gbt_leafwise"]
 
 
 def _keep(forecasts: DataFrame, adopted: DataFrame, name: str) -> DataFrame:
@@ -108,7 +108,7 @@ def tuned_selection(features: DataFrame, s: TuningSettings | None = None) -> dic
     families: list[tuple[str, Callable, Callable]] = [
         ("holt_winters", lambda: tune_holt_winters(features, val, val_scale, s.refit_every),
          lambda _: smoothing.holt_winters(features, test, s.refit_every, tuning.holt_winters_variants(), name=None)),
-        ("sarimax", lambda: tune_arx(features, val, val_scale, s.reestimate_every),
+        ("arx", lambda: tune_arx(features, val, val_scale, s.reestimate_every),
          lambda a: linear.arx(features, test, s.reestimate_every, linear.ORDERS, name=None,
                               only=a.select("series_id", F.col("config").alias("candidate")))),
         ("theta", lambda: tune_theta(features, val, val_scale),

@@ -35,10 +35,6 @@ def clean_dirty(spark: SparkSession, sf: str) -> DataFrame:
     return clean_daily(dirty(spark, sf), **DIRTY)
 
 
-def marked_dirty(spark: SparkSession, sf: str) -> DataFrame:
-    return clean_marked(dirty(spark, sf), **DIRTY)
-
-
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -55,6 +51,11 @@ def clean_table(spark: SparkSession, sf: str) -> DataFrame:
     return _once(spark, sf, "clean", lambda: clean(spark, sf))
 
 
+def marked_dirty(spark: SparkSession, sf: str) -> DataFrame:
+    """The cleaned dirty table with its marks, written once: a report reads it several times."""
+    return _once(spark, sf, "marked", lambda: clean_marked(dirty(spark, sf), **DIRTY))
+
+
 def features(spark: SparkSession, sf: str) -> DataFrame:
     return build_features(clean_table(spark, sf))
 

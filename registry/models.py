@@ -23,9 +23,9 @@ ALPHAS = 40
 QUICK = selection.Settings(refit_every=REFIT, n_alphas=ALPHAS, forest=FOREST, gbt=GBT, gbt_leafwise=LEAFWISE)
 TUNING = tuned.TuningSettings(
     refit_every=400, reestimate_every=400, n_alphas=ALPHAS, tree_models=[GBT, FOREST, LEAFWISE],
-    trials={"xgboost": 1, "random_forest": 1, "lightgbm": 1},
-    overrides={"xgboost": {"maxIter": 4}, "random_forest": {"numTrees": 8, "maxDepth": 5},
-               "lightgbm": {"maxIter": 3, "maxDepth": 4}})
+    trials={"gbt": 1, "random_forest": 1, "gbt_leafwise": 1},
+    overrides={"gbt": {"maxIter": 4}, "random_forest": {"numTrees": 8, "maxDepth": 5},
+               "gbt_leafwise": {"maxIter": 3, "maxDepth": 4}})
 
 
 def _test(spark, sf):
@@ -99,7 +99,7 @@ def model_selection(spark, sf):
 
 def sample_params(spark, sf):
     series = feature_table(spark, sf).select("series_id").distinct()
-    return emit(tuning.trial_rows(series, ["xgboost", "random_forest", "lightgbm"], 40))
+    return emit(tuning.trial_rows(series, ["gbt", "random_forest", "gbt_leafwise"], 40))
 
 
 def grid_params(spark, sf):
@@ -116,7 +116,7 @@ def _tune_tree(model):
 
 
 def tune_arx(spark, sf):
-    return emit(tuning.report_rows("sarimax", tuned.tune_arx(*_validation(spark, sf))[1]))
+    return emit(tuning.report_rows("arx", tuned.tune_arx(*_validation(spark, sf))[1]))
 
 
 def tune_holt_winters(spark, sf):

@@ -30,7 +30,7 @@ THETAS = ["deseasonalize=true,method=auto", "deseasonalize=true,method=additive"
 ORDERS = ["(1,1,1)x(1,0,1,7)", "(0,1,1)x(0,0,1,7)", "(1,1,0)x(1,0,0,7)", "(2,1,1)x(1,0,1,7)", "(1,1,2)x(1,0,1,7)",
           "(1,1,1)x(0,0,1,7)", "(1,1,1)x(1,0,0,7)", "(2,1,2)x(1,0,1,7)", "(1,0,1)x(1,1,1,7)", "(0,1,1)x(0,1,1,7)"]
 OPTIONS = ", ".join([f"('holt_winters', '{n}', {m})" for n, m in VARIANTS] + [f"('theta', '{n}', FALSE)" for n in THETAS]
-                    + [f"('sarimax', '{n}', FALSE)" for n in ORDERS])
+                    + [f"('arx', '{n}', FALSE)" for n in ORDERS])
 
 SQL = {
     "fc_holt_winters": query(

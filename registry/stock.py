@@ -122,19 +122,18 @@ def safety_stock(spark, sf):
     errors = inputs.groupBy("series_id").agg(
         F.stddev_pop(F.col("demand") - F.col("forecast")).alias("sigma_1step"))
     both = errors.join(policy.interval_error_std(inputs, 3), "series_id")
-    levels = policy.scenario_table(spark, policy.service_level_scenarios())
+    levels = policy.with_scenarios(both, policy.service_level_scenarios())
     h = F.col("lead_time") + F.col("review")
-    return emit(both.crossJoin(levels).select(
+    return emit(levels.select(
         "series_id", "service_level", "z",
         policy.safety_stock(F.col("z"), h, sigma_interval=F.col("sigma_interval")).alias("safety_interval"),
         policy.safety_stock(F.col("z"), h, sigma_1step=F.col("sigma_1step")).alias("safety_scaled")))
 
 
 def blended_cover_cap(spark, sf):
-    scenarios = policy.scenario_table(spark, policy.mix_scenarios())
-    means = ledger.series_means(policy_input(spark, sf))
+    means = policy.with_scenarios(ledger.series_means(policy_input(spark, sf)), policy.mix_scenarios())
     cap = policy.blended_cover_cap(F.col("shelf_life"), F.col("shelf_life_long"), F.col("frac_long"))
-    return emit(means.crossJoin(scenarios).select(
+    return emit(means.select(
         "series_id", "frac_long", cap.alias("cover_days"), (cap * F.col("mean_daily")).alias("cover_units")))
 
 
