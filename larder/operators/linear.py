@@ -218,16 +218,15 @@ def block_starts_sql(refit_every: int, past_only: bool | None) -> str:
     return f"array_sort(array_distinct(concat(array(0, {WARMUP}), {edges})))"
 
 
-def fold_fits(prepared: DataFrame, columns: list[str], refit_every: int, past_only: bool | None,
+def fold_fits(prepared: DataFrame, split: DataFrame, columns: list[str], refit_every: int, past_only: bool | None,
               fit: Callable[[Sums, int, list[int]], list[dict]]) -> DataFrame:
     """Coefficients per series, candidate and fold.
 
-    ``prepared`` has ``series_id, candidate, t, t0, n`` and the columns, target last.
-    Blocks are numbered by the edges each series needs, from its own ``t0`` and ``n``.
+    ``prepared`` has ``series_id, candidate, t`` and the columns, target last; ``split``
+    has ``series_id, n, t0``.  Blocks are numbered by the edges each series needs.
     """
-    cuts = prepared.groupBy("series_id").agg(F.first("t0").alias("t0"), F.first("n").alias("n")).select(
-        "series_id", "t0", "n", F.expr(block_starts_sql(refit_every, past_only)).alias("starts"))
-    train = prepared.drop("t0", "n").join(cuts, "series_id").filter((F.col("t") >= WARMUP) & (F.col("t") < F.col("n")))
+    cuts = split.select("series_id", "t0", "n", F.expr(block_starts_sql(refit_every, past_only)).alias("starts"))
+    train = prepared.select("series_id", "candidate", "t", *columns).join(cuts, "series_id").filter((F.col("t") >= WARMUP) & (F.col("t") < F.col("n")))
     numbered = train.withColumn("block", F.expr("size(filter(starts, e -> e <= t)) - 1"))
     blocks = cross_products(numbered, columns, ["series_id", "candidate", "block"]).join(cuts, "series_id")
 
@@ -254,7 +253,8 @@ def elastic_net_fits(split_features: DataFrame, refit_every: int = 14, past_only
                      n_alphas: int = N_ALPHAS) -> DataFrame:
     """Chosen penalties and coefficients per series and fold; ``split_features`` carries ``n, t0``."""
     prepared = split_features.withColumn("candidate", F.lit("elasticnet"))
-    return fold_fits(prepared, [*FEATURES, "y"], refit_every, past_only,
+    split = split_features.groupBy("series_id").agg(F.first("t0").alias("t0"), F.first("n").alias("n"))
+    return fold_fits(prepared, split, [*FEATURES, "y"], refit_every, past_only,
                      lambda s, a, b: fit_elastic_net(s, a, b, past_only, n_alphas))
 
 
@@ -352,7 +352,7 @@ def arx(features: DataFrame, split: DataFrame, refit_every: int = 28, orders: li
     if only is not None:
         rows = rows.join(only, ["series_id", "candidate"], "left_semi")
     columns = [*AR_COLUMNS, *EXOG]
-    fits = fold_fits(rows, [*columns, "_target"], refit_every, None, fit_least_squares)
+    fits = fold_fits(rows, split, [*columns, "_target"], refit_every, None, fit_least_squares)
     days = forecast_days(rows).withColumn("fold", fold_number(refit_every))
     out = days.join(fits.select("series_id", "candidate", "fold", "intercept", "coef"),
                     ["series_id", "candidate", "fold"])

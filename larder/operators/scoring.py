@@ -50,17 +50,24 @@ def score(forecasts: DataFrame, scale: DataFrame) -> DataFrame:
         "series_id", "model", (F.col("mae") / F.nullif("q_scale", F.lit(0.0))).alias("mase"), "mae", "n_days")
 
 
+def _merit(scores: DataFrame) -> Column:
+    """What models of a series are ranked by.  Where the scale is 0 there is no MASE; MAE ranks the same."""
+    merit = F.coalesce("mase", "mae") if "mae" in scores.columns else F.col("mase")
+    return F.round(merit, RANK_PLACES)
+
+
 def trimmed_members(scores: DataFrame, baseline: str = BASELINE) -> DataFrame:
     """Models strictly better than the baseline, per series; the baseline if none is.
 
     One aggregate per series keeps the model list (as long as the registry), so
     there is no self-join.
     """
-    better = F.filter("_all", lambda m: (m["model"] != baseline) & (m["mase"] < F.col("_base")))
+    merit = _merit(scores)
+    better = F.filter("_all", lambda m: (m["model"] != baseline) & (m["merit"] < F.col("_base")))
     kept = (
         scores.filter(F.col("model") != ENSEMBLE).groupBy("series_id").agg(
-            F.collect_list(F.struct("model", F.round("mase", RANK_PLACES).alias("mase"))).alias("_all"),
-            F.max(F.when(F.col("model") == baseline, F.round("mase", RANK_PLACES))).alias("_base"))
+            F.collect_list(F.struct("model", merit.alias("merit"))).alias("_all"),
+            F.max(F.when(F.col("model") == baseline, merit)).alias("_base"))
         .withColumn("_better", F.transform(better, lambda m: m["model"]))
     )
     chosen = F.when(F.size("_better") > 0, F.col("_better")).otherwise(F.array(F.lit(baseline)))
@@ -87,8 +94,8 @@ def with_ensemble(forecasts: DataFrame, scores: DataFrame) -> DataFrame:
 
 def winner(scores: DataFrame, registry: list[str]) -> DataFrame:
     """Lowest MASE per series; a tie goes to the earlier registry entry."""
-    ranked = scores.filter(F.col("mase").isNotNull()).withColumn("_rank", rank_of(registry))
-    key = F.struct(F.round("mase", RANK_PLACES), F.col("_rank"))
+    ranked = scores.withColumns({"_merit": _merit(scores), "_rank": rank_of(registry)})
+    key = F.when(F.col("_merit").isNotNull(), F.struct("_merit", "_rank"))
     return ranked.groupBy("series_id").agg(
         F.min_by("model", key).alias("winner"), F.min_by("mase", key).alias("winner_mase"))
 

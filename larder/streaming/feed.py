@@ -39,7 +39,12 @@ def run_to_end(stream: DataFrame, label: str) -> DataFrame:
 
 def read_files(spark: SparkSession, table: DataFrame, folder: str, files_per_batch: int = 0,
                pattern: str | None = None) -> DataFrame:
-    """A stream over the parquet files of a folder, with the schema of ``table``."""
+    """A stream over the parquet files of a folder, with the schema of ``table``.
+
+    Files are taken in the order they were written.  With ``files_per_batch`` a
+    backlog has to be written in day order, part after part: rows of a later file
+    that lie behind the watermark are late.
+    """
     reader = spark.readStream.schema(table.schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)

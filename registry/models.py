@@ -175,11 +175,11 @@ def stream_daily_demand(spark, sf):
 
 
 def _as_stream(table, label):
-    """A stream over a table's rows: the table written to files, then read as they come."""
+    """A stream over a table's rows, written to files that are all there when it starts."""
     from larder.session import new_path
     path = new_path(table.sparkSession, label)
     table.write.parquet(path)
-    return feed.read_files(table.sparkSession, table, path, files_per_batch=1)
+    return feed.read_files(table.sparkSession, table, path)
 
 
 def stream_forecast(spark, sf):

@@ -246,3 +246,22 @@ def test_equal_scores_go_to_the_earlier_model(spark):
 def test_feature_table_is_read_back_whole(spark, features):
     assert feature_table(spark, SMALL) is features
     assert features.columns[4:] == feat.FEATURES and len(feat.FEATURES) == 21
+
+
+def test_a_flat_series_still_gets_a_winner(spark):
+    rows = [("a", "seasonal_naive", None, 2.0), ("a", "m", None, 1.0), ("a", "k", None, None)]
+    scores = spark.createDataFrame(rows, "series_id string, model string, mase double, mae double")
+    assert [r.winner for r in scoring.winner(scores, ["seasonal_naive", "m", "k"]).collect()] == ["m"]
+    assert [r.model for r in scoring.trimmed_members(scores).collect()] == ["m"]
+
+
+def test_one_hot_day_is_reduced_before_the_exchange(spark):
+    """Half of all raw rows are copies of one day; the plan combines them on the map side."""
+    from larder.operators import rows
+    raw = spark.range(20000).select(
+        F.expr("IF(id >= 0, 'a', 'b')").alias("series_id"), F.expr("IF(id % 2 = 0, DATE'2024-01-01', date_add(DATE'2024-01-01', int(id % 97)))")
+        .alias("date"), (F.col("id") % 3).alias("units_used"), F.col("id").alias("seq"))
+    days = rows.rows_by_day(raw.repartition(8), "seq")
+    assert days.count() == 97 and days.agg(F.sum("n_rows")).first()[0] == 20000
+    plan = days._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("partial_min") > plan.index("Exchange hashpartitioning(series_id")

@@ -110,23 +110,21 @@ def test_smoothing_stream_equals_fixed_weights(spark, features):
     weights = features.groupBy("series_id").agg(F.min("date").alias("valid_from"), F.max("date").alias("m")).select(
         "series_id", F.lit(0).alias("version"), "valid_from", F.date_add("m", 1).alias("valid_to"),
         F.lit(0.3).alias("alpha"), F.lit(0.05).alias("beta"), F.lit(0.2).alias("gamma"))
+    first, last = days.agg(F.min("date"), F.max("date")).first()
+    third = (last - first) / 3
     path = new_path(spark, "feed")
-    days.repartition(3).write.parquet(path)
-    # Files hold shuffled days, so the delay covers the whole span.
+    for k in range(3):  # three parts in day order, each with its series in any order
+        lo, hi = first + third * k, (first + third * (k + 1) if k < 2 else last)
+        part = days.filter((F.col("date") > lo if k else F.col("date") >= lo) & (F.col("date") <= hi))
+        part.orderBy(F.rand(k)).coalesce(1).write.mode("append").parquet(path)
     stream = feed.read_files(spark, days, path, files_per_batch=1)
-    out = feed.run_to_end(stateful.holt_winters(stream, weights, delay="3000 days"), "hw")
-    assert out.isEmpty()
-    ordered = new_path(spark, "feed")
-    days.repartitionByRange(4, "date").write.parquet(ordered)
-    stream = feed.read_files(spark, days, ordered, files_per_batch=2)
     out = feed.run_to_end(stateful.holt_winters(stream, weights, delay="2 days"), "hw")
     batch = smoothing.holt_winters_fixed(features, 0.3, 0.05, 0.2)
-    last = days.agg(F.max("date")).first()[0]
     both = out.join(batch.select("series_id", "date", F.col("forecast").alias("b")), ["series_id", "date"])
     starts = days.groupBy("series_id").agg(F.min("date").alias("first"))
     due = days.join(starts, "series_id").filter(
         (F.col("date") >= F.date_add("first", 14)) & (F.col("date") < F.lit(last) - F.expr("INTERVAL 2 DAY")))
-    assert both.count() == due.count() > 10000
+    assert out.count() == both.count() == due.count() > 10000
     assert both.filter(F.abs(F.col("forecast") - F.col("b")) > 1e-6).isEmpty()
 
 
@@ -143,3 +141,17 @@ def test_report_sink_reads_back_whole(spark, book):
     for buckets in (0, 4):
         back = write_report(book, new_path(spark, "sink"), buckets=buckets)
         assert back.select(book.columns).exceptAll(book).isEmpty() and back.count() == book.count()
+
+
+def test_stream_does_not_depend_on_how_a_backlog_is_filed(spark, daily):
+    """Everything in one batch, from files that each hold all days of some series."""
+    from larder.session import new_path
+    sigma = policy.interval_error_std(daily, 3)
+    table = daily.join(sigma, "series_id")
+    path = new_path(spark, "feed")
+    table.repartition(5, "series_id").write.parquet(path)
+    out = feed.run_to_end(stateful.stock_ledger(feed.read_files(spark, table, path)), "ledger")
+    batch = ledger.stock_ledger(table, [Scenario()])
+    last = daily.agg(F.max("date")).first()[0]
+    want = batch.filter(F.col("date") < F.lit(last) - F.expr("INTERVAL 2 DAY")).select(out.columns)
+    assert out.count() == want.count() and out.exceptAll(want).isEmpty()
