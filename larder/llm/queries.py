@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import rlz, simhash
+from larder.llm import rlz, simhash, toxicity
 from larder.llm.common import documents
 
 
@@ -12,12 +12,19 @@ def op6_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf), shingle=4, bits=4)
 
 
+def op7_chain_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    chain = toxicity.train(docs, labels, "toxic")
+    return toxicity.score(docs.select("doc_id", "text"), chain).drop("text")
+
+
 def op9_rlz_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return rlz.digest(documents(spark, sf), window=35).drop("factors")
 
 
 QUERIES = {
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_chain_toxicity": op7_chain_toxicity,
     "op9_rlz_substring_dedup": op9_rlz_substring_dedup,
 }
 
