@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import rlz, simhash, toxicity
+from larder.llm import mixing, rlz, simhash, toxicity
 from larder.llm.common import documents
 
 
+def op1_hypergeometric_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.summary(documents(spark, sf), weights=(5, 2, 1), share=1.5, most=2.0)
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf), shingle=4, bits=4)
 
@@ -23,6 +27,7 @@ def op9_rlz_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_hypergeometric_mixing": op1_hypergeometric_mixing,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_chain_toxicity": op7_chain_toxicity,
     "op9_rlz_substring_dedup": op9_rlz_substring_dedup,
