@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import mixing, rlz, simhash, toxicity
+from larder.llm import mixing, packing, rlz, simhash, toxicity
 from larder.llm.common import documents
 
 
@@ -12,6 +12,17 @@ def op1_hypergeometric_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.summary(documents(spark, sf), weights=(5, 2, 1), share=1.5, most=2.0)
 
 
+def vocabulary() -> str:
+    """Path of the tokenizer file; it comes with the package of public tokenizers on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_residual_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.packed(documents(spark, sf), vocabulary(), size=2048, end=0)
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf), shingle=4, bits=4)
 
@@ -28,6 +39,7 @@ def op9_rlz_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_hypergeometric_mixing": op1_hypergeometric_mixing,
+    "op3_residual_packing": op3_residual_packing,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_chain_toxicity": op7_chain_toxicity,
     "op9_rlz_substring_dedup": op9_rlz_substring_dedup,
