@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import mixing, packing, rlz, simhash, toxicity
+from larder.llm import extraction, mixing, packing, rlz, simhash, toxicity
 from larder.llm.common import documents
 
 
@@ -12,6 +12,11 @@ def op1_hypergeometric_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.summary(documents(spark, sf), weights=(5, 2, 1), share=1.5, most=2.0)
 
 
+def op2_subsequence_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    return extraction.extracted(pages, extraction.train(pages))
+
+
 def vocabulary() -> str:
     """Path of the tokenizer file; it comes with the package of public tokenizers on every machine."""
     import public_tokenizers
@@ -39,6 +44,7 @@ def op9_rlz_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_hypergeometric_mixing": op1_hypergeometric_mixing,
+    "op2_subsequence_extraction": op2_subsequence_extraction,
     "op3_residual_packing": op3_residual_packing,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_chain_toxicity": op7_chain_toxicity,
