@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from larder.llm import extraction, mixing, packing, rlz, simhash, toxicity
+from larder.llm import extraction, mixing, neighbours, packing, rlz, simhash, toxicity
 from larder.llm.common import documents
 
 
@@ -28,6 +29,10 @@ def op3_residual_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packed(documents(spark, sf), vocabulary(), size=2048, end=0)
 
 
+def op5_prefix_forest(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.nearest(spark.read.parquet(f"{sf}/embeddings.parquet"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf), shingle=4, bits=4)
 
@@ -42,10 +47,18 @@ def op9_rlz_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return rlz.digest(documents(spark, sf), window=35).drop("factors")
 
 
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    import corpus_pipeline  # it uses this module
+
+    return corpus_pipeline.run(spark, sf)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_hypergeometric_mixing": op1_hypergeometric_mixing,
     "op2_subsequence_extraction": op2_subsequence_extraction,
     "op3_residual_packing": op3_residual_packing,
+    "op5_prefix_forest": op5_prefix_forest,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_chain_toxicity": op7_chain_toxicity,
     "op9_rlz_substring_dedup": op9_rlz_substring_dedup,
