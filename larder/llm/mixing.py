@@ -167,7 +167,8 @@ def plan(base: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1
     shards = max(1, -(-drawn.count() // SHARD))
     leaves = split(quotas, shards, seed).select("shard", F.posexplode(F.arrays_zip("start", "quota")).alias("i", "x"))
     places = leaves.filter("x.quota > 0").select("shard", "i", F.explode(F.expr("sequence(x.start, x.start + x.quota - 1)")).alias("at"))
-    mixed = drawn.join(places, ["i", "at"])
+    # both sides grow with the rows, though the plan takes the leaves of one row for few
+    mixed = drawn.join(places.hint("merge"), ["i", "at"])
     order = W.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), "k1", "copy", "block", "epoch"), "k2", "epoch")
     return goal, mixed.withColumn("place", F.row_number().over(order)).drop("at")
 
