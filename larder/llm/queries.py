@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import extraction, mixing, neighbours, packing, rlz, simhash, toxicity
+from larder.llm import extraction, mixing, neighbours, packing, resampling, rlz, simhash, toxicity
 from larder.llm.common import documents
 
 
@@ -29,6 +29,10 @@ def op3_residual_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packed(documents(spark, sf), vocabulary(), size=2048, end=0)
 
 
+def op4_gumbel_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    return resampling.resampled(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"), "quality")
+
+
 def op5_prefix_forest(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.nearest(spark.read.parquet(f"{sf}/embeddings.parquet"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op1_hypergeometric_mixing": op1_hypergeometric_mixing,
     "op2_subsequence_extraction": op2_subsequence_extraction,
     "op3_residual_packing": op3_residual_packing,
+    "op4_gumbel_resampling": op4_gumbel_resampling,
     "op5_prefix_forest": op5_prefix_forest,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_chain_toxicity": op7_chain_toxicity,
