@@ -18,11 +18,11 @@ def op2_subsequence_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return extraction.extracted(pages, extraction.train(pages))
 
 
-def vocabulary() -> str:
-    """Path of the tokenizer file; it comes with the package of public tokenizers on every machine."""
+def vocabulary() -> tuple[str, str, str]:
+    """The tokenizer file, the same vocabulary as ranks, and its pattern; they come with the package of public tokenizers on every machine."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 def op3_residual_packing(spark: SparkSession, sf: str) -> DataFrame:

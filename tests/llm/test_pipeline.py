@@ -61,7 +61,7 @@ def test_stages_against_plain_versions(spark):
     from larder.llm.queries import vocabulary
     once = mixed.dropDuplicates(["doc_id"])
     packed = stages["residual_packing"](spark, once, SF).collect()
-    check(packed, [(r.doc_id, r.text) for r in rows.values() if r.doc_id in {x.doc_id for x in out}], Tokenizer.from_file(vocabulary()), 2048)
+    check(packed, [(r.doc_id, r.text) for r in rows.values() if r.doc_id in {x.doc_id for x in out}], Tokenizer.from_file(vocabulary()[0]), 2048)
 
 
 def test_run(spark):
