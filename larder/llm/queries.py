@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import extraction, mixing, neighbours, packing, resampling, rlz, simhash, toxicity
+from larder.llm import extraction, licences, mixing, neighbours, packing, resampling, rlz, simhash, toxicity
 from larder.llm.common import documents
 
 
@@ -51,6 +51,10 @@ def op9_rlz_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return rlz.digest(documents(spark, sf), window=35).drop("factors")
 
 
+def op10_sentence_licences(spark: SparkSession, sf: str) -> DataFrame:
+    return licences.scanned(documents(spark, sf))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline  # it uses this module
 
@@ -67,6 +71,9 @@ QUERIES = {
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_chain_toxicity": op7_chain_toxicity,
     "op9_rlz_substring_dedup": op9_rlz_substring_dedup,
+    "op10_sentence_licences": op10_sentence_licences,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op10_sentence_licences": licences.sql(),
+}
