@@ -46,6 +46,13 @@ def matching_rows(docs: DataFrame, kept: DataFrame, *columns: str) -> DataFrame:
     return one.filter("__n = 1").select(*names).toDF(*docs.columns)
 
 
+def lean(spark: SparkSession) -> None:
+    """Lets at most 1,000 rows travel to Python at once, as texts are long; the session keeps the setting, a lower one stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= 1000:
+        spark.conf.set(name, "1000")
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 

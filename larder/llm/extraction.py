@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.llm.common import lean
+
 #: Bounds of the model: labelled pages (least by a hash of their id) and tags.
 MAX_PAGES, MAX_TAGS = 5_000, 500
 
@@ -197,6 +199,7 @@ def extracted(pages: DataFrame, model: Model, text: str = "html", keep: tuple[st
 
     A null page counts as empty.  Pages of any length are read whole; equal pages give equal texts.
     """
+    lean(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model)  # at most MAX_TAGS entries
 
     @F.pandas_udf("string")

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import stored
+from larder.llm.common import lean, stored
 
 #: Pieces packed at once in the first round; items of a task and fan-in of the tree in later ones.
 PIECES, ITEMS, FAN_IN = 50_000, 100_000, 8
@@ -37,7 +37,7 @@ class Encoder:
     that may hold a special token, the tokenizer itself is asked.
     """
 
-    def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None, most: int = 800_000):
+    def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.quick = Tokenizer.from_file(path), most, None
@@ -170,6 +170,7 @@ def packed(docs: DataFrame, files: tuple, size: int = 2048, end: int = 0, slack:
     ``slack`` is the free room up to which a sequence counts as full before the last round.
     """
     spark = docs.sparkSession
+    lean(spark)
     pieces = stored(_tokenized(docs, files, size, end, text, doc_id), "pieces")
     bins = pieces.groupBy("bin").agg(F.sum("length").alias("used"))
     items = stored(bins.filter(F.col("used") < size - slack), "underfull")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import stored, uniform
+from larder.llm.common import lean, stored, uniform
 
 BUCKETS = 1 << 14
 #: Labelled rows that the target model is counted on: those least by a hash of their id.
@@ -33,7 +33,7 @@ class _Words(dict):
     """Word to 64-bit hash, emptied when full."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -57,6 +57,7 @@ def _chosen(labels: DataFrame, label: str, doc_id: str, max_rows: int) -> DataFr
 def log_weights(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", doc_id: str = "doc_id",
                 max_rows: int = MAX_ROWS) -> np.ndarray:
     """Log of target over raw probability of each bucket, both smoothed by one half; zeros without a good label."""
+    lean(docs.sparkSession)
     chosen = _chosen(labels, label, doc_id, max_rows).withColumn("__target", F.lit(True))
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__id", "left").select(
         "__text", F.col("__target").isNotNull().alias("__target"))

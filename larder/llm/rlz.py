@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import stored, words
+from larder.llm.common import lean, stored, words
 
 ANCHOR = 8
 #: Words that one call of the parser holds; longer documents are parsed in blocks of so many words.
@@ -45,7 +45,7 @@ class _Hashes(dict):
     """Word to 64-bit hash; a memory of the words seen, emptied when it is full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -153,6 +153,7 @@ def factored(docs: DataFrame, window: int = 35, text: str = "text", doc_id: str
     Null and empty texts have no words.  Rows that repeat id and text repeat each other's words.
     """
     spark = docs.sparkSession
+    lean(spark)
     docs = _keyed(docs, text, doc_id)
     narrow = docs.select("__k", F.col(text).alias("__t"))
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import consecutive, matching_rows, partitions_for, row_keys, stored, words
+from larder.llm.common import consecutive, lean, matching_rows, partitions_for, row_keys, stored, words
 from larder.llm.components import components
 
 #: Mean and largest number of fingerprints in a block.
@@ -201,6 +201,7 @@ def links(table: DataFrame, bits: int = 4) -> DataFrame:
 
 def _narrow(docs: DataFrame, shingle: int, text: str, doc_id: str) -> DataFrame:
     """(id, fp, k1, k2) of every row, written once: the fingerprints are the costly part."""
+    lean(docs.sparkSession)
     keys = row_keys(doc_id, text)
     return stored(docs.select(F.col(doc_id).alias("id"), fingerprint(text, shingle).alias("fp"), *keys), "fingerprints")
 

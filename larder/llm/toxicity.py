@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.llm.common import lean
+
 #: Bounds of the training sample: labelled rows (least by a hash of their id), and terms.
 MAX_ROWS, MAX_TERMS = 10_000, 300
 _WORD = re.compile(r"[^\W\d_]+")
@@ -142,6 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bands: int =
 
     Without labelled rows, or without toxic ones, every probability is near the share of toxic rows (0 if there are none).
     """
+    lean(docs.sparkSession)
     sample = _sample(docs, labels, label, text, doc_id, max_rows).persist()
     try:
         vocabulary = _vocabulary(sample, max_terms)
@@ -169,6 +172,7 @@ def score(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
 
     Columns of ``docs`` by these names are replaced.  Null and empty texts have the bias alone.
     """
+    lean(docs.sparkSession)
     names = [f"p_{c}" for c in chain.categories]
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # at most max_terms terms
 
