@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import extraction, licences, mixing, neighbours, packing, resampling, rlz, simhash, toxicity
+from larder.llm import extraction, imatch, licences, mixing, neighbours, packing, resampling, rlz, simhash, toxicity
 from larder.llm.common import documents
 
 
@@ -51,6 +51,10 @@ def op9_rlz_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return rlz.digest(documents(spark, sf), window=35).drop("factors")
 
 
+def op8_imatch_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return imatch.fingerprints(documents(spark, sf))
+
+
 def op10_sentence_licences(spark: SparkSession, sf: str) -> DataFrame:
     return licences.scanned(documents(spark, sf))
 
@@ -70,6 +74,7 @@ QUERIES = {
     "op5_prefix_forest": op5_prefix_forest,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_chain_toxicity": op7_chain_toxicity,
+    "op8_imatch_fingerprints": op8_imatch_fingerprints,
     "op9_rlz_substring_dedup": op9_rlz_substring_dedup,
     "op10_sentence_licences": op10_sentence_licences,
 }
