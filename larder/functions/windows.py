@@ -38,10 +38,6 @@ def up_to_today() -> WindowSpec:
     return by_day().rowsBetween(Window.unboundedPreceding, 0)
 
 
-def before_today() -> WindowSpec:
-    return by_day().rowsBetween(Window.unboundedPreceding, -1)
-
-
 def day_number() -> Column:
     """0-based position of a row in its series."""
     return F.row_number().over(by_day()) - F.lit(1)

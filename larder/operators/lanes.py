@@ -8,7 +8,7 @@ lane per series (and per setting), instead of once per series.
 
 A series is one row per calendar day, so a row of arrays is bounded by the
 length of the calendar; Arrow batches are bounded by
-``spark.sql.execution.arrow.maxBytesPerBatch`` and a slice by ``slice_values``.
+``spark.sql.execution.arrow.maxBytesPerBatch`` and a slice by ``MAX_VALUES``.
 """
 
 from __future__ import annotations
@@ -20,13 +20,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.session import spread
+
 MAX_VALUES = 8_000_000
 
 
 def as_arrays(df: DataFrame, columns: list[str], keep: list[str] = (), key: str = "series_id") -> DataFrame:
-    """One row per series: ``n`` and an array per column in day order; ``keep`` is constant per series."""
+    """One row per series: ``n`` and an array per column in day order; ``keep`` is constant per series.
+
+    The days are spread first, so that the lanes of small arrays do not end up in one task.
+    """
     day = F.struct(F.col("date").alias("date"), *[F.col(c).alias(c) for c in columns])
-    grouped = df.groupBy(key).agg(
+    grouped = spread(df, key).groupBy(key).agg(
         F.array_sort(F.collect_list(day)).alias("_days"), *[F.first(c).alias(c) for c in keep])
     return grouped.select(
         key, *keep, F.size("_days").alias("n_days"), F.col("_days.date").alias("date"),

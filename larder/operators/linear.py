@@ -296,15 +296,23 @@ ORDERS = [
     ((0, 1, 1), (0, 1, 1, 7)),
 ]
 DEFAULT_ORDER = ORDERS[0]
-MAX_LAGS, MAX_SEASONAL = 4, 2
-AR_COLUMNS = [f"_w{i}" for i in range(1, MAX_LAGS + 1)] + [f"_s{i}" for i in range(1, MAX_SEASONAL + 1)]
+
+
+def _widths(orders: list) -> tuple[int, int]:
+    """Most daily and weekly lags that any of the orders needs."""
+    return max(o[0] + o[2] for o, _ in orders), max(s[0] + s[2] for _, s in orders)
+
+
+def _lag_columns(orders: list) -> list[str]:
+    daily, weekly = _widths(orders)
+    return [f"_w{i}" for i in range(1, daily + 1)] + [f"_s{i}" for i in range(1, weekly + 1)]
 
 
 def order_name(order: tuple, seasonal: tuple) -> str:
     return f"{order}x{seasonal}".replace(" ", "")
 
 
-def _candidate(order: tuple, seasonal: tuple) -> Column:
+def _candidate(order: tuple, seasonal: tuple, widths: tuple[int, int]) -> Column:
     """One row's regression for a candidate: differenced target, base to add back, lagged terms.
 
     The series is differenced by day (d = 1) and by week (D = 1).  A long
@@ -317,8 +325,8 @@ def _candidate(order: tuple, seasonal: tuple) -> Column:
     zero = F.lit(0.0)
     cells = [F.lit(order_name(order, seasonal)).alias("candidate"), lag(0).alias("_target"),
              F.col(f"_b{diff}").alias("_base")]
-    cells += [(lag(i) if i <= short else zero).alias(f"_w{i}") for i in range(1, MAX_LAGS + 1)]
-    cells += [(lag(SEASON * i) if i <= weekly else zero).alias(f"_s{i}") for i in range(1, MAX_SEASONAL + 1)]
+    cells += [(lag(i) if i <= short else zero).alias(f"_w{i}") for i in range(1, widths[0] + 1)]
+    cells += [(lag(SEASON * i) if i <= weekly else zero).alias(f"_s{i}") for i in range(1, widths[1] + 1)]
     return F.struct(*cells)
 
 
@@ -329,7 +337,8 @@ def _with_differences(df: DataFrame, orders: list) -> DataFrame:
     bases = {"10": y(1), "01": y(SEASON), "11": y(1) + y(SEASON) - y(SEASON + 1), "00": F.lit(0.0)}
     df = df.withColumns({f"_b{k}": bases[k] for k in kinds})
     df = df.withColumns({f"_d{k}_0": F.col("y") - F.col(f"_b{k}") for k in kinds})
-    lags = [*range(1, MAX_LAGS + 1), *(SEASON * i for i in range(1, MAX_SEASONAL + 1))]
+    daily, weekly = _widths(orders)
+    lags = sorted({*range(1, daily + 1), *(SEASON * i for i in range(1, weekly + 1))})
     return df.withColumns({f"_d{k}_{i}": F.lag(f"_d{k}_0", i).over(by_day()) for k in kinds for i in lags})
 
 
@@ -344,14 +353,16 @@ def arx(features: DataFrame, split: DataFrame, refit_every: int = 28, orders: li
     (``series_id, candidate``) says which series needs which of them.
     """
     wanted = orders or [DEFAULT_ORDER]
+    if any(s[3] != SEASON for _, s in wanted):
+        raise ValueError(f"the seasonal period must be {SEASON}")
     joined = features.select("series_id", "date", "t", "y", *EXOG).join(split, "series_id").filter(F.col("t") < F.col("n"))
     filled = exog_fill_train_mean(joined, F.col("t0"), LAGGED_EXOG)
     rows = _with_differences(filled, wanted).select(
         "series_id", "date", "t", "n", "t0", "y", *EXOG,
-        F.inline(F.array(*[_candidate(o, s) for o, s in wanted])))
+        F.inline(F.array(*[_candidate(o, s, _widths(wanted)) for o, s in wanted])))
     if only is not None:
         rows = rows.join(only, ["series_id", "candidate"], "left_semi")
-    columns = [*AR_COLUMNS, *EXOG]
+    columns = [*_lag_columns(wanted), *EXOG]
     fits = fold_fits(rows, split, [*columns, "_target"], refit_every, None, fit_least_squares)
     days = forecast_days(rows).withColumn("fold", fold_number(refit_every))
     out = days.join(fits.select("series_id", "candidate", "fold", "intercept", "coef"),

@@ -97,19 +97,26 @@ def order_up_to_level(forecast_sum: Column, safety: Column, mean_daily: Column |
     level = forecast_sum + safety
     if mean_daily is None or cover_days is None:
         return level
-    capped = F.least(level, cover_days * mean_daily)
+    # least() skips NULL: an unknown level must stay unknown
+    capped = F.when(level.isNotNull(), F.least(level, cover_days * mean_daily))
     return F.when(mean_daily.isNull() | (mean_daily == 0), level).otherwise(capped)
 
 
 def order_quantity(level: Column, position: Column) -> Column:
-    return F.greatest(F.lit(0.0), half_even(level - position))
+    """Units to order, never below 0; NULL where level or position is unknown."""
+    wanted = half_even(level - position)
+    return F.when(wanted.isNotNull(), F.greatest(F.lit(0.0), wanted))
 
 
 def interval_error_std(df: DataFrame, horizon: int, demand: str = "demand", forecast: str = "forecast") -> DataFrame:
-    """Per series: deviation of demand over the next ``horizon`` days from ``horizon`` x forecast."""
+    """Per series: deviation of demand over the next ``horizon`` days from ``horizon`` x forecast.
+
+    Only whole intervals count: every one of the days has a demand, and there is a forecast.
+    """
+    nearest = F.count(demand).over(ahead(horizon))
     numbered = df.select(
         "series_id",
-        (F.sum(demand).over(ahead(horizon)) - horizon * F.col(forecast)).alias("_error"),
+        F.when(nearest == horizon, F.sum(demand).over(ahead(horizon)) - horizon * F.col(forecast)).alias("_error"),
         day_number().alias("_t"), F.count(F.lit(1)).over(whole()).alias("_n"))
     return (numbered.filter(F.col("_t") < F.col("_n") - horizon)
             .groupBy("series_id").agg(F.stddev_pop("_error").alias("sigma_interval")))
@@ -136,11 +143,12 @@ def expiry_first_issue(units: list[Column], need: Column) -> list[Column]:
 
     A slot gives what is still needed after all slots before it.  The running
     sums are plain column sums, so the issue is one projection: no explode, no
-    window, no shuffle.
+    window, no shuffle.  An unknown slot is empty; an unknown need takes unknown units.
     """
     taken, before = [], F.lit(0.0)
-    for u in units:
-        taken.append(F.greatest(F.lit(0.0), F.least(u, need - before)))
+    for unit in units:
+        u = F.coalesce(unit, F.lit(0.0))
+        taken.append(F.when(need.isNotNull(), F.greatest(F.lit(0.0), F.least(u, need - before))))
         before = before + u
     return taken
 
@@ -150,7 +158,7 @@ def oldest_first_issue(df: DataFrame, need: Column) -> DataFrame:
     stock = stock_columns_in(df.columns)
     units = [F.coalesce(F.col(c), F.lit(0.0)) for c in stock]
     taken = expiry_first_issue(units, need)
-    served = F.least(need, sum_columns(units))
+    served = F.when(need.isNotNull(), F.least(need, sum_columns(units)))
     return df.select(
         "series_id", "date",
         *[(u - t).alias(c) for c, u, t in zip(stock, units, taken)],
@@ -176,8 +184,9 @@ def arrival_split(df: DataFrame, lead_time: int, frac_long: float, seed: Column)
 
 
 def emergency_topup(demand: Column, on_shelf: Column, floor: Column) -> Column:
-    """Courier units that keep the floor after today's demand."""
-    return F.greatest(F.lit(0.0), floor + demand - on_shelf)
+    """Courier units that keep the floor after today's demand; NULL where demand or stock is unknown."""
+    wanted = floor + demand - on_shelf
+    return F.when(wanted.isNotNull(), F.greatest(F.lit(0.0), wanted))
 
 
 # -- measures ---------------------------------------------------------------------------------

@@ -88,10 +88,6 @@ def average(forecasts: DataFrame, members: DataFrame, name: str = ENSEMBLE) -> D
     )
 
 
-def with_ensemble(forecasts: DataFrame, scores: DataFrame) -> DataFrame:
-    return forecasts.unionByName(average(forecasts, trimmed_members(scores)))
-
-
 def winner(scores: DataFrame, registry: list[str]) -> DataFrame:
     """Lowest MASE per series; a tie goes to the earlier registry entry."""
     ranked = scores.withColumns({"_merit": _merit(scores), "_rank": rank_of(registry)})

@@ -56,28 +56,40 @@ GBT_LEAFWISE = TreeModel("gbt_leafwise", "boost", {
 def training_table(split_features: DataFrame) -> DataFrame:
     """Assembled, scaled rows of every series, written once for all fits.
 
-    Rows with a missing feature can be neither learned from nor forecast.
+    Rows with a missing feature can be neither learned from nor forecast: they have a NULL vector.
     ``scale`` is the series' mean demand before the test block.
     """
     means = (split_features.filter(F.col("t") < F.col("t0")).groupBy("series_id")
              .agg(F.avg("y").alias("_mean")))
     scale = F.when(F.col("_mean") > 0, F.col("_mean")).otherwise(F.lit(1.0))
-    ready = (split_features.dropna(how="any", subset=FEATURES).filter(F.col("t") >= WARMUP)
-             .join(means, "series_id").withColumn("scale", scale))
+    ready = (split_features.filter(F.col("t") >= WARMUP).join(means, "series_id").withColumn("scale", scale))
     shrunk = [*LAG_FEATURES, *ROLL_FEATURES]
     scaled = ready.withColumns({c: F.col(c) / F.col("scale") for c in shrunk})
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="vec").transform(scaled)
+    complete = scaled.dropna(how="any", subset=FEATURES)
+    vectors = VectorAssembler(inputCols=FEATURES, outputCol="vec").transform(complete)
+    missing = scaled.filter(" OR ".join(f"{c} IS NULL OR isnan({c})" for c in FEATURES))
+    vectors = vectors.unionByName(missing.withColumn("vec", F.lit(None).cast(vectors.schema["vec"].dataType)))
     return stored(vectors.select("series_id", "date", "t", "n", "t0", "y", "scale",
                                  (F.col("y") / F.col("scale")).alias("label"), "vec"), "training")
 
 
-def fit_fold(table: DataFrame, model: TreeModel, fold: int, refit_every: int) -> DataFrame | None:
-    """Forecasts of one fold's days from a model of the rows before it."""
-    train = training_rows(table, fold, refit_every).filter(F.col("label").isNotNull()).select("vec", "label")
+def _learnable(table: DataFrame) -> DataFrame:
+    return table.filter(F.col("label").isNotNull() & F.col("vec").isNotNull()).select("vec", "label")
+
+
+def fit_fold(table: DataFrame, model: TreeModel, fold: int, refit_every: int) -> DataFrame:
+    """Forecasts of one fold's days from a model of the rows before it.
+
+    Every day of the fold has a row; the forecast is NULL where a feature is missing or nothing could be learned.
+    """
+    days, train = test_rows(table, fold, refit_every), _learnable(training_rows(table, fold, refit_every))
+    unknown = F.lit(None).cast("double")
     if train.isEmpty():
-        return None
-    fitted = model.estimator().fit(train)
-    scored = fitted.transform(test_rows(table, fold, refit_every))
+        scored = days.withColumn("_pred", unknown)
+    else:
+        fitted = model.estimator().fit(train)
+        scored = fitted.transform(days.filter(F.col("vec").isNotNull())).unionByName(
+            days.filter(F.col("vec").isNull()).withColumn("_pred", unknown))
     return scored.select("series_id", "date", F.lit(model.name).alias("model"),
                          (F.col("_pred") * F.col("scale")).alias("forecast"), F.col("y").alias("actual"))
 
@@ -93,15 +105,12 @@ def tree_forecasts(table: DataFrame, models: list[TreeModel], refit_every: int,
     jobs = [(m, f) for m in models for f in range(folds)]
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
         parts = list(pool.map(lambda job: fit_fold(table, job[0], job[1], refit_every), jobs))
-    parts = [p for p in parts if p is not None]
-    if not parts:
-        raise ValueError("no fold has training rows")
     return stored(reduce(lambda a, b: a.unionByName(b), parts), "tree-forecasts")
 
 
 def importances(table: DataFrame, model: TreeModel) -> DataFrame:
     """``name, value`` importances of a model of all complete rows."""
-    fitted = model.estimator().fit(table.filter(F.col("label").isNotNull()).select("vec", "label"))
+    fitted = model.estimator().fit(_learnable(table))
     values = fitted.featureImportances.toArray()
     return table.sparkSession.createDataFrame(
         [(c, float(v)) for c, v in zip(FEATURES, values)], "name string, value double")

@@ -96,9 +96,3 @@ def high_outlier_flag(df: DataFrame, columns: list[str], mult: float = 5.0) -> D
     scaled = df.selectExpr("*", *scales)
     flagged = scaled.selectExpr(*df.columns, f"array_compact(cast(array({names}) AS array<string>)) AS high_outlier_columns")
     return flagged.withColumn("has_high_outlier", flag(F.size("high_outlier_columns") > 0))
-
-
-def by_day_order(df: DataFrame) -> DataFrame:
-    """Number the days of each series (``t`` from 0)."""
-    return df.withColumn("t", day_number())
-

@@ -6,6 +6,7 @@ import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def tune_trees(table: DataFrame, split: DataFrame, scale: DataFrame, base: trees
     """(default and trial models by name, forecasts of all, one adoption for all series).
 
     The models are pooled over series, so one configuration is chosen for all, by
-    the mean of the series' scores.  A trial whose fit fails is left without a score.
+    the mean of the series' scores.  A trial whose settings the learner refuses is left without a score; any other failure ends the run.
     """
     fixed = s.overrides.get(base.name, {})
     models = {"default": base.with_params("default", **fixed)}
@@ -70,7 +71,7 @@ def tune_trees(table: DataFrame, split: DataFrame, scale: DataFrame, base: trees
     for name, model in models.items():
         try:
             parts.append(trees.tree_forecasts(table, [model], s.refit_every, folds))
-        except Exception as e:
+        except (IllegalArgumentException, ValueError, TypeError) as e:
             if name == "default":
                 raise
             warnings.warn(f"{base.name} {name} failed and is left out: {e}", stacklevel=2)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -32,9 +34,10 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir():
         return context.getCheckpointDir()
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     folder = tempfile.mkdtemp(prefix="larder-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context.setCheckpointDir(folder)
     return folder
 
@@ -44,6 +47,17 @@ def new_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_folder(spark), f"larder-{label}-{uuid.uuid4().hex}")
 
 
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table that ``stored`` wrote; for the end of a job, when no result reads them any more."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
@@ -51,6 +65,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     stay prunable, and losing an executor costs a re-read rather than a recompute.
     """
     path = new_path(df.sparkSession, label)
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

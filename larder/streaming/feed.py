@@ -26,14 +26,27 @@ def daily_demand(transactions: DataFrame, series_id: Column, measures: dict[str,
     return rolled.select("series_id", day.alias("date"), *measures)
 
 
-def run_to_end(stream: DataFrame, label: str) -> DataFrame:
-    """Process all available input into files under the shared folder and return them as a table."""
+#: Time of the marker that closes a stream: later than any row, so that the watermark passes every day, and still in
+#: the range of the nanosecond times that Python workers use.
+END = "2260-01-01"
+
+
+def run_to_end(stream: DataFrame, label: str, closing: tuple[DataFrame, str] | None = None) -> DataFrame:
+    """Process all available input into files under the shared folder and return them as a table.
+
+    Without ``closing`` the last days stay in the state, as a watermark waits for late rows.  With it the
+    input has ended: after all of it a marker (see ``closing_feed``) moves the watermark past every day, in a
+    second run from the same checkpoint.
+    """
     spark: SparkSession = stream.sparkSession
-    out = new_path(spark, label)
-    query = (stream.writeStream.format("parquet").outputMode("append")
-             .option("path", out).option("checkpointLocation", new_path(spark, f"{label}-progress"))
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
+    out, progress = new_path(spark, label), new_path(spark, f"{label}-progress")
+    for last in (False, True) if closing is not None else (False,):
+        if last:
+            marker, folder = closing
+            marker.write.mode("append").parquet(folder)
+        query = (stream.writeStream.format("parquet").outputMode("append")
+                 .option("path", out).option("checkpointLocation", progress).trigger(availableNow=True).start())
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -51,3 +64,16 @@ def read_files(spark: SparkSession, table: DataFrame, folder: str, files_per_bat
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     return reader.parquet(folder)
+
+
+def closing_feed(stream: DataFrame, time: str) -> tuple[DataFrame, tuple[DataFrame, str]]:
+    """``stream`` with a second feed for its end, and what ``run_to_end`` writes there: one row, all null but ``time``.
+
+    The marker has no series, so it only moves the watermark; its own day never passes.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+    folder = new_path(spark, "closing")
+    kinds = {f.name: f.dataType for f in schema}
+    marker = spark.range(1).select(*[(F.lit(END) if c == time else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
+    marker.limit(0).write.parquet(folder)
+    return stream.unionByName(spark.readStream.schema(marker.schema).parquet(folder)), (marker, folder)

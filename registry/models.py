@@ -167,38 +167,40 @@ def driver_importance(spark, sf):
 
 def stream_daily_demand(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet")
-    stream = feed.read_files(spark, events, sf, pattern="events.parquet")
+    stream, closing = feed.closing_feed(feed.read_files(spark, events, sf, pattern="events.parquet"), "ts")
     rolled = feed.daily_demand(stream, F.col("event_type"), {
         "units_used": F.count(F.lit(1)).cast("double"),
         "units_requested": F.count_if(F.col("value") > 50).cast("double")})
-    return emit(feed.run_to_end(rolled, "daily"))
+    return emit(feed.run_to_end(rolled, "daily", closing))
 
 
 def _as_stream(table, label):
-    """A stream over a table's rows, written to files that are all there when it starts."""
+    """A stream over a table's rows, written to files that are all there when it starts, and its end."""
     from larder.session import new_path
     path = new_path(table.sparkSession, label)
     table.write.parquet(path)
-    return feed.read_files(table.sparkSession, table, path)
+    return feed.closing_feed(feed.read_files(table.sparkSession, table, path), "date")
 
 
 def stream_forecast(spark, sf):
     daily = feature_table(spark, sf).select("series_id", "date", "y")
-    return emit(feed.run_to_end(stateful.seasonal_naive(_as_stream(daily, "feed")), "stream-forecast"))
+    stream, closing = _as_stream(daily, "feed")
+    return emit(feed.run_to_end(stateful.seasonal_naive(stream), "stream-forecast", closing))
 
 
 def stream_refit_cadence(spark, sf):
     feats, split = _test(spark, sf)
     weights = stored(smoothing.holt_winters_weights(feats, split), "weights")
     daily = feats.select("series_id", "date", "y")
-    return emit(feed.run_to_end(stateful.holt_winters(_as_stream(daily, "feed"), weights), "stream-smoothing"))
+    stream, closing = _as_stream(daily, "feed")
+    return emit(feed.run_to_end(stateful.holt_winters(stream, weights), "stream-smoothing", closing))
 
 
 def stream_stock_ledger(spark, sf):
     inputs = policy_input(spark, sf)
     sigma = policy.interval_error_std(inputs, policy.Scenario().horizon)
-    daily = inputs.join(sigma, "series_id")
-    return emit(feed.run_to_end(stateful.stock_ledger(_as_stream(daily, "feed")), "stream-ledger"))
+    stream, closing = _as_stream(inputs.join(sigma, "series_id"), "feed")
+    return emit(feed.run_to_end(stateful.stock_ledger(stream), "stream-ledger", closing))
 
 
 QUERIES = {f.__name__: f for f in [

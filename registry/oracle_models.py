@@ -48,14 +48,12 @@ FROM (SELECT *, round(b, 9) < round(d, 9) AS better FROM (
     "stream_daily_demand": query("""
 SELECT event_type AS series_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, CAST(count(*) AS DOUBLE) AS units_used,
   CAST(count(*) FILTER (WHERE value > 50) AS DOUBLE) AS units_requested
-FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY GROUP BY 1, 2"""),
+FROM events GROUP BY 1, 2"""),
     "stream_forecast": query(f"""
-SELECT {KEYS}, {r('lag_7', 'forecast')}, {r('y', 'actual')} FROM feats
-WHERE date < (SELECT max(date) FROM feats) - INTERVAL 2 DAY"""),
+SELECT {KEYS}, {r('lag_7', 'forecast')}, {r('y', 'actual')} FROM feats"""),
     "stream_stock_ledger": query(f"""
 SELECT {KEYS}, {rounded(['demand', 'ordered', 'arrived_short', 'arrived_long', 'expired_short', 'expired_long', 'courier',
-                         'served', 'short', 'onhand_short', 'onhand_long'])} FROM p_book
-WHERE date < (SELECT max(date) FROM p_book) - INTERVAL 2 DAY"""),
+                         'served', 'short', 'onhand_short', 'onhand_long'])} FROM p_book"""),
 }
 
 CTES["scalable"] = f"""
