@@ -24,6 +24,8 @@ SUBSETS, RETAIN = 64, 32
 LEAST_DOCS, MOST_SHARE = 1, 0.1
 #: Rows of a range of ids, on average; characters of a word and the space after it, roughly.
 RANGE, WORD_CHARS = 4096, 6
+#: Most ranges whose first rows are broadcast; beyond it, a merge join finds them.
+MOST_SENT = 100_000
 _BLANK = r"[\x20\x09-\x0D]+"
 
 
@@ -73,6 +75,8 @@ def with_next(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     firsts = firsts.withColumn("to", F.coalesce(F.lag("part").over(by_part), F.max("part").over(
         by_part.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))).select(
             F.col("part").alias("p"), F.col("x.k1").alias("f1"), F.col("x.k2").alias("f2"), "to")
+    # a row of some 50 bytes a range: sent to all tasks while that stays below 10 MB, so that no text moves for it
+    firsts = firsts.hint("broadcast" if ranges <= MOST_SENT else "merge")
     guests = rows.join(firsts, (rows.part == firsts.p) & (rows.k1 == firsts.f1) & (rows.k2 == firsts.f2)).dropDuplicates(["p"])
     both = rows.select(*order, "t", "part", F.lit(0).alias("guest"), F.lit(0).cast("long").alias("own")).unionByName(
         guests.select(*order, "t", F.col("to").alias("part"), F.lit(1).alias("guest"), F.col("p").alias("own")))
@@ -118,8 +122,9 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     def whole(column: str) -> Column:
         return (F.pmod(F.xxhash64(column), F.lit(65_535)) + 1).cast("int")
-    rows = joined.select("pos", F.struct("id", n.cast("long").alias("n"), F.sha2("e", 256).alias("sha"), whole("t").alias("ft"), whole("e").alias("fe"), "next_pos").alias("info"),
-                         _sampled(F.col("t")).alias("a"), _sampled(F.col("e")).alias("b"))
+    # written once: it is read twice below, and each reading would send the texts over the network again
+    rows = stored(joined.select("pos", F.struct("id", n.cast("long").alias("n"), F.sha2("e", 256).alias("sha"), whole("t").alias("ft"), whole("e").alias("fe"), "next_pos").alias("info"),
+                         _sampled(F.col("t")).alias("a"), _sampled(F.col("e")).alias("b")), "sampled")
     # the first of a document's rows, without a term, carries the rest of what is known of it
     listed = F.concat(F.array(F.struct(F.lit(None).cast("long").alias("h"), F.lit(0).alias("f"))), F.transform(
         F.array_union("a", "b"), lambda h: F.struct(h.alias("h"), (F.array_contains("a", h).cast("int") + 2 * F.array_contains("b", h).cast("int")).alias("f"))))
