@@ -2,13 +2,13 @@
 
 Terms are the distinct words of a text, lower case.  The lexicon keeps those whose inverse document frequency lies in a
 band: met in some document, but not in so many that they say nothing (words that an edit cuts in two are in none).  It is divided at random into ``SUBSETS``
-subsets, thinned further for longer texts (a term of high random rank survives to longer ones), so that a text of any
-length has about ``RETAIN`` terms in all.  A subset's signature is a hash of the text's sorted distinct terms in it.  The likeness of two
+subsets, thinned further for texts of many distinct terms in the band (a term of low random rank survives in larger ones), so that
+a text of any length keeps about ``RETAIN`` terms, or all if it has fewer.  A subset's signature is a hash of the text's sorted distinct terms in it.  The likeness of two
 texts is the share of equal signatures among those that either has: one changed term changes one subset, not all.
 
 All steps are DataFrame operations.  The neighbour of a document comes from a window over ranges of ids, each with the first
-row of the next range as a guest, so texts cross the network once.  Words are sampled in the row, before the join with the
-lexicon; of each document only the sampled ones travel.
+row of the next range as a guest, so texts cross the network once.  Terms above the band are few and sent to all tasks, so that
+words are sampled in the row by their number in the band; of each document only the sampled ones travel.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from larder.llm.common import row_keys, stored
 SUBSETS, RETAIN = 64, 32
 #: Band of document frequencies: at least so many documents, at most this share of them.
 LEAST_DOCS, MOST_SHARE = 1, 0.1
-#: Rows of a range of ids, on average; characters of a word and the space after it, roughly.
+#: Rows of a range of ids, on average; characters of a word and the space after it, roughly (no longer read here).
 RANGE, WORD_CHARS = 4096, 6
 #: Most ranges whose first rows are broadcast; beyond it, a merge join finds them.
 MOST_SENT = 100_000
@@ -34,27 +34,35 @@ def _terms(text: Column) -> Column:
     return F.transform(F.filter(F.split(F.lower(text), _BLANK), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _sampled(text: Column) -> Column:
-    """Distinct term hashes of a text that its length lets through.
+def _rank(h: Column) -> Column:
+    """Random rank of a term, of 53 bits."""
+    return F.shiftrightunsigned(h, 11)
 
-    Subset b of a text takes terms whose random rank is below 2 ** -floor(x + b / SUBSETS), x the binary logarithm of its length in
-    words over RETAIN: thinning grows by steps with the length, for a few subsets at a time.
+
+def _least(terms: Column) -> Column:
+    """The term of least rank in an array, empty for an empty one."""
+    return F.array_compact(F.array(F.array_min(F.transform(terms, lambda h: F.struct(_rank(h).alias("r"), h.alias("h"))))["h"]))
+
+
+def _thinned(terms: Column, n: Column) -> Column:
+    """Those of ``terms`` that a text of ``n`` distinct terms in the band keeps; the one of least rank if none would stay.
+
+    Subset b of a text takes terms whose random rank is below 2 ** -floor(x + b / SUBSETS), x the binary logarithm of ``n`` over
+    RETAIN: thinning grows by steps with the number, for a few subsets at a time.
     """
-    x = F.greatest(F.lit(0.0), F.log2(F.greatest(F.lit(1), F.char_length(text)) / F.lit(float(RETAIN * WORD_CHARS))))
+    x = F.greatest(F.lit(0.0), F.log2(F.greatest(F.lit(1), n) / F.lit(float(RETAIN))))
     whole = F.floor(x)
     first = F.pow(F.lit(2.0), 53 - whole).cast("long")
     settings = F.struct(first.alias("few"), F.ceil(SUBSETS * (1 - (x - whole))).alias("cut"))
-    keep = F.transform(F.array(settings), lambda s: F.filter(
-        _terms(text), lambda h: F.shiftrightunsigned(h, 11) < F.when(
-            h.bitwiseAND(SUBSETS - 1) >= s["cut"], F.shiftright(s["few"], 1)).otherwise(s["few"])))
-    return F.array_distinct(F.element_at(keep, 1))
+    keep = F.transform(F.array(settings), lambda s: F.filter(terms, lambda h: _rank(h) < F.when(
+        h.bitwiseAND(SUBSETS - 1) >= s["cut"], F.shiftright(s["few"], 1)).otherwise(s["few"])))
+    return F.element_at(F.transform(keep, lambda k: F.when(F.size(k) > 0, k).otherwise(_least(terms))), 1)
 
 
-def lexicon(docs: DataFrame, text: str, total: int) -> DataFrame:
-    """(h): terms in the band, counted over all documents."""
+def counts(docs: DataFrame, text: str) -> DataFrame:
+    """(h, df): every term with the number of documents that have it."""
     each = docs.select(F.explode(F.array_distinct(_terms(F.col(text)))).alias("h"))
-    return each.groupBy("h").agg(F.count("*").alias("df")).filter(
-        (F.col("df") >= LEAST_DOCS) & (F.col("df") <= max(2, int(MOST_SHARE * total)))).select("h")
+    return each.groupBy("h").agg(F.count("*").alias("df"))
 
 
 def with_next(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -122,21 +130,26 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     def whole(column: str) -> Column:
         return (F.pmod(F.xxhash64(column), F.lit(65_535)) + 1).cast("int")
+    known = stored(counts(docs, text), "terms")
+    most = max(2, int(MOST_SHARE * total))
+    # few terms are above the band: at most the mean number of terms of a document over MOST_SHARE
+    common = known.filter(F.col("df") > most).agg(F.collect_list("h").alias("common"))
+    info = F.struct("id", n.cast("long").alias("n"), F.sha2("e", 256).alias("sha"), whole("t").alias("ft"), whole("e").alias("fe"), "next_pos").alias("info")
+    terms = joined.select("pos", info, F.array_distinct(_terms(F.col("t"))).alias("t"), F.array_distinct(_terms(F.col("e"))).alias("e"),
+                          _terms(F.col("next_t")).alias("o")).crossJoin(F.broadcast(common))
+    # what the edit cut in two is in neither text: two terms at most, which alone need a look at the others
+    parted = terms.select("pos", "info", F.array_except("t", "common").alias("t"), F.array_except("e", "common").alias("e"),
+                          F.array_except(F.array_except("e", "t"), "o").alias("unsure"))
+    sure = parted.select("pos", "info", "t", F.array_except("e", "unsure").alias("e"), "unsure")
     # written once: it is read twice below, and each reading would send the texts over the network again
-    rows = stored(joined.select("pos", F.struct("id", n.cast("long").alias("n"), F.sha2("e", 256).alias("sha"), whole("t").alias("ft"), whole("e").alias("fe"), "next_pos").alias("info"),
-                         _sampled(F.col("t")).alias("a"), _sampled(F.col("e")).alias("b")), "sampled")
-    # the first of a document's rows, without a term, carries the rest of what is known of it
-    listed = F.concat(F.array(F.struct(F.lit(None).cast("long").alias("h"), F.lit(0).alias("f"))), F.transform(
-        F.array_union("a", "b"), lambda h: F.struct(h.alias("h"), (F.array_contains("a", h).cast("int") + 2 * F.array_contains("b", h).cast("int")).alias("f"))))
-    each = rows.select("pos", "info", F.explode(listed).alias("x")).select(
-        "pos", "x.h", "x.f", F.when(F.col("x.h").isNull(), F.col("info")).alias("info"))
-    terms = each.filter("h IS NOT NULL").select("pos", "h", "f").join(lexicon(docs, text, total).hint("merge"), "h", "left_semi")
-    empty = F.lit(None).cast("long").alias("h"), F.lit(0).alias("f")
-    kept = terms.select("pos", "h", "f", F.lit(None).cast(each.schema["info"].dataType).alias("info")).unionByName(
-        each.filter("h IS NULL").select("pos", *empty, "info"))
-    grouped = kept.groupBy("pos").agg(
-        F.array_sort(F.collect_list(F.when(F.col("f").bitwiseAND(1) > 0, F.col("h")))).alias("a"),
-        F.array_sort(F.collect_list(F.when(F.col("f").bitwiseAND(2) > 0, F.col("h")))).alias("b"), F.max("info").alias("info"))
+    rows = stored(sure.select("pos", "info", _thinned(F.col("t"), F.size("t")).alias("a"), F.size("e").alias("n_e"),
+                              F.array_union(_thinned(F.col("e"), F.size("e")), _least(F.col("e"))).alias("b"), "unsure"), "sampled")
+    band = known.filter((F.col("df") >= LEAST_DOCS) & (F.col("df") <= most)).select("h")
+    found = rows.select("pos", F.explode("unsure").alias("h")).join(band.hint("merge"), "h", "left_semi").groupBy("pos").agg(
+        F.collect_list("h").alias("found"))
+    both = rows.join(found.hint("merge"), "pos", "left").withColumn("found", F.coalesce("found", F.array().cast("array<bigint>")))
+    grouped = both.select("pos", "info", F.array_sort("a").alias("a"), F.array_sort(
+        _thinned(F.array_union("b", "found"), F.col("n_e") + F.size("found"))).alias("b"))
     signed = stored(grouped.select("pos", "info.*", _signatures(F.col("a"), F.col("info.ft")).alias("s"),
                                    _signatures(F.col("b"), F.col("info.fe")).alias("s_e")), "signatures")
     following = signed.select(F.col("pos").alias("p"), F.col("s").alias("s_n"))

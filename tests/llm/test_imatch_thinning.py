@@ -1,0 +1,59 @@
+import math
+from collections import Counter
+
+import duckdb
+
+from larder.llm import imatch
+from tests.conftest import SMALL
+from tests.llm.test_imatch import like, signed, terms, xxhash
+
+
+def plain(text, band):
+    """Fingerprint of one text, thinned by its number of distinct terms in the band."""
+    own_band = terms(text) & band
+    rank = lambda h: (h % 2**64) >> 11
+    x = max(0.0, math.log2(max(1, len(own_band)) / imatch.RETAIN))
+    kept = [h for h in own_band if rank(h) < 2 ** (53 - math.floor(x + (h & 63) / imatch.SUBSETS))]
+    kept = kept or sorted(own_band, key=lambda h: (rank(h), h))[:1]
+    if not kept:
+        return [signed(xxhash.xxh64_intdigest(text.encode(), 42)) % 65535 + 1, *[0] * 63]
+    out = []
+    for b in range(imatch.SUBSETS):
+        own, value = sorted(h for h in kept if h & 63 == b), 42
+        for h in own:
+            value = xxhash.xxh64_intdigest(h.to_bytes(8, "little", signed=True), value)
+        out.append(signed(value) % 65535 + 1 if own else 0)
+    return out
+
+
+def expected(rows):
+    texts = [t or "" for _, t in rows]
+    df = Counter(h for t in texts for h in terms(t))
+    band = {h for h, n in df.items() if n <= max(2, int(0.1 * len(rows)))}
+    prints, out = [plain(t, band) for t in texts], []
+    for i, (d, _) in enumerate(rows):
+        n, nxt = len(texts[i]), (i + 1) % len(rows)
+        e = plain(texts[i][:n - n // 2] + texts[nxt][:n // 2], band)
+        text = lambda s: "".join(f"{v:04x}" for v in s)
+        out.append((d, text(prints[i]), text(e), like(prints[i], e), like(prints[i], prints[nxt])))
+    return out
+
+
+def fingerprinted(docs):
+    got = imatch.fingerprints(docs).select("doc_id", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return sorted(map(tuple, got.collect()))
+
+
+def test_whole_table_by_distinct_terms(spark, monkeypatch):
+    monkeypatch.setattr(imatch, "RANGE", 30)
+    rows = duckdb.sql(f"SELECT doc_id, text FROM '{SMALL}/documents.parquet' ORDER BY doc_id").fetchall()
+    assert fingerprinted(spark.read.parquet(f"{SMALL}/documents.parquet")) == expected(rows)
+
+
+def test_repetitive_text_keeps_its_terms(spark):
+    """A long text of few distinct terms: one more word leaves it near."""
+    long = " ".join(f"term{i}" for i in range(12)) + " "
+    rows = [(1, long * 400), (2, "inserted " + long * 400), (3, "another text"), (4, "cut word"), (5, "ano")]
+    got = fingerprinted(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == expected(rows)
+    assert got[0][1].count("0000") < 60 and got[0][4] > 0.7
