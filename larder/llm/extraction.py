@@ -7,7 +7,8 @@ there costs next to nothing, one that stands outside or at the edge costs more t
 stray words beyond it could win.
 
 Elements that are no content wherever they stand (navigation, forms, scripts, elements whose class, id or role says advert,
-notice, sidebar, comment and so on) give no tokens, so that they neither win nor interrupt.
+notice, sidebar, comment and so on) give no tokens, so that they neither win nor interrupt.  A class, id or role says so as a
+whole name ("ad-box", not "overflow-hidden"), and never of the only article of a page or what holds it.
 """
 
 from __future__ import annotations
@@ -47,9 +48,24 @@ _MARKS = frozenset(
     "consent gdpr notice notices notification alert popup modal overlay dialog newsletter subscribe subscription signup login comment comments "
     "commentlist disqus reply replies respond discussion social share sharing related recommended recommendations pagination pager toolbar "
     "search skip hidden tracking paywall".split())
+#: Words that say nothing of the content: beside a mark they leave it a mark, any other word makes the name another ("has-sidebar").
+_PLAIN = frozenset(
+    "area bar block body bottom box btn button buttons col column container content div foot form global group head holder icon icons inner item "
+    "items left link links list main outer page panel post row section site text title top right unit wrap wrapper".split())
+_LETTER = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+def _marked(value: str) -> bool:
+    """A name in a class, id or role says that this is no content: it has a mark, and no words but marks and plain ones."""
+    for name in value.split():
+        parts = {w.lower() for w in _NAME.findall(name)}
+        if not parts.isdisjoint(_MARKS) and parts <= _MARKS | _PLAIN:
+            return True
+    return False
 
 
-def _no_content(name: str, attributes: str) -> bool:
+def _no_content(name: str, attributes: str, spared: bool = False) -> bool:
+    """``spared``: marks do not count, as the element is or holds the one that names the content."""
     if name in _NEVER:
         return True
     if not attributes or name in ("html", "body", "main"):
@@ -58,7 +74,7 @@ def _no_content(name: str, attributes: str) -> bool:
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return True
-        if key in ("class", "id", "role") and any(w.lower() in _MARKS for w in _NAME.findall(value)):
+        if key in ("class", "id", "role") and not spared and _marked(value):
             return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
@@ -68,9 +84,21 @@ def _no_content(name: str, attributes: str) -> bool:
 def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
     """(tag, text, content): tag is "" for text, else "name" or "/name"; content is false inside what is no content.
 
-    Comments, declarations and an unfinished tag at the end give nothing; raw text ends at its own end tag.
+    Comments, declarations and an unfinished tag at the end give nothing; raw text ends at its own end tag.  Where a page has one
+    ``article`` (or none, and one ``main``), no mark takes out that element or one that holds it.
+    """
+    held: dict[str, list[frozenset[int]]] = {"article": [], "main": []}
+    row = list(_scan(page, frozenset(), held))
+    one = next((x for x in held.values() if x), [])
+    yield from _scan(page, one[0], {}) if len(one) == 1 and one[0] else row
+
+
+def _scan(page: str, spared: frozenset[int], held: dict[str, list[frozenset[int]]]) -> Iterator[tuple[str, str, bool]]:
+    """Tokens of ``tokens``; ``spared`` are places of start tags whose marks do not count.
+
+    For each element named in ``held``, the places of those open there that are no content are added, its own included.
     """
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, bool, int]] = []
     outside, at, end = 0, 0, len(page)  # outside: open elements that are no content
 
     def pop(count: int) -> None:
@@ -79,7 +107,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
             outside -= stack.pop()[1]
     while at < end:
         cut = page.find("<", at)
-        while 0 <= cut and not (page[cut + 1:cut + 2].isalpha() or page[cut + 1:cut + 2] in ("/", "!", "?") and page[cut + 1:cut + 2]):
+        while 0 <= cut and not (page[cut + 1:cut + 2] in _LETTER or page[cut + 1:cut + 2] in ("/", "!", "?")):
             cut = page.find("<", cut + 1)
         cut = end if cut < 0 else cut
         if cut > at:
@@ -92,12 +120,12 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
             continue
         m = _TAG.match(page, cut)
         if not m:
-            if page[cut + 1].isalpha() or page[cut + 1] == "/" and page[cut + 2:cut + 3].isalpha():
+            if page[cut + 1] in _LETTER or page[cut + 1] == "/" and page[cut + 2:cut + 3] in _LETTER:
                 return
             at = page.find(">", cut)
             at = end if at < 0 else at + 1
             continue
-        at, name = m.end(), m[2].lower()
+        start, at, name = cut, m.end(), m[2].lower()
         if m[1]:
             place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
             if place >= 0:
@@ -114,7 +142,9 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
                     break
         if name == "body":
             pop(next((len(stack) - i for i, x in enumerate(stack) if x[0] == "head"), 0))
-        bad = _no_content(name, m[3])
+        bad = _no_content(name, m[3], start in spared)
+        if name in held:
+            held[name].append(frozenset([x[2] for x in stack if x[1]] + ([start] if bad else [])))
         if name in _VOID:
             yield name, "", not outside
             continue
@@ -123,7 +153,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
             stop = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
             at = stop.start() if stop else end
         if not (m[3].endswith("/") and name in ("svg", "math")):
-            stack.append((name, bad))
+            stack.append((name, bad, start))
             outside += bad
 
 

@@ -3,13 +3,16 @@
 A text is cut into sentences; those with a critical word are normalised and looked up among known licence sentences.
 What remains of a document is a sequence of sentence identifiers, and ordered rules turn runs of identifiers
 into licences: a rule that comes first takes its run, so a full licence text is not read as the short
-reference inside it.  Sentences with a critical word that no table knows are counted as unknown.
+reference inside it.  A known sentence may be wrapped, with comment signs before its lines; other text ends a sentence at
+every line break.  Sentences with a critical word that no table knows are counted as unknown.
 
 Everything is string and array functions in the row; nothing is exchanged.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,6 +66,8 @@ SENTENCES = (
     ("bsd_source", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
     ("bsd_binary", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the "
                    "documentation and or other materials provided with the distribution"),
+    ("bsd_endorse", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+                    "from this software without specific prior written permission"),
     ("bsd_ref", "licensed under the bsd license"),
     ("bsd3_ref", "licensed under the bsd 3 clause license"),
     ("bsd2_ref", "licensed under the bsd 2 clause license"),
@@ -104,6 +109,7 @@ RULES = (
     ("LGPL-2.1", ("lgpl21_ref",)),
     ("LGPL-3.0", ("lgpl3_ref",)),
     ("AGPL-3.0", ("agpl3_ref",)),
+    ("BSD-3-Clause", ("bsd_redistribution", "bsd_source", "bsd_binary", "bsd_endorse")),
     ("BSD-2-Clause", ("bsd_redistribution", "bsd_source", "bsd_binary")),
     ("BSD-3-Clause", ("bsd3_ref",)),
     ("BSD-2-Clause", ("bsd2_ref",)),
@@ -127,6 +133,23 @@ RULES = (
 #: White space that ends a sentence after its sign, and signs that a normalised sentence keeps.
 _ENDS, _OTHER, _TAIL = "[.!?]+[ \\t\\r\\n]+|[;:]?[\\r\\n]+", "[^a-z0-9.]+", "[. ]+$"
 
+#: Of a wrapped sentence: what stands before it (a sentence or line end, comment signs), between its words (line breaks and comment
+#: signs too), and after it.
+_BEFORE, _BETWEEN = "(^[^a-z0-9.]*|[\\r\\n][^a-z0-9.]*|[.!?][ \\t]+[^a-z0-9.]*)", "[^a-z0-9.!?]+"
+_AFTER = "(?=[^a-z0-9.!?\\r\\n]*(?:[.!?]+(?:[ \\t\\r\\n]|$)|[\\r\\n]|$))"
+
+
+def _unwrapped(text: Column) -> Column:
+    """The text with every known sentence, where line breaks and comment signs cut it, on one line of its own; longer ones first."""
+    known = sorted({s for s, _ in SENTENCES}, key=lambda s: (-len(s), s))
+    rows = F.array(*[F.struct(
+        F.lit(max(s.split(), key=len)).alias("word"),
+        F.lit(_BEFORE + _BETWEEN.join(re.escape(w) for w in s.split()) + _AFTER).alias("pattern"),
+        # no space after a dot, which would end the sentence
+        F.lit("$1\n" + s.replace(". ", "._") + "\n").alias("line")) for s in known])
+    return F.aggregate(rows, text, lambda t, s: F.when(
+        F.contains(t, s["word"]), F.regexp_replace(t, s["pattern"], s["line"])).otherwise(t))
+
 
 def _has_critical(text: Column) -> Column:
     found = F.lit(False)
@@ -149,6 +172,7 @@ def scanned(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     """
     lower = F.lower(F.coalesce(F.col(text), F.lit("")))
     rows = docs.select(F.col(doc_id), lower.alias("__t"))
+    rows = rows.withColumn("__t", F.when(_has_critical(F.col("__t")) & F.contains("__t", F.lit("\n")), _unwrapped(F.col("__t"))).otherwise(F.col("__t")))
     parts = F.split(F.regexp_replace("__t", _ENDS, "\n"), "\n")
     normal = F.transform(F.filter(parts, _has_critical),
                          lambda s: F.regexp_replace(F.trim(F.regexp_replace(s, _OTHER, " ")), _TAIL, ""))
