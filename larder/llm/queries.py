@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import extraction, imatch, licences, mixing, neighbours, packing, resampling, rlz, simhash, toxicity
+from larder.llm import extraction, imatch, licences, merkle, mixing, neighbours, packing, resampling, rlz, simhash, toxicity
 from larder.llm.common import documents
 
 
@@ -59,6 +59,10 @@ def op10_sentence_licences(spark: SparkSession, sf: str) -> DataFrame:
     return licences.scanned(documents(spark, sf))
 
 
+def op11_veb_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.digests(documents(spark, sf))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline  # it uses this module
 
@@ -77,8 +81,10 @@ QUERIES = {
     "op8_imatch_fingerprints": op8_imatch_fingerprints,
     "op9_rlz_substring_dedup": op9_rlz_substring_dedup,
     "op10_sentence_licences": op10_sentence_licences,
+    "op11_veb_manifest": op11_veb_manifest,
 }
 
 SQL: dict[str, str] = {
     "op10_sentence_licences": licences.sql(),
+    "op11_veb_manifest": merkle.sql(),
 }
