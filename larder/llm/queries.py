@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import extraction, imatch, licences, merkle, mixing, neighbours, packing, resampling, rlz, simhash, toxicity
+from larder.llm import extraction, imatch, licences, merkle, mixing, neighbours, packing, resampling, rlz, simhash, toxicity, whitening
 from larder.llm.common import documents
 
 
@@ -63,6 +63,10 @@ def op11_veb_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.digests(documents(spark, sf))
 
 
+def op12_bit_sliced_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.components(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline  # it uses this module
 
@@ -82,6 +86,7 @@ QUERIES = {
     "op9_rlz_substring_dedup": op9_rlz_substring_dedup,
     "op10_sentence_licences": op10_sentence_licences,
     "op11_veb_manifest": op11_veb_manifest,
+    "op12_bit_sliced_whitening": op12_bit_sliced_whitening,
 }
 
 SQL: dict[str, str] = {
