@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import extraction, imatch, licences, merkle, mixing, neighbours, packing, resampling, rlz, simhash, toxicity, whitening
+from larder.llm import extraction, imatch, licences, merkle, mixing, neighbours, packing, resampling, rlz, sharding, simhash, toxicity, whitening
 from larder.llm.common import documents
 
 
@@ -67,6 +67,10 @@ def op12_bit_sliced_whitening(spark: SparkSession, sf: str) -> DataFrame:
     return whitening.components(spark.read.parquet(f"{sf}/embeddings.parquet"))
 
 
+def op13_kd_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.sharded(documents(spark, sf), shards=40)
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline  # it uses this module
 
@@ -87,6 +91,7 @@ QUERIES = {
     "op10_sentence_licences": op10_sentence_licences,
     "op11_veb_manifest": op11_veb_manifest,
     "op12_bit_sliced_whitening": op12_bit_sliced_whitening,
+    "op13_kd_sharding": op13_kd_sharding,
 }
 
 SQL: dict[str, str] = {
