@@ -136,17 +136,20 @@ _ENDS, _OTHER, _TAIL = "[.!?]+[ \\t\\r\\n]+|[;:]?[\\r\\n]+", "[^a-z0-9.]+", "[.
 #: Of a wrapped sentence: what stands before it (a sentence or line end, comment signs), between its words (line breaks and comment
 #: signs too), and after it.
 _BEFORE, _BETWEEN = "(^[^a-z0-9.]*|[\\r\\n][^a-z0-9.]*|[.!?][ \\t]+[^a-z0-9.]*)", "[^a-z0-9.!?]+"
-_AFTER = "(?=[^a-z0-9.!?\\r\\n]*(?:[.!?]+(?:[ \\t\\r\\n]|$)|[\\r\\n]|$))"
+_AFTER = "([^a-z0-9.!?\\r\\n]*(?:[.!?]+(?:[ \\t\\r\\n]|$)|[\\r\\n]|$))"
+
+
+def _wrapped() -> list[tuple[str, str, str]]:
+    """(longest word, pattern, line) of every known sentence, longer ones first; the line is what replaces it, in one piece."""
+    known = sorted({s for _, s in SENTENCES}, key=lambda s: (-len(s), s))
+    # no space after a dot, which would end the sentence
+    return [(max(s.split(), key=len), _BEFORE + _BETWEEN.join(re.escape(w) for w in s.split()) + _AFTER, s.replace(". ", "._")) for s in known]
 
 
 def _unwrapped(text: Column) -> Column:
     """The text with every known sentence, where line breaks and comment signs cut it, on one line of its own; longer ones first."""
-    known = sorted({s for s, _ in SENTENCES}, key=lambda s: (-len(s), s))
-    rows = F.array(*[F.struct(
-        F.lit(max(s.split(), key=len)).alias("word"),
-        F.lit(_BEFORE + _BETWEEN.join(re.escape(w) for w in s.split()) + _AFTER).alias("pattern"),
-        # no space after a dot, which would end the sentence
-        F.lit("$1\n" + s.replace(". ", "._") + "\n").alias("line")) for s in known])
+    # a fold over a literal array, as so many nested expressions would be too deep for the planner; few patterns are tried on a text
+    rows = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(p).alias("pattern"), F.lit(f"$1\n{s}\n$2").alias("line")) for w, p, s in _wrapped()])
     return F.aggregate(rows, text, lambda t, s: F.when(
         F.contains(t, s["word"]), F.regexp_replace(t, s["pattern"], s["line"])).otherwise(t))
 
@@ -172,7 +175,7 @@ def scanned(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     """
     lower = F.lower(F.coalesce(F.col(text), F.lit("")))
     rows = docs.select(F.col(doc_id), lower.alias("__t"))
-    rows = rows.withColumn("__t", F.when(_has_critical(F.col("__t")) & F.contains("__t", F.lit("\n")), _unwrapped(F.col("__t"))).otherwise(F.col("__t")))
+    rows = rows.withColumn("__t", F.when(_has_critical(F.col("__t")) & F.col("__t").rlike("[\\r\\n]"), _unwrapped(F.col("__t"))).otherwise(F.col("__t")))
     parts = F.split(F.regexp_replace("__t", _ENDS, "\n"), "\n")
     normal = F.transform(F.filter(parts, _has_critical),
                          lambda s: F.regexp_replace(F.trim(F.regexp_replace(s, _OTHER, " ")), _TAIL, ""))
@@ -197,10 +200,14 @@ def sql() -> str:
     run = "'|' || replace(sentences, ' ', '||') || '|'"
     for licence, needed in RULES:
         run = f"replace({run}, {quoted(''.join(f'|{i}|' for i in needed))}, {quoted(f'<{licence}>')})"
+    whole = "t"
+    for _, pattern, line in _wrapped():
+        whole = f"regexp_replace({whole}, {quoted(pattern)}, concat('\\1', chr(10), {quoted(line)}, chr(10), '\\2'), 'g')"
     return f"""
 WITH lowered AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
+unwrapped AS (SELECT doc_id, CASE WHEN ({critical.format('t')}) AND regexp_matches(t, '[\\r\\n]') THEN {whole} ELSE t END AS t FROM lowered),
 parts AS (SELECT doc_id, CASE WHEN {critical.format('t')} THEN list_filter(
-    string_split(regexp_replace(t, '[.!?]+[ \\t\\r\\n]+|[;:]?[\\r\\n]+', chr(10), 'g'), chr(10)), lambda s: {critical.format('s')}) ELSE [] END AS p FROM lowered),
+    string_split(regexp_replace(t, '[.!?]+[ \\t\\r\\n]+|[;:]?[\\r\\n]+', chr(10), 'g'), chr(10)), lambda s: {critical.format('s')}) ELSE [] END AS p FROM unwrapped),
 named AS (SELECT doc_id, array_to_string(list_transform(p, lambda s: coalesce({known}[
     regexp_replace(trim(regexp_replace(s, '[^a-z0-9.]+', ' ', 'g')), '[. ]+$', '')], 'unknown')), ' ') AS sentences FROM parts),
 ruled AS (SELECT doc_id, sentences, CASE WHEN sentences = '' THEN '' ELSE {run} END AS run FROM named)

@@ -1,5 +1,6 @@
 import textwrap
 
+import duckdb
 import pytest
 
 from larder.llm import licences
@@ -25,7 +26,7 @@ def wrapped(text, sign=""):
     return "\n".join(sign + x for x in lines)
 
 
-@pytest.mark.parametrize("sign", ["", "# ", " * "])
+@pytest.mark.parametrize("sign", ["", "# ", " * ", "// "])
 def test_wrapped_texts(spark, sign):
     untitled = MIT.split("\n\n", 1)[1]
     texts = {"MIT": untitled, "GPL-3.0-or-later": GPL, "BSD-2-Clause": BSD2, "BSD-3-Clause": BSD3}
@@ -33,3 +34,13 @@ def test_wrapped_texts(spark, sign):
     got = {r.doc_id: r for r in licences.scanned(docs).collect()}
     assert {k: r.licences for k, r in got.items()} == {k: k for k in texts}
     assert got["MIT"].n_unknown == got["GPL-3.0-or-later"].n_unknown == 0
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    assert sorted(map(tuple, got.values())) == sorted(con.execute(licences.sql()).fetchall())
+
+
+def test_carriage_returns(spark):
+    """A line may end in a carriage return alone, or in both signs."""
+    texts = {e: wrapped(GPL).replace("\n", e) for e in ("\r", "\r\n")}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    assert [r.licences for r in licences.scanned(docs).collect()] == ["GPL-3.0-or-later"] * 2
