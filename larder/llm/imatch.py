@@ -22,8 +22,8 @@ from larder.llm.common import row_keys, stored
 SUBSETS, RETAIN = 64, 32
 #: Band of document frequencies: at least so many documents, at most this share of them.
 LEAST_DOCS, MOST_SHARE = 1, 0.1
-#: Rows of a range of ids, on average; characters of a word and the space after it, roughly (no longer read here).
-RANGE, WORD_CHARS = 4096, 6
+#: Rows of a range of ids, on average.
+RANGE = 4096
 #: Most ranges whose first rows are broadcast; beyond it, a merge join finds them.
 MOST_SENT = 100_000
 _BLANK = r"[\x20\x09-\x0D]+"
