@@ -37,10 +37,11 @@ class Encoder:
     that may hold a special token, the tokenizer itself is asked.
     """
 
-    def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None, most: int = 400_000):
+    def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None, most: int = 100_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.quick = Tokenizer.from_file(path), most, None
+        self.path, self.most, self.quick = path, most, None
+        self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if ranks:
             import tiktoken
@@ -48,12 +49,17 @@ class Encoder:
             with open(ranks, "rb") as lines:
                 known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.quick = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=known, special_tokens={})
+            self.tokenizer = None  # loaded again for a part that needs it: few texts do
         self.known = _Known(self)
 
     def encode(self, part: str) -> bytes:
         if self.quick and not any(s in part for s in self.special):
             ids = self.quick.encode_ordinary(part)
         else:
+            if self.tokenizer is None:
+                from tokenizers import Tokenizer
+
+                self.tokenizer = Tokenizer.from_file(self.path)
             ids = self.tokenizer.encode(part, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 

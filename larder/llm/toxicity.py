@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import lean
+from larder.llm.common import lean, stored
 
 #: Bounds of the training sample: labelled rows (least by a hash of their id), and terms.
 MAX_ROWS, MAX_TERMS = 10_000, 300
@@ -113,12 +113,16 @@ def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> list[np.n
 
 
 def _sample(docs: DataFrame, labels: DataFrame, label: str, text: str, doc_id: str, max_rows: int) -> DataFrame:
-    """(id, text, y) of the labelled rows, at most ``max_rows``: those least by a hash of the id.  Null labels do not count."""
+    """(id, text, y) of the labelled rows, at most ``max_rows``: those least by a hash of the id.  Null labels do not count.
+
+    A document that repeats an id counts once, with the least of its texts; of several labels the largest counts.
+    """
     chosen = (labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
               .groupBy(F.col(doc_id).alias("__id")).agg(F.max(F.col(label).cast("double")).alias("y"))
               .orderBy(F.xxhash64("__id"), "__id").limit(max_rows))
     texts = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
-    return texts.join(F.broadcast(chosen), "__id").dropDuplicates(["__id"]).select("__id", "__text", "y")
+    first = texts.join(F.broadcast(chosen), "__id").groupBy("__id").agg(F.min("__text").alias("__text"), F.max("y").alias("y"))
+    return first.select("__id", "__text", "y")
 
 
 def _vocabulary(sample: DataFrame, max_terms: int) -> list[str]:
@@ -145,18 +149,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bands: int =
     Without labelled rows, or without toxic ones, every probability is near the share of toxic rows (0 if there are none).
     """
     lean(docs.sparkSession)
-    sample = _sample(docs, labels, label, text, doc_id, max_rows).persist()
-    try:
-        vocabulary = _vocabulary(sample, max_terms)
-        chain = Chain(vocabulary, [f"band_{b + 1}" for b in range(bands)] + [label])
-
-        @F.pandas_udf("array<int>")
-        def present(texts: pd.Series) -> pd.Series:
-            return pd.Series([np.nonzero(r)[0].astype(np.int32) for r in chain.matrix(texts.tolist())])
-        rows = sample.select(present("__text").alias("x"), "y", F.pmod(F.xxhash64("__id", F.lit(11)), F.lit(folds)).alias("fold"),
-                             "__id").orderBy("__id").collect()  # at most max_rows rows of at most max_terms numbers
-    finally:
-        sample.unpersist()
+    sample = stored(_sample(docs, labels, label, text, doc_id, max_rows), "sample")
+    vocabulary = _vocabulary(sample, max_terms)
+    chain = Chain(vocabulary, [f"band_{b + 1}" for b in range(bands)] + [label])
+
+    @F.pandas_udf("array<int>")
+    def present(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.nonzero(r)[0].astype(np.int32) for r in chain.matrix(texts.tolist())])
+    rows = sample.select(present("__text").alias("x"), "y", F.pmod(F.xxhash64("__id", F.lit(11)), F.lit(folds)).alias("fold"),
+                         "__id").orderBy("__id").collect()  # at most max_rows rows of at most max_terms numbers
     x = np.zeros((len(rows), len(vocabulary) + 1))
     for i, r in enumerate(rows):
         x[i, r.x] = 1
