@@ -1,9 +1,9 @@
 """Linear forecasters from cross-products.
 
-A least-squares or elastic-net fit needs only sums of products of the columns.
+A least-squares fit needs only sums of products of the columns.
 Training sets of a rolling origin are nested, so the rows are reduced once to
 sums per series and block of days (``cross_products``, on the executors, with
-map-side combine); every fold, cross-validation split and penalty is then fitted
+map-side combine); every fold is then fitted
 from running sums of a few blocks.  The number of fits does not change how often
 the data is read.
 """
@@ -21,15 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.windows import by_day
-from larder.operators.features import EXOG, FEATURES, LAGGED_EXOG, exog_fill_train_mean
+from larder.operators.features import EXOG, LAGGED_EXOG, exog_fill_train_mean
 from larder.operators.splits import SEASON, WARMUP, fold_number, forecast_days
 from larder.session import spread
 
-L1_RATIOS = (0.1, 0.3, 0.5, 0.7, 0.9, 0.95, 1.0)
-N_ALPHAS = 100
-ALPHA_SPAN = 1e-3
-CV_SPLITS = 5
-
 
 def cross_products(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
     """Per group: row count and sums of all columns and of all their pairwise products, as one array.
@@ -85,104 +80,6 @@ def centred(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return m[1:, 1:] / n - np.outer(mean, mean), mean
 
 
-# -- elastic net ------------------------------------------------------------------------------
-
-
-def elastic_paths(cov: np.ndarray, cross: np.ndarray, l1: np.ndarray, alphas: np.ndarray,
-                  sweeps: int = 1000, tol: float = 1e-4) -> np.ndarray:
-    """Elastic-net coefficients along a falling penalty, for many problems at once.
-
-    Problem k minimises b'Cb/2 - c'b + alpha * (l1 |b|_1 + (1 - l1) |b|^2 / 2) with its own
-    C (``cov``), c (``cross``), ``l1`` and ``alphas``; each penalty starts from the previous
-    solution and ends when no coefficient moves by more than ``tol`` of the largest.
-    Returns (penalties, problems, columns).
-    """
-    problems, width = cross.shape
-    b = np.zeros((problems, width))
-    diagonal = np.einsum("kjj->kj", cov)
-    live = diagonal > 1e-12
-    columns = [np.ascontiguousarray(cov[:, j]) for j in range(width)]
-    out = np.zeros((alphas.shape[1], problems, width))
-    for a in range(alphas.shape[1]):
-        lasso = alphas[:, a] * l1
-        scale = np.where(live, diagonal + (alphas[:, a] * (1 - l1))[:, None], 1.0)
-        for _ in range(sweeps):
-            before = b.copy()
-            for j in range(width):
-                rest = cross[:, j] - np.einsum("ki,ki->k", columns[j], b) + diagonal[:, j] * b[:, j]
-                b[:, j] = live[:, j] * (rest - np.clip(rest, -lasso, lasso)) / scale[:, j]
-            if np.all(np.abs(b - before).max(axis=1) <= tol * np.abs(b).max(axis=1)):
-                break
-        out[a] = b
-    return out
-
-
-def split_days(first: int, end: int, past_only: bool) -> list[tuple[int, int]]:
-    """Validation blocks of the rows [first, end): the last five sixths, or five even parts."""
-    n = end - first
-    if past_only:
-        size = n // (CV_SPLITS + 1)
-        return [(end - (CV_SPLITS - i) * size, end - (CV_SPLITS - i - 1) * size) for i in range(CV_SPLITS)]
-    sizes = [n // CV_SPLITS + (i < n % CV_SPLITS) for i in range(CV_SPLITS)]
-    edges = first + np.concatenate([[0], np.cumsum(sizes)])
-    return [(int(edges[i]), int(edges[i + 1])) for i in range(CV_SPLITS)]
-
-
-def fit_elastic_net(sums: Sums, first: int, ends: list[int], past_only: bool = True, n_alphas: int = N_ALPHAS,
-                    l1_ratios: tuple[float, ...] = L1_RATIOS) -> list[dict]:
-    """Penalties by cross-validation and the final fit, for each training slice [first, end).
-
-    Columns are standardised on the whole training slice (population deviation).
-    The target is the last column.  With ``past_only`` every validation block is
-    judged by a fit on earlier rows, otherwise on all other rows.  All slices,
-    validation splits and ratios are solved side by side.
-    """
-    l1 = np.array(l1_ratios)
-    span = np.logspace(0, np.log10(ALPHA_SPAN), n_alphas)
-    start = sums.before(first)
-    slices, problems = [], []
-    for end in ends:
-        whole = sums.before(end) - start
-        cov, mean = centred(whole)
-        sd = np.sqrt(np.maximum(np.diag(cov)[:-1], 0.0))
-        sd = np.where(sd > 1e-12, sd, 1.0)
-        full = _standard(whole, mean, sd)
-        alphas = (np.max(np.abs(full[1])) / l1)[:, None] * span[None, :]
-        slices.append((mean, sd, full, alphas))
-        for lo, hi in split_days(first, end, past_only):
-            held = sums.before(hi) - sums.before(lo)
-            train = (sums.before(lo) - start) if past_only else whole - held
-            if train[0, 0] > 1 and held[0, 0] > 0:
-                problems.append((len(slices) - 1, _standard(train, mean, sd), _standard(held, mean, sd)))
-
-    errors = np.zeros((len(slices), n_alphas, len(l1)))
-    if problems:
-        paths = elastic_paths(
-            np.repeat(np.stack([p[1][0] for p in problems]), len(l1), axis=0),
-            np.repeat(np.stack([p[1][1] for p in problems]), len(l1), axis=0),
-            np.tile(l1, len(problems)), np.concatenate([slices[p[0]][3] for p in problems]))
-        for k, (at, (_, _, mx, my, _), (hc, hx, hmx, hmy, hvar)) in enumerate(problems):
-            b = paths[:, k * len(l1):(k + 1) * len(l1)]
-            # Mean squared error on the held-out rows, from their own moments.
-            bias = (hmy - my) - np.einsum("alj,j->al", b, hmx - mx)
-            errors[at] += hvar - 2 * b @ hx + np.einsum("ali,ij,alj->al", b, hc, b) + bias ** 2
-    ratio, penalty = np.divmod(np.argmin(errors.transpose(0, 2, 1).reshape(len(slices), -1), axis=1), n_alphas)
-    chosen = np.stack([s[3][r] for s, r in zip(slices, ratio)])
-    final = elastic_paths(np.stack([s[2][0] for s in slices]), np.stack([s[2][1] for s in slices]), l1[ratio], chosen)
-    fits = []
-    for k, (mean, sd, _, _) in enumerate(slices):
-        b = final[penalty[k], k]
-        fits.append({"alpha": float(chosen[k, penalty[k]]), "l1_ratio": float(l1[ratio[k]]), "standard": b,
-                     "coef": b / sd, "intercept": float(mean[-1] - (b / sd) @ mean[:-1])})
-    return fits
-
-
-def _standard(m: np.ndarray, mean: np.ndarray, sd: np.ndarray):
-    """(covariances, covariances with the target, means, target mean, target variance) in units of ``sd``."""
-    c, mu = centred(m)
-    return c[:-1, :-1] / np.outer(sd, sd), c[:-1, -1] / sd, (mu[:-1] - mean[:-1]) / sd, mu[-1], c[-1, -1]
-
-
 def fit_least_squares(sums: Sums, first: int, ends: list[int]) -> list[dict]:
     """Ordinary least squares on each slice [first, end); a column without variation gets 0."""
     fits = []
@@ -193,39 +90,27 @@ def fit_least_squares(sums: Sums, first: int, ends: list[int]) -> list[dict]:
         scale = np.where(live, sd, 1.0)
         corr = cov[:-1, :-1] / np.outer(scale, scale) * np.outer(live, live)
         b = np.linalg.lstsq(corr, cov[:-1, -1] / scale * live, rcond=1e-10)[0] / scale
-        fits.append({"alpha": None, "l1_ratio": None, "standard": b * sd, "coef": b,
-                     "intercept": float(mean[-1] - b @ mean[:-1])})
+        fits.append({"coef": b, "intercept": float(mean[-1] - b @ mean[:-1])})
     return fits
 
 
-FIT_SCHEMA = ("series_id string, candidate string, fold int, alpha double, l1_ratio double, intercept double, "
-              "coef array<double>, standard array<double>")
+FIT_SCHEMA = "series_id string, candidate string, fold int, intercept double, coef array<double>"
 
 
-def block_starts_sql(refit_every: int, past_only: bool | None) -> str:
-    """First days of a series' blocks, from its ``t0`` and ``n``: every fold start and every split edge."""
+def block_starts_sql(refit_every: int) -> str:
+    """First days of a series' blocks, from its ``t0`` and ``n``: every fold start."""
     ends = f"transform(sequence(0, CAST((n - 1 - t0) DIV {refit_every} AS int)), f -> CAST(t0 + f * {refit_every} AS int))"
-    if past_only is None:
-        edges = ends
-    else:
-        parts = CV_SPLITS + 1
-        rows = f"(e - {WARMUP})"
-        if past_only:
-            edge = f"e - i * CAST({rows} DIV {parts} AS int)"
-        else:
-            edge = f"{WARMUP} + i * CAST({rows} DIV {CV_SPLITS} AS int) + least(i, {rows} % {CV_SPLITS})"
-        edges = f"flatten(transform({ends}, e -> transform(sequence(0, {CV_SPLITS}), i -> CAST({edge} AS int))))"
-    return f"array_sort(array_distinct(concat(array(0, {WARMUP}), {edges})))"
-
-
-def fold_fits(prepared: DataFrame, split: DataFrame, columns: list[str], refit_every: int, past_only: bool | None,
+    return f"array_sort(array_distinct(concat(array(0, {WARMUP}), {ends})))"
+
+
+def fold_fits(prepared: DataFrame, split: DataFrame, columns: list[str], refit_every: int,
               fit: Callable[[Sums, int, list[int]], list[dict]]) -> DataFrame:
     """Coefficients per series, candidate and fold.
 
     ``prepared`` has ``series_id, candidate, t`` and the columns, target last; ``split``
     has ``series_id, n, t0``.  Blocks are numbered by the edges each series needs.
     """
-    cuts = split.select("series_id", "t0", "n", F.expr(block_starts_sql(refit_every, past_only)).alias("starts"))
+    cuts = split.select("series_id", "t0", "n", F.expr(block_starts_sql(refit_every)).alias("starts"))
     train = prepared.select("series_id", "candidate", "t", *columns).join(cuts, "series_id").filter((F.col("t") >= WARMUP) & (F.col("t") < F.col("n")))
     numbered = train.withColumn("block", F.expr("size(filter(starts, e -> e <= t)) - 1"))
     blocks = cross_products(numbered, columns, ["series_id", "candidate", "block"]).join(cuts, "series_id")
@@ -235,10 +120,8 @@ def fold_fits(prepared: DataFrame, split: DataFrame, columns: list[str], refit_e
         sums = Sums(pdf, np.asarray(pdf["starts"].iloc[0]), len(columns))
         rows = []
         for fold, f in enumerate(fit(sums, WARMUP, list(range(t0, n, refit_every)))):
-            rows.append((pdf["series_id"].iloc[0], pdf["candidate"].iloc[0], fold, f["alpha"], f["l1_ratio"],
-                         f["intercept"], f["coef"], f["standard"]))
-        return pd.DataFrame(rows, columns=["series_id", "candidate", "fold", "alpha", "l1_ratio", "intercept",
-                                           "coef", "standard"])
+            rows.append((pdf["series_id"].iloc[0], pdf["candidate"].iloc[0], fold, f["intercept"], f["coef"]))
+        return pd.DataFrame(rows, columns=["series_id", "candidate", "fold", "intercept", "coef"])
 
     return spread(blocks, "series_id", "candidate").groupBy("series_id", "candidate").applyInPandas(
         per_series, FIT_SCHEMA)
@@ -249,37 +132,6 @@ def dot(coef: str, columns: list[str]) -> Column:
     return F.expr(" + ".join(f"{coef}[{i}] * `{c}`" for i, c in enumerate(columns)))
 
 
-def elastic_net_fits(split_features: DataFrame, refit_every: int = 14, past_only: bool = True,
-                     n_alphas: int = N_ALPHAS) -> DataFrame:
-    """Chosen penalties and coefficients per series and fold; ``split_features`` carries ``n, t0``."""
-    prepared = split_features.withColumn("candidate", F.lit("elasticnet"))
-    split = split_features.groupBy("series_id").agg(F.first("t0").alias("t0"), F.first("n").alias("n"))
-    return fold_fits(prepared, split, [*FEATURES, "y"], refit_every, past_only,
-                     lambda s, a, b: fit_elastic_net(s, a, b, past_only, n_alphas))
-
-
-def elastic_net(split_features: DataFrame, refit_every: int = 14, past_only: bool = True,
-                n_alphas: int = N_ALPHAS, name: str = "elasticnet") -> DataFrame:
-    """Test-block forecasts of the cross-validated elastic net."""
-    fits = elastic_net_fits(split_features, refit_every, past_only, n_alphas)
-    days = forecast_days(split_features).withColumn("fold", fold_number(refit_every))
-    joined = days.join(fits.select("series_id", "fold", "intercept", "coef"), ["series_id", "fold"])
-    return joined.select("series_id", "date", F.lit(name).alias("model"),
-                         (F.col("intercept") + dot("coef", FEATURES)).alias("forecast"), F.col("y").alias("actual"))
-
-
-def driver_coefficients(features: DataFrame, n_alphas: int = N_ALPHAS) -> DataFrame:
-    """Signed standardised coefficients of one elastic net over all complete rows of each series."""
-    complete = features.dropna(how="any", subset=[*FEATURES, "y"])
-    position = F.row_number().over(by_day()) - 1 + WARMUP
-    size = complete.groupBy("series_id").agg((F.count(F.lit(1)) + WARMUP).alias("t0"))
-    numbered = complete.withColumn("t", position).join(size, "series_id").withColumn("n", F.col("t0") + 1)
-    fits = elastic_net_fits(numbered, refit_every=1, n_alphas=n_alphas)
-    names = F.array(*[F.lit(c) for c in FEATURES])
-    return fits.select("series_id", F.explode(F.arrays_zip(names.alias("name"), F.col("standard").alias("value")))
-                       .alias("_c")).select("series_id", "_c.name", "_c.value")
-
-
 # -- autoregression with drivers --------------------------------------------------------------
 
 # Candidate (order, seasonal order); the first is the default.
@@ -363,7 +215,7 @@ def arx(features: DataFrame, split: DataFrame, refit_every: int = 28, orders: li
     if only is not None:
         rows = rows.join(only, ["series_id", "candidate"], "left_semi")
     columns = [*_lag_columns(wanted), *EXOG]
-    fits = fold_fits(rows, split, [*columns, "_target"], refit_every, None, fit_least_squares)
+    fits = fold_fits(rows, split, [*columns, "_target"], refit_every, fit_least_squares)
     days = forecast_days(rows).withColumn("fold", fold_number(refit_every))
     out = days.join(fits.select("series_id", "candidate", "fold", "intercept", "coef"),
                     ["series_id", "candidate", "fold"])

@@ -1,9 +1,12 @@
-"""Tree forecasters: one pooled model per fold over all series.
+"""Pooled forecasters: one distributed model per fold over all series.
 
 A forest per series would be one Spark job per series and fold.  Pooled, each
 fold is one distributed fit whatever the number of series; demand and its lags
 are divided by the series' mean before the test block, so that large series do
 not drown small ones.  With one series this is the usual per-series back-test.
+
+Every fit of a back-test or a search, whatever its model, trial or fold, is a job of one pool
+(``fit_all``); ``halving`` gives trials more folds only while they are among the better half.
 """
 
 from __future__ import annotations
@@ -13,17 +16,21 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.operators.features import FEATURES, LAG_FEATURES, ROLL_FEATURES
-from larder.operators.splits import WARMUP, test_rows, training_rows
+from larder.operators.splits import WARMUP, fold_number, test_rows, training_rows
 from larder.session import stored
 
 SEED = 42
 # Fits submitted to the cluster at the same time.
-PARALLEL_FITS = 4
+PARALLEL_FITS = 12
+# Of the rounds or trees that single-machine learners take, a distributed learner gets this share: each of its rounds is
+# a few jobs over all rows (README has the times).
+ROUND_SHARE = 20
+_LEARNERS = {"forest": RandomForestRegressor, "boost": GBTRegressor, "linear": LinearRegression}
 
 
 @dataclass(frozen=True)
@@ -35,21 +42,22 @@ class TreeModel:
     params: dict = field(default_factory=dict)
 
     def estimator(self):
-        learner = RandomForestRegressor if self.kind == "forest" else GBTRegressor
-        return learner(featuresCol="vec", labelCol="label", predictionCol="_pred", **{"seed": SEED, **self.params})
+        seed = {} if self.kind == "linear" else {"seed": SEED}
+        return _LEARNERS[self.kind](featuresCol="vec", labelCol="label", predictionCol="_pred", **{**seed, **self.params})
 
     def with_params(self, name: str | None = None, **params) -> "TreeModel":
         return TreeModel(name or self.name, self.kind, {**self.params, **params})
 
 
-# Default settings.  The forest's unlimited depth becomes 12, as a distributed tree doubles its
-# statistics per level; leaf-wise growth to 31 leaves becomes depth 5 with 20 rows per leaf.
+# Default settings, for the library and the registered queries alike.  300 rounds or trees become a share of them; the forest's
+# unlimited depth becomes 8, as a distributed tree doubles its statistics per level; leaf-wise growth to 31 leaves becomes depth 5
+# with 20 rows per leaf; a rate of .05 is that of 300 rounds, fewer rounds take larger steps.
 GBT = TreeModel("gbt", "boost", {
-    "maxIter": 300, "maxDepth": 3, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"})
+    "maxIter": 300 // ROUND_SHARE, "maxDepth": 3, "stepSize": 0.2, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"})
 FOREST = TreeModel("random_forest", "forest", {
-    "numTrees": 300, "maxDepth": 12, "minInstancesPerNode": 1, "featureSubsetStrategy": "all"})
+    "numTrees": 300 // ROUND_SHARE, "maxDepth": 8, "minInstancesPerNode": 1, "featureSubsetStrategy": "all"})
 GBT_LEAFWISE = TreeModel("gbt_leafwise", "boost", {
-    "maxIter": 300, "maxDepth": 5, "minInstancesPerNode": 20, "stepSize": 0.05, "subsamplingRate": 0.8,
+    "maxIter": 300 // ROUND_SHARE, "maxDepth": 5, "minInstancesPerNode": 20, "stepSize": 0.2, "subsamplingRate": 0.8,
     "featureSubsetStrategy": "0.8"})
 
 
@@ -65,29 +73,37 @@ def training_table(split_features: DataFrame) -> DataFrame:
     ready = (split_features.filter(F.col("t") >= WARMUP).join(means, "series_id").withColumn("scale", scale))
     shrunk = [*LAG_FEATURES, *ROLL_FEATURES]
     scaled = ready.withColumns({c: F.col(c) / F.col("scale") for c in shrunk})
-    complete = scaled.dropna(how="any", subset=FEATURES)
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="vec").transform(complete)
-    missing = scaled.filter(" OR ".join(f"{c} IS NULL OR isnan({c})" for c in FEATURES))
-    vectors = vectors.unionByName(missing.withColumn("vec", F.lit(None).cast(vectors.schema["vec"].dataType)))
-    return stored(vectors.select("series_id", "date", "t", "n", "t0", "y", "scale",
-                                 (F.col("y") / F.col("scale")).alias("label"), "vec"), "training")
+    vectors = VectorAssembler(inputCols=FEATURES, outputCol="vec", handleInvalid="keep").transform(scaled)
+    whole = " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in FEATURES)
+    known = vectors.withColumn("vec", F.when(F.expr(whole), F.col("vec")))
+    return stored(known.select("series_id", "date", "t", "n", "t0", "y", "scale",
+                               (F.col("y") / F.col("scale")).alias("label"), "vec"), "training")
+
+
+def learnable(table: DataFrame) -> DataFrame:
+    return table.filter(F.col("label").isNotNull() & F.col("vec").isNotNull())
+
+
+def trainable_rows(table: DataFrame, refit_every: int, folds: int) -> list[int]:
+    """Number of rows that each fold's model learns from: one job for all folds."""
+    first = F.greatest(F.lit(0), fold_number(refit_every) + 1)  # the first fold that has a row in its past
+    counts = {r.fold: r["count"] for r in learnable(table).groupBy(first.alias("fold")).count().collect()}
+    return [sum(n for f, n in counts.items() if f <= fold) for fold in range(folds)]
 
 
-def _learnable(table: DataFrame) -> DataFrame:
-    return table.filter(F.col("label").isNotNull() & F.col("vec").isNotNull()).select("vec", "label")
+def _fitted(table: DataFrame, model: TreeModel, fold: int, refit_every: int):
+    return model.estimator().fit(learnable(training_rows(table, fold, refit_every)).select("vec", "label"))
 
 
-def fit_fold(table: DataFrame, model: TreeModel, fold: int, refit_every: int) -> DataFrame:
-    """Forecasts of one fold's days from a model of the rows before it.
+def _forecasts(table: DataFrame, model: TreeModel, fold: int, refit_every: int, fitted) -> DataFrame:
+    """Forecasts of one fold's days.
 
     Every day of the fold has a row; the forecast is NULL where a feature is missing or nothing could be learned.
     """
-    days, train = test_rows(table, fold, refit_every), _learnable(training_rows(table, fold, refit_every))
-    unknown = F.lit(None).cast("double")
-    if train.isEmpty():
+    days, unknown = test_rows(table, fold, refit_every), F.lit(None).cast("double")
+    if fitted is None:
         scored = days.withColumn("_pred", unknown)
     else:
-        fitted = model.estimator().fit(train)
         scored = fitted.transform(days.filter(F.col("vec").isNotNull())).unionByName(
             days.filter(F.col("vec").isNull()).withColumn("_pred", unknown))
     return scored.select("series_id", "date", F.lit(model.name).alias("model"),
@@ -100,17 +116,63 @@ def folds_of(split: DataFrame, refit_every: int) -> int:
     return -(-int(longest) // refit_every)
 
 
-def tree_forecasts(table: DataFrame, models: list[TreeModel], refit_every: int, folds: int) -> DataFrame:
-    """Test-block forecasts of several tree models; fits run side by side, forecasts are written once."""
-    jobs = [(m, f) for m in models for f in range(folds)]
+def fit_all(table: DataFrame, jobs: list[tuple[TreeModel, int]], refit_every: int) -> DataFrame:
+    """Forecasts of (model, fold) jobs: fits run side by side in one pool, forecasts are written once."""
+    rows = trainable_rows(table, refit_every, 1 + max(f for _, f in jobs))
+
+    def one(job: tuple[TreeModel, int]):
+        return _fitted(table, *job, refit_every) if rows[job[1]] else None
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        parts = list(pool.map(lambda job: fit_fold(table, job[0], job[1], refit_every), jobs))
+        fitted = list(pool.map(one, jobs))
+    parts = [_forecasts(table, m, f, refit_every, x) for (m, f), x in zip(jobs, fitted, strict=True)]
     return stored(reduce(lambda a, b: a.unionByName(b), parts), "tree-forecasts")
 
 
+def tree_forecasts(table: DataFrame, models: list[TreeModel], refit_every: int, folds: int) -> DataFrame:
+    """Test-block forecasts of several pooled models over all folds."""
+    return fit_all(table, [(m, f) for m in models for f in range(folds)], refit_every)
+
+
+@dataclass
+class Trial:
+    """A setting in a search: the folds it was given and its score on them."""
+
+    model: TreeModel
+    folds: int = 0
+    mase: float | None = None
+
+
+def halving(table: DataFrame, default: TreeModel, trials: list[TreeModel], refit_every: int, folds: int, score) -> tuple[
+        list[Trial], DataFrame]:
+    """Search by rungs: (every trial with its score, forecasts of those that came through).
+
+    All settings forecast the first folds; the better half of the trials goes on to twice as many, and so on to the last fold.  The
+    default always goes on.  ``score(forecasts)`` gives ``{model name: score}``; a setting without a score is the worst.
+    Fits of a rung are jobs of one pool; a fold is fitted once.
+    """
+    alive, done = [Trial(t) for t in trials], [Trial(default)]
+    everyone, parts, at = [*done, *alive], [], 0
+    rungs = max(1, (len(trials)).bit_length())
+    for rung in range(rungs):
+        upto = max(at + 1, -(-folds // 2 ** (rungs - 1 - rung)))
+        upto = min(upto, folds)
+        runners = [*done, *alive]
+        if upto > at:
+            parts.append(fit_all(table, [(t.model, f) for t in runners for f in range(at, upto)], refit_every))
+        at = upto
+        names = [t.model.name for t in runners]
+        so_far = reduce(lambda a, b: a.unionByName(b), parts).filter(F.col("model").isin(names))
+        scores = score(so_far)
+        for t in runners:
+            t.folds, t.mase = at, scores.get(t.model.name)
+        if rung < rungs - 1:
+            alive = sorted(alive, key=lambda t: (t.mase is None, t.mase))[:max(1, len(alive) // 2)]
+    return everyone, so_far
+
+
 def importances(table: DataFrame, model: TreeModel) -> DataFrame:
     """``name, value`` importances of a model of all complete rows."""
-    fitted = model.estimator().fit(_learnable(table))
+    fitted = model.estimator().fit(learnable(table).select("vec", "label"))
     values = fitted.featureImportances.toArray()
     return table.sparkSession.createDataFrame(
         [(c, float(v)) for c, v in zip(FEATURES, values)], "name string, value double")

@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.operators import linear, smoothing
+from larder.operators import linear, smoothing, trees
 from larder.operators.scoring import RANK_PLACES
 
 # Fixed values: (setting, kind, low, high); integer ranges leave out the high end, "log" is uniform in log10.
@@ -40,8 +40,6 @@ LEAFWISE_SPACE = [
 SPACES = {"gbt": BOOST_SPACE, "random_forest": FOREST_SPACE, "gbt_leafwise": LEAFWISE_SPACE}
 # Each model draws from its own stream.
 SEED_OFFSET = {"gbt": 0, "random_forest": 1, "gbt_leafwise": 2}
-# Deepest tree a fit may ask for; Spark's limit is 30.
-DEEPEST = 20
 
 
 def sample_params(model: str, trials: int, seed: int = 42) -> list[dict]:
@@ -62,7 +60,8 @@ def learner_params(settings: dict) -> dict:
     """Settings as parameters of Spark's tree learners.
 
     The two penalty terms have no counterpart and are dropped; a number of leaves
-    becomes the depth of a full tree with as many.
+    becomes the depth of a full tree with as many; of rounds and trees a share is taken, as in the default settings, and a
+    boosting step grows by as much, up to .5.
     """
     renamed = {"learning_rate": "stepSize", "max_depth": "maxDepth", "min_child_weight": "minInstancesPerNode",
                "min_samples_leaf": "minInstancesPerNode", "min_child_samples": "minInstancesPerNode",
@@ -73,10 +72,10 @@ def learner_params(settings: dict) -> dict:
             out["featureSubsetStrategy"] = f"{settings[share]:.4f}"
     if "num_leaves" in settings:
         out["maxDepth"] = max(1, math.ceil(math.log2(settings["num_leaves"])))
-    if "maxDepth" in out:
-        out["maxDepth"] = min(out["maxDepth"], DEEPEST)
+    if "stepSize" in out:
+        out["stepSize"] = min(0.5, out["stepSize"] * 4)
     if "n_estimators" in settings:
-        out["maxIter" if "learning_rate" in settings else "numTrees"] = settings["n_estimators"]
+        out["maxIter" if "learning_rate" in settings else "numTrees"] = settings["n_estimators"] // trees.ROUND_SHARE
     return out
 
 
@@ -136,9 +135,26 @@ def adopt(scores: DataFrame, default: str, by: list[str] | None = None) -> DataF
         F.when(better, F.col("_best.model")).otherwise(F.lit(default)).alias("config"))
 
 
-def report_rows(model: str, adopted: DataFrame) -> DataFrame:
-    """Adoption results as rows of the tuning report; a choice made for all series has ``series_id`` NULL."""
+def settings_text(params: dict) -> str:
+    """Learner settings in the order of their names."""
+    return ", ".join(f"{k}={params[k]:.4g}" if isinstance(params[k], float) else f"{k}={params[k]}" for k in sorted(params))
+
+
+def report_rows(model: str, adopted: DataFrame, settings: dict[str, str] | None = None) -> DataFrame:
+    """Adoption results as rows of the tuning report; a choice made for all series has ``series_id`` NULL.
+
+    ``settings`` spells a configuration out where its name does not.
+    """
     series = F.col("series_id") if "series_id" in adopted.columns else F.lit(None).cast("string")
+    spelt = F.col("config")
+    if settings:
+        spelt = F.element_at(F.create_map(*[F.lit(x) for kv in settings.items() for x in kv]), F.col("config"))
     return adopted.select(
         series.alias("series_id"), F.lit(model).alias("model"), F.round("default_mase", 4).alias("default_mase"),
-        F.round("best_mase", 4).alias("best_mase"), "adopted", "config")
+        F.round("best_mase", 4).alias("best_mase"), "adopted", "config", spelt.alias("settings"))
+
+
+def trial_table(spark: SparkSession, model: str, trials: list, adopted: str) -> DataFrame:
+    """``model, config, settings, folds, mase, adopted``: a row for every setting of a search, given up early or not."""
+    rows = [(model, t.model.name, settings_text(t.model.params), t.folds, t.mase, int(t.model.name == adopted)) for t in trials]
+    return spark.createDataFrame(rows, "model string, config string, settings string, folds int, mase double, adopted int")

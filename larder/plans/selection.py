@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.operators import linear, naive, scoring, smoothing, splits, trees
+from larder.operators import elastic, linear, naive, scoring, smoothing, splits, trees
 from larder.session import stored
 
 Forecaster = Callable[[DataFrame, DataFrame], DataFrame]
@@ -20,7 +20,7 @@ class Settings:
 
     refit_every: int = 14
     reestimate_every: int = 28
-    n_alphas: int = linear.N_ALPHAS
+    n_alphas: int = elastic.N_ALPHAS
     variant: smoothing.Variant = smoothing.DEFAULT_VARIANT
     theta: smoothing.ThetaForm = smoothing.DEFAULT_THETA
     order: tuple = linear.DEFAULT_ORDER
@@ -44,8 +44,7 @@ def registry(s: Settings) -> dict[str, Forecaster]:
         "holt_winters": lambda f, p: smoothing.holt_winters(f, p, s.refit_every, [s.variant]),
         "arx": lambda f, p: linear.arx(f, p, s.reestimate_every, [s.order]),
         "gbt": tree(s.gbt),
-        "elasticnet": lambda f, p: linear.elastic_net(
-            splits.with_split(f, p), s.refit_every, s.past_only_cv, s.n_alphas),
+        "elasticnet": lambda f, p: elastic.elastic_net(f, p, s.refit_every, s.past_only_cv, s.n_alphas),
         "random_forest": tree(s.forest),
         "theta": lambda f, p: smoothing.theta(f, p, [s.theta]),
         "gbt_leafwise": tree(s.gbt_leafwise),
@@ -60,14 +59,14 @@ def registry_names(s: Settings) -> list[str]:
 def forecast_all(features: DataFrame, split: DataFrame, s: Settings | None = None) -> DataFrame:
     """One long forecast table of every registered model over the test block.
 
-    The three tree models share one training table and one pool of fits.
+    The pooled models share one training table and one pool of fits.
     """
     s = s or Settings()
-    tree_models = [s.gbt, s.forest, s.gbt_leafwise]
-    shared = {m.name for m in tree_models}
-    parts = [run(features, split) for name, run in registry(s).items() if name not in shared]
     table = trees.training_table(splits.with_split(features, split))
-    parts.append(trees.tree_forecasts(table, tree_models, s.refit_every, trees.folds_of(split, s.refit_every)))
+    pooled = [s.gbt, s.forest, s.gbt_leafwise, elastic.choose(table, s.past_only_cv, s.n_alphas).model]
+    shared = {m.name for m in pooled}
+    parts = [run(features, split) for name, run in registry(s).items() if name not in shared]
+    parts.append(trees.tree_forecasts(table, pooled, s.refit_every, trees.folds_of(split, s.refit_every)))
     return naive.union([p.select("series_id", "date", "model", "forecast", "actual") for p in parts])
 
 

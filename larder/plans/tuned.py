@@ -2,33 +2,50 @@
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.operators import linear, naive, scoring, smoothing, splits, trees, tuning
+from larder.operators import elastic, linear, naive, scoring, smoothing, splits, trees, tuning
 from larder.session import stored
 
 
 @dataclass
 class TuningSettings:
-    """Shares, cadence and number of trials."""
+    """Shares, cadence and number of trials.
+
+    The cadence of the pooled models' search and its number of trials are lower than a single machine would take, as a
+    fit is a series of jobs (README has the times).
+    """
 
     test_frac: float = 0.15
     val_frac: float = 0.15
     refit_every: int = 14
     reestimate_every: int = 28
-    trials: dict[str, int] = field(default_factory=lambda: {"gbt": 40, "random_forest": 40, "gbt_leafwise": 40})
+    pooled_refit_every: int = 91
+    trials: dict[str, int] = field(default_factory=lambda: {"gbt": 3, "random_forest": 3, "gbt_leafwise": 3})
     seed: int = 42
-    n_alphas: int = linear.N_ALPHAS
+    n_alphas: int = elastic.N_ALPHAS
     tree_models: list[trees.TreeModel] = field(
         default_factory=lambda: [trees.GBT, trees.FOREST, trees.GBT_LEAFWISE])
-    # Applied on top of drawn settings, for example to bound the rounds of a trial run.
-    overrides: dict[str, dict] = field(default_factory=dict)
+
+
+@dataclass(frozen=True)
+class TreeSearch:
+    """A search over one tree model: every trial, forecasts of those that came through, one adoption for all series."""
+
+    base: trees.TreeModel
+    trials: list[trees.Trial]
+    forecasts: DataFrame
+    adopted: DataFrame
+
+    @property
+    def chosen(self) -> trees.TreeModel:
+        """The adopted setting under the model's own name."""
+        config = self.adopted.first()["config"]  # one row: the choice for all series
+        return next(t.model for t in self.trials if t.model.name == config).with_params(self.base.name)
 
 
 REGISTRY = ["seasonal_naive", "holt_winters", "arx", "gbt", "elasticnet", "random_forest", "theta", "gbt_leafwise"]
@@ -56,55 +73,63 @@ def tune_arx(features: DataFrame, split: DataFrame, scale: DataFrame, refit_ever
     return forecasts, tuning.adopt(scoring.score(forecasts, scale), linear.order_name(*linear.DEFAULT_ORDER))
 
 
-def tune_trees(table: DataFrame, split: DataFrame, scale: DataFrame, base: trees.TreeModel, s: TuningSettings):
-    """(default and trial models by name, forecasts of all, one adoption for all series).
+def tune_trees(table: DataFrame, split: DataFrame, scale: DataFrame, base: trees.TreeModel, s: TuningSettings) -> TreeSearch:
+    """Search by rungs over drawn settings; models are pooled over series, so one is chosen for all, by the mean of the series' scores."""
+    drawn = tuning.sample_params(base.name, s.trials.get(base.name, 0), s.seed)
+    candidates = [base.with_params(f"trial_{i}", **tuning.learner_params(p)) for i, p in enumerate(drawn)]
+    for c in candidates:
+        c.estimator()  # a setting that the learner refuses ends the search before its first fit
 
-    The models are pooled over series, so one configuration is chosen for all, by
-    the mean of the series' scores.  A trial whose settings the learner refuses is left without a score; any other failure ends the run.
-    """
-    fixed = s.overrides.get(base.name, {})
-    models = {"default": base.with_params("default", **fixed)}
-    for i, drawn in enumerate(tuning.sample_params(base.name, s.trials.get(base.name, 0), s.seed)):
-        models[f"trial_{i}"] = base.with_params(f"trial_{i}", **{**tuning.learner_params(drawn), **fixed})
-    folds = trees.folds_of(split, s.refit_every)
-    parts = []
-    for name, model in models.items():
-        try:
-            parts.append(trees.tree_forecasts(table, [model], s.refit_every, folds))
-        except (IllegalArgumentException, ValueError, TypeError) as e:
-            if name == "default":
-                raise
-            warnings.warn(f"{base.name} {name} failed and is left out: {e}", stacklevel=2)
-    forecasts = naive.union(parts)
-    overall = scoring.score(forecasts, scale).groupBy("model").agg(F.avg("mase").alias("mase"))
-    return models, forecasts, tuning.adopt(overall, "default", by=[])
+    def score(forecasts: DataFrame) -> dict[str, float]:
+        overall = scoring.score(forecasts, scale).groupBy("model").agg(F.avg("mase").alias("mase"))
+        return {r.model: r.mase for r in overall.collect()}
+    trials, forecasts = trees.halving(table, base.with_params("default"), candidates, s.pooled_refit_every,
+                                      trees.folds_of(split, s.pooled_refit_every), score)
+    through = max(t.folds for t in trials)
+    scores = table.sparkSession.createDataFrame(
+        [(t.model.name, t.mase) for t in trials if t.folds == through], "model string, mase double")
+    return TreeSearch(base, trials, forecasts, stored(tuning.adopt(scores, "default", by=[]), "adopted"))
 
 
 def leak_check(features: DataFrame, split: DataFrame, scale: DataFrame, refit_every: int = 14,
-               n_alphas: int = linear.N_ALPHAS) -> DataFrame:
+               n_alphas: int = elastic.N_ALPHAS) -> DataFrame:
     """The elastic net with mixed-time validation folds beside past-only ones, both scored on one block."""
-    rows = splits.with_split(features, split)
-    mixed = linear.elastic_net(rows, refit_every, past_only=False, n_alphas=n_alphas, name="mixed_time")
-    past = linear.elastic_net(rows, refit_every, past_only=True, n_alphas=n_alphas, name="past_only")
-    return scoring.score(mixed.unionByName(past), scale).select(
+    table = trees.training_table(splits.with_split(features, split))
+    chosen = [elastic.choose(table, past, n_alphas, name=name).model for name, past in (("mixed_time", False), ("past_only", True))]
+    forecasts = trees.tree_forecasts(table, chosen, refit_every, trees.folds_of(split, refit_every))
+    return scoring.score(forecasts, scale).select(
         "series_id", F.col("model").alias("folds"), F.round("mase", 4).alias("mase"))
 
 
-def tuned_selection(features: DataFrame, s: TuningSettings | None = None) -> dict[str, DataFrame]:
+@dataclass(frozen=True)
+class Block:
+    """One block of a split by shares: its rows for the pooled models and the scale of its scores."""
+
+    split: DataFrame
+    scale: DataFrame
+    table: DataFrame
+
+
+def block(features: DataFrame, split: DataFrame) -> Block:
+    return Block(split, stored(scoring.mase_scale(features, split), "scale"), trees.training_table(splits.with_split(features, split)))
+
+
+def tuned_selection(features: DataFrame, s: TuningSettings | None = None,
+                    search: Callable[[trees.TreeModel], TreeSearch] | None = None) -> dict[str, DataFrame]:
     """Split by share, tune and select on validation, score the test block once.
 
-    ``features`` should be a stored table.
+    ``features`` should be a stored table.  ``search`` may give the searches of the tree models if they were made before.
     """
     s = s or TuningSettings()
     blocks = stored(splits.pct_split(features, s.test_frac, s.val_frac), "blocks")
     val, test = splits.validation_split(blocks), splits.test_split(blocks)
-    val_scale = stored(scoring.mase_scale(features, val), "scale")
-    test_scale = stored(scoring.mase_scale(features, test), "scale")
+    on_val, on_test = block(features, val), block(features, test)
+    val_scale, test_scale = on_val.scale, on_test.scale
+    search = search or (lambda base: tune_trees(on_val.table, val, val_scale, base, s))
 
     reports, val_parts, test_parts = [], [], []
     for split, parts in ((val, val_parts), (test, test_parts)):
         parts.append(naive.seasonal_naive(features, split))
-        parts.append(linear.elastic_net(splits.with_split(features, split), s.refit_every, n_alphas=s.n_alphas))
 
     families: list[tuple[str, Callable, Callable]] = [
         ("holt_winters", lambda: tune_holt_winters(features, val, val_scale, s.refit_every),
@@ -122,16 +147,16 @@ def tuned_selection(features: DataFrame, s: TuningSettings | None = None) -> dic
         val_parts.append(_keep(forecasts, adopted, name))
         test_parts.append(_keep(final(adopted), adopted, name))
 
-    val_table = trees.training_table(splits.with_split(features, val))
-    test_table = trees.training_table(splits.with_split(features, test))
-    finals = []
+    every = s.pooled_refit_every
+    finals = [elastic.choose(on_val.table, True, s.n_alphas).model]
+    val_parts.append(trees.tree_forecasts(on_val.table, finals, every, trees.folds_of(val, every)))
     for base in s.tree_models:
-        models, forecasts, adopted = tune_trees(val_table, val, val_scale, base, s)
-        config = adopted.first()["config"]  # one row: the choice for all series
-        reports.append(tuning.report_rows(base.name, adopted))
-        val_parts.append(forecasts.filter(F.col("model") == config).withColumn("model", F.lit(base.name)))
-        finals.append(models[config].with_params(base.name))
-    test_parts.append(trees.tree_forecasts(test_table, finals, s.refit_every, trees.folds_of(test, s.refit_every)))
+        found = search(base)
+        reports.append(tuning.report_rows(base.name, found.adopted, {t.model.name: tuning.settings_text(t.model.params) for t in found.trials}))
+        config = found.adopted.first()["config"]
+        val_parts.append(found.forecasts.filter(F.col("model") == config).withColumn("model", F.lit(base.name)))
+        finals.append(found.chosen)
+    test_parts.append(trees.tree_forecasts(on_test.table, finals, every, trees.folds_of(test, every)))
 
     columns = ["series_id", "date", "model", "forecast", "actual"]
     val_all = stored(naive.union([p.select(*columns) for p in val_parts]), "val-forecasts")

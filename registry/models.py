@@ -6,7 +6,7 @@ from functools import lru_cache
 
 from pyspark.sql import functions as F
 
-from larder.operators import drivers, linear, naive, policy, scoring, smoothing, splits, trees, tuning
+from larder.operators import drivers, elastic, linear, naive, policy, scoring, smoothing, splits, trees, tuning
 from larder.operators import features as feat
 from larder.plans import selection, tuned
 from larder.session import stored
@@ -14,18 +14,7 @@ from larder.streaming import feed, stateful
 from registry.common import emit, feature_table, policy_input, window
 from registry.stock import naive_forecasts
 
-# The registered runs use few rounds, trees, trials and folds; rows are never left out.
-REFIT = 84
-GBT = trees.GBT.with_params(maxIter=8)
-FOREST = trees.FOREST.with_params(numTrees=12, maxDepth=6)
-LEAFWISE = trees.GBT_LEAFWISE.with_params(maxIter=5)
-ALPHAS = 40
-QUICK = selection.Settings(refit_every=REFIT, n_alphas=ALPHAS, forest=FOREST, gbt=GBT, gbt_leafwise=LEAFWISE)
-TUNING = tuned.TuningSettings(
-    refit_every=400, reestimate_every=400, n_alphas=ALPHAS, tree_models=[GBT, FOREST, LEAFWISE],
-    trials={"gbt": 1, "random_forest": 1, "gbt_leafwise": 1},
-    overrides={"gbt": {"maxIter": 4}, "random_forest": {"numTrees": 8, "maxDepth": 5},
-               "gbt_leafwise": {"maxIter": 3, "maxDepth": 4}})
+# Registered queries run the library's own settings over whole tables.
 
 
 def _test(spark, sf):
@@ -61,19 +50,20 @@ def fc_arx(spark, sf):
 
 
 def fc_elasticnet(spark, sf):
-    return emit(linear.elastic_net(splits.with_split(*_test(spark, sf)), n_alphas=ALPHAS))
+    return emit(elastic.elastic_net(*_test(spark, sf)))
 
 
 def elasticnet_choice(spark, sf):
-    fits = linear.elastic_net_fits(splits.with_split(*_test(spark, sf)), n_alphas=ALPHAS)
-    return emit(fits.select("series_id", "fold", "alpha", "l1_ratio"))
+    table = trees.training_table(splits.with_split(*_test(spark, sf)))
+    return emit(elastic.settings_table(table, elastic.choose(table)))
 
 
 def _tree(model):
     def query(spark, sf):
         feats, split = _test(spark, sf)
         table = trees.training_table(splits.with_split(feats, split))
-        return emit(trees.tree_forecasts(table, [model], REFIT, trees.folds_of(split, REFIT)))
+        every = selection.Settings().refit_every
+        return emit(trees.tree_forecasts(table, [model], every, trees.folds_of(split, every)))
     return query
 
 
@@ -90,11 +80,11 @@ def scale_features(spark, sf):
 
 
 def forecast_all(spark, sf):
-    return emit(selection.forecast_all(*_test(spark, sf), QUICK))
+    return emit(selection.forecast_all(*_test(spark, sf)))
 
 
 def model_selection(spark, sf):
-    return emit(selection.model_selection(feature_table(spark, sf), s=QUICK)["table"])
+    return emit(selection.model_selection(feature_table(spark, sf))["table"])
 
 
 def sample_params(spark, sf):
@@ -106,12 +96,19 @@ def grid_params(spark, sf):
     return emit(tuning.grid_params(feature_table(spark, sf)))
 
 
-def _tune_tree(model):
+@lru_cache(maxsize=12)
+def _search(spark, sf, name):
+    """The search of one tree model, made once in a session: the reports read it too."""
+    base = {m.name: m for m in tuned.TuningSettings().tree_models}[name]
+    feats, split, _ = _validation(spark, sf)
+    on = tuned.block(feats, split)
+    return tuned.tune_trees(on.table, on.split, on.scale, base, tuned.TuningSettings())
+
+
+def _tune_tree(name):
     def query(spark, sf):
-        feats, split, scale = _validation(spark, sf)
-        table = trees.training_table(splits.with_split(feats, split))
-        _, _, adopted = tuned.tune_trees(table, split, stored(scale, "scale"), model, TUNING)
-        return emit(tuning.report_rows(model.name, adopted))
+        found = _search(spark, sf, name)
+        return emit(tuning.trial_table(spark, name, found.trials, found.adopted.first()["config"]))
     return query
 
 
@@ -136,7 +133,7 @@ def adopt_rule(spark, sf):
 
 @lru_cache(maxsize=4)
 def _tuned(spark, sf):
-    return tuned.tuned_selection(feature_table(spark, sf), TUNING)
+    return tuned.tuned_selection(feature_table(spark, sf), search=lambda base: _search(spark, sf, base.name))
 
 
 def tuning_report(spark, sf):
@@ -150,18 +147,23 @@ def tuned_selection(spark, sf):
 def leak_check(spark, sf):
     feats = feature_table(spark, sf)
     split = splits.test_split(splits.pct_split(feats))
-    return emit(tuned.leak_check(feats, split, scoring.mase_scale(feats, split), n_alphas=ALPHAS))
+    return emit(tuned.leak_check(feats, split, scoring.mase_scale(feats, split)))
+
+
+def _whole_history(spark, sf):
+    """The pooled training table with every row before the test block, which is empty."""
+    feats = feature_table(spark, sf)
+    counts = feats.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")).withColumn("t0", F.col("n"))
+    return trees.training_table(splits.with_split(feats, counts))
 
 
 def driver_coefficients(spark, sf):
-    return emit(linear.driver_coefficients(feature_table(spark, sf), ALPHAS))
+    table = _whole_history(spark, sf)
+    return emit(elastic.standard_coefficients(table, elastic.choose(table)).withColumn("series_id", F.lit("all")))
 
 
 def driver_importance(spark, sf):
-    feats = feature_table(spark, sf)
-    counts = feats.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")).withColumn("t0", F.col("n"))
-    table = trees.training_table(splits.with_split(feats, counts))
-    found = trees.importances(table, FOREST).withColumn("series_id", F.lit("all"))
+    found = trees.importances(_whole_history(spark, sf), trees.FOREST).withColumn("series_id", F.lit("all"))
     return emit(drivers.top_drivers(drivers.merge_season(found, directional=False).select("series_id", "name", "value")))
 
 
@@ -210,6 +212,6 @@ QUERIES = {f.__name__: f for f in [
     driver_importance, stream_daily_demand, stream_forecast, stream_refit_cadence, stream_stock_ledger,
 ]}
 QUERIES.update({
-    "fc_random_forest": _tree(FOREST), "fc_gbt": _tree(GBT), "fc_gbt_leafwise": _tree(LEAFWISE),
-    "tune_gbt": _tune_tree(GBT), "tune_rf": _tune_tree(FOREST), "tune_gbt_leafwise": _tune_tree(LEAFWISE),
+    "fc_random_forest": _tree(trees.FOREST), "fc_gbt": _tree(trees.GBT), "fc_gbt_leafwise": _tree(trees.GBT_LEAFWISE),
+    "tune_gbt": _tune_tree("gbt"), "tune_rf": _tune_tree("random_forest"), "tune_gbt_leafwise": _tune_tree("gbt_leafwise"),
 })

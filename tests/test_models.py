@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from larder.operators import linear, naive, scoring, smoothing, splits, trees, tuning
+from larder.operators import elastic, linear, naive, scoring, smoothing, splits, trees, tuning
 from larder.operators import features as feat
 from larder.operators.features import build_features
 from larder.plans import cleaning, selection
@@ -36,7 +36,7 @@ def mean_mase(forecasts, seasonal, split):
 
 def test_models_beat_the_baseline_on_weekly_demand(seasonal, split):
     quick = selection.Settings(
-        refit_every=84, n_alphas=20, forest=trees.FOREST.with_params(numTrees=10, maxDepth=6),
+        refit_every=84, n_alphas=3, forest=trees.FOREST.with_params(numTrees=10, maxDepth=6),
         gbt=trees.GBT.with_params(maxIter=10), gbt_leafwise=trees.GBT_LEAFWISE.with_params(maxIter=10))
     result = selection.model_selection(seasonal, s=quick)
     scores = {r.model: r.m for r in result["scores"].groupBy("model").agg(F.avg("mase").alias("m")).collect()}
@@ -59,45 +59,88 @@ def brute_elastic_net(x, y, alpha, l1, steps=4000):
     return b
 
 
-def test_elastic_net_against_brute_force(spark):
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(120, 3)) * [1, 3, 0.5] + [5, 0, -2]
-    y = x @ [2.0, 0.0, -1.0] + rng.normal(size=120)
-    table = spark.createDataFrame(
-        pd.DataFrame(np.column_stack([x, y]), columns=["a", "b", "c", "y"]).assign(
-            series_id="s", t=np.arange(14, 134)))
-    blocks = linear.cross_products(table.withColumn("block", F.floor((F.col("t") - 14) / 20).cast("int")),
-                                   ["a", "b", "c", "y"], ["series_id", "block"]).toPandas()
-    sums = linear.Sums(blocks, np.arange(14, 134, 20), 4)
-    full = np.column_stack([np.ones(120), x, y])
-    assert np.allclose(sums.before(10**6), full.T @ full)
-
-    fit = linear.fit_elastic_net(sums, 14, [134])[0]
-    mean, sd = x.mean(axis=0), x.std(axis=0)
-    z = (x - mean) / sd
-    assert fit["standard"] == pytest.approx(brute_elastic_net(z, y, fit["alpha"], fit["l1_ratio"]), abs=2e-3)
-
-    # The chosen penalty has the smallest mean error over past-only splits of 20 rows.
-    def cv(alpha, l1):
+def pooled_rows(spark, n=120, t0=100, seed=0):
+    """A training table of one series with three columns that matter or not; the other features are noise or constant."""
+    from pyspark.ml.feature import VectorAssembler
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, len(feat.FEATURES))) * np.linspace(0.5, 3, len(feat.FEATURES)) + 1
+    x[:, 5] = 4.0
+    y = x[:, :3] @ [2.0, 0.0, -1.0] + rng.normal(size=n)
+    pdf = pd.DataFrame(x, columns=feat.FEATURES).assign(
+        series_id="s", t=np.arange(n) + splits.WARMUP, n=n + splits.WARMUP, t0=t0 + splits.WARMUP, y=y, scale=1.0, label=y)
+    pdf["date"] = pd.Timestamp("2024-01-01") + pd.to_timedelta(pdf["t"], unit="D")
+    table = VectorAssembler(inputCols=feat.FEATURES, outputCol="vec").transform(spark.createDataFrame(pdf))
+    return table, x, y
+
+
+@pytest.mark.parametrize("ratio", [0.1, 0.5, 1.0])
+def test_elastic_net_against_brute_force(spark, ratio):
+    """The learner with converted penalties minimises the same sum as proximal gradient steps on the rows."""
+    table, x, y = pooled_rows(spark)
+    keep = np.delete(np.arange(x.shape[1]), 5)
+    z = (x[:, keep] - x[:, keep].mean(axis=0)) / x[:, keep].std(axis=0)
+    for alpha in (0.02, 0.3):
+        fitted = elastic.penalised(alpha, ratio, y.std()).estimator().fit(table)
+        got = fitted.coefficients.toArray()
+        assert got[5] == 0
+        assert got[keep] * x[:, keep].std(axis=0) == pytest.approx(brute_elastic_net(z, y, alpha, ratio), abs=5e-3)
+
+
+@pytest.mark.parametrize("past_only", [True, False])
+def test_choice_has_the_least_validation_error(spark, past_only):
+    table, x, y = pooled_rows(spark, 660, 600)
+    choice = elastic.choose(table, past_only, n_alphas=3, ratios=(0.5, 1.0))
+    assert len(choice.settings) == 6 and sum(c for *_, c in choice.settings) == 1
+    train = 600  # rows before the test block
+    size = train // 6 if past_only else train // 5
+    for ratio, alpha, mse, _ in choice.settings:
         errors = []
-        for lo in range(20, 120, 20):
-            b = brute_elastic_net(z[:lo], y[:lo], alpha, l1, 1500)
-            p = y[:lo].mean() + (z[lo:lo + 20] - z[:lo].mean(axis=0)) @ b
-            errors.append(np.mean((y[lo:lo + 20] - p) ** 2))
-        return np.mean(errors)
-    best = cv(fit["alpha"], fit["l1_ratio"])
-    for alpha, l1 in ((fit["alpha"] * 4, fit["l1_ratio"]), (fit["alpha"] / 4, fit["l1_ratio"]), (fit["alpha"], 0.1)):
-        assert best <= cv(alpha, l1) + 1e-3
-
-
-def test_block_edges_cover_every_split(spark):
-    for t0, n, k in ((60, 75, 7), (200, 368, 14), (35, 42, 14)):
-        for past in (True, False):
-            row = spark.range(1).select(F.expr(
-                linear.block_starts_sql(k, past).replace("t0", str(t0)).replace("n -", f"{n} -"))).first()[0]
-            for end in range(t0, n, k):
-                for lo, hi in linear.split_days(14, end, past):
-                    assert lo in row and hi in row
+        for k in range(5):
+            held = np.arange(train - (5 - k) * size, train - (4 - k) * size) if past_only else np.arange(k * size, (k + 1) * size)
+            rest = np.arange(held[0]) if past_only else np.setdiff1d(np.arange(train), held)
+            sd = x[rest].std(axis=0)
+            sd[sd < 1e-9] = 1
+            z = (x - x[rest].mean(axis=0)) / sd
+            # the learner converts by the deviation of all rows before the block
+            whole, own = y[:train].std(), y[rest].std()
+            absolute, square = alpha * ratio, alpha * (1 - ratio) * whole / own
+            b = brute_elastic_net(z[rest], y[rest], absolute + square, absolute / (absolute + square))
+            errors.append(np.mean((y[held] - y[rest].mean() - z[held] @ b) ** 2))
+        assert mse == pytest.approx(np.mean(errors), rel=0.02)
+    assert min(m for _, _, m, _ in choice.settings) == next(m for *_, m, c in choice.settings if c)
+
+
+def test_choice_without_rows_or_variation(spark):
+    table, _, _ = pooled_rows(spark)
+    assert elastic.choose(table.limit(0)).settings == []
+    flat = table.withColumn("label", F.lit(1.0))
+    assert elastic.choose(flat).settings == [] and elastic.choose(flat).model.params["regParam"] == 0.0
+
+
+def test_trials_that_score_worse_end_early(spark, monkeypatch):
+    """Half of the trials go on to twice the folds; the default sees all of them; a fold is fitted once."""
+    table, _, _ = pooled_rows(spark)
+    jobs = []
+    monkeypatch.setattr(trees, "fit_all", lambda t, wanted, every: (jobs.extend((m.name, f) for m, f in wanted), spark.createDataFrame(
+        [(m.name, f) for m, f in wanted], "model string, fold int"))[1])
+    order = {f"trial_{i}": float(i) for i in range(4)} | {"default": 9.0}
+    trials, last = trees.halving(table, trees.GBT.with_params("default"), [trees.GBT.with_params(f"trial_{i}") for i in range(4)], 7, 8,
+                                 lambda f: {r.model: order[r.model] for r in f.select("model").distinct().collect()})
+    assert {t.model.name: t.folds for t in trials} == {"default": 8, "trial_0": 8, "trial_1": 4, "trial_2": 2, "trial_3": 2}
+    assert len(jobs) == len(set(jobs)) == 8 + 8 + 4 + 2 + 2
+    assert {r.model for r in last.collect()} == {"default", "trial_0"}
+
+
+def test_every_day_has_a_forecast_row(spark):
+    """A missing feature gives a NULL forecast; rows to learn from are counted for all folds at once."""
+    table, _, _ = pooled_rows(spark)
+    holes = table.withColumn("vec", F.when(F.col("t") % 5 != 0, F.col("vec")))
+    counts = trees.trainable_rows(holes, 7, 3)
+    assert counts == [holes.filter(f"t < {114 + 7 * f} AND t % 5 <> 0").count() for f in range(3)]
+    got = trees.tree_forecasts(holes, [elastic.penalised(0.1, 0.5, 1.0)], 7, 3).collect()
+    assert len(got) == 20 and sum(r.forecast is None for r in got) == 4
+    none = trees.tree_forecasts(table.withColumn("label", F.lit(None).cast("double")), [trees.GBT], 7, 3)
+    assert none.count() == 20 and none.filter("forecast IS NOT NULL").isEmpty()
 
 
 def test_arx_equals_least_squares_on_the_rows(seasonal, split):
@@ -233,7 +276,9 @@ def test_search_spaces():
             if kind == "int":
                 assert all(isinstance(p[name], int) and p[name] < high for p in drawn)
         for p in drawn:
-            trees.TreeModel("m", "forest" if model == "random_forest" else "boost", tuning.learner_params(p)).estimator()
+            learner = trees.TreeModel("m", "forest" if model == "random_forest" else "boost", tuning.learner_params(p))
+            learner.estimator()
+            assert "=" in tuning.settings_text(learner.params)
 
 
 def test_equal_scores_go_to_the_earlier_model(spark):
