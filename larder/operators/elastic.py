@@ -97,6 +97,7 @@ def choose(table: DataFrame, past_only: bool = True, n_alphas: int = N_ALPHAS, r
     splits = [s for s in range(CV_SPLITS) if counts.get(s) and learned_from(s) > 1]
     if not largest or not splits:
         return Choice(penalised(0.0, 1.0, 1.0, name), [])
+    rows = rows.select("vec", "label", "split").persist()  # every fit reads it; what is lost is read again from the table
     settings = [(r, largest / r * a) for r in ratios for a in np.logspace(0, np.log10(ALPHA_SPAN), n_alphas)]
 
     def fit(job: tuple[int, tuple[float, float]]):
@@ -108,6 +109,7 @@ def choose(table: DataFrame, past_only: bool = True, n_alphas: int = N_ALPHAS, r
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
         fitted = list(pool.map(fit, jobs))
     errors = _errors(rows, {s: [f for (k, _), f in zip(jobs, fitted, strict=True) if k == s] for s in splits})
+    rows.unpersist()
     mean = [float(np.mean([errors[s, i] for s in splits])) for i in range(len(settings))]
     best = min(range(len(settings)), key=lambda i: (round(mean[i], 12), -settings[i][1]))
     ratio, alpha = settings[best]

@@ -1,18 +1,20 @@
 """Scores, the trimmed ensemble and the winner.
 
 Forecasts are long: ``series_id, date, model, forecast, actual``.  The actual
-travels with the forecast, so scoring needs no join of daily rows.  A day
-without an actual or a forecast is left out of the means.
+travels with the forecast, so scoring needs no join of daily rows.  Models of a series are
+compared on the same days: those on which there is an actual and every model has a forecast
+(a model that never has one does not count, and has no score).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.columns import half_even
 from larder.functions.windows import by_day
 from larder.operators.splits import SEASON
+from larder.session import stored
 
 # Sums of doubles depend on the order rows arrive in; scores are ranked to this many places,
 # so that equal forecasts tie.
@@ -40,12 +42,26 @@ def rank_of(registry: list[str]) -> Column:
     return F.when(position > 0, position).otherwise(len(registry) + 1).cast("int")
 
 
+def on_common_days(forecasts: DataFrame) -> DataFrame:
+    """``forecasts`` with ``common``: whether all models of the series can be scored on the row's day.
+
+    Both windows are over a series, so one exchange serves them and the scores after them.
+    """
+    scored = F.when((F.col("actual") - F.col("forecast")).isNotNull(), F.col("model"))
+    of_series = F.size(F.collect_set(scored).over(Window.partitionBy("series_id")))
+    of_day = F.size(F.collect_set(scored).over(Window.partitionBy("series_id", "date")))
+    counted = forecasts.withColumns({"_models": of_series}).withColumn("common", (F.col("_models") > 0) & (of_day == F.col("_models")))
+    return counted.drop("_models")
+
+
 def score(forecasts: DataFrame, scale: DataFrame) -> DataFrame:
-    """``series_id, model, mase, mae, n_days``; MASE is NULL where the scale is 0."""
-    errors = forecasts.groupBy("series_id", "model").agg(
-        F.avg(F.abs(F.col("actual") - F.col("forecast"))).alias("mae"),
-        F.count(F.col("actual") - F.col("forecast")).alias("n_days"),
-    )
+    """``series_id, model, mase, mae, n_days`` on the common days; MASE is NULL where the scale is 0.
+
+    ``forecasts`` may have ``common`` already, as when an ensemble joins the models it was made of.
+    """
+    marked = forecasts if "common" in forecasts.columns else on_common_days(forecasts)
+    error = F.when(F.col("common"), F.abs(F.col("actual") - F.col("forecast")))
+    errors = marked.groupBy("series_id", "model").agg(F.avg(error).alias("mae"), F.count(error).alias("n_days"))
     return errors.join(scale, "series_id").select(
         "series_id", "model", (F.col("mae") / F.nullif("q_scale", F.lit(0.0))).alias("mase"), "mae", "n_days")
 
@@ -77,17 +93,29 @@ def trimmed_members(scores: DataFrame, baseline: str = BASELINE) -> DataFrame:
 def average(forecasts: DataFrame, members: DataFrame, name: str = ENSEMBLE) -> DataFrame:
     """Mean of the members' forecasts per day, as a model of its own.
 
-    A day for which a member has no forecast gets none, as a mean over a missing
-    value would be missing.
+    A day for which a member has no forecast, or no row, gets none.
     """
-    mean = F.when(F.count("forecast") == F.count(F.lit(1)), F.avg("forecast"))
+    sized = members.select("series_id", "model", F.count(F.lit(1)).over(Window.partitionBy("series_id")).alias("_members"))
+    mean = F.when(F.count("forecast") == F.max("_members"), F.avg("forecast"))
+    common = {"common": F.bool_or("common")} if "common" in forecasts.columns else {}
     return (
-        forecasts.join(members, ["series_id", "model"], "left_semi")
-        .groupBy("series_id", "date").agg(mean.alias("forecast"), F.max("actual").alias("actual"))
-        .select("series_id", "date", F.lit(name).alias("model"), "forecast", "actual")
+        forecasts.join(sized, ["series_id", "model"])
+        .groupBy("series_id", "date").agg(mean.alias("forecast"), F.max("actual").alias("actual"), *[c.alias(n) for n, c in common.items()])
+        .select("series_id", "date", F.lit(name).alias("model"), "forecast", "actual", *common)
     )
 
 
+def with_ensemble(forecasts: DataFrame, scale: DataFrame, members: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(forecasts with the ensemble and ``common``, scores of all, members); members follow from the scores unless given.
+
+    The marked forecasts are written once, as scores, members and ensemble all read them.
+    """
+    marked = stored(on_common_days(forecasts), "forecasts")
+    members = members if members is not None else trimmed_members(score(marked, scale))
+    everything = marked.unionByName(average(marked, members), allowMissingColumns=True)
+    return everything, score(everything, scale), members
+
+
 def winner(scores: DataFrame, registry: list[str]) -> DataFrame:
     """Lowest MASE per series; a tie goes to the earlier registry entry."""
     ranked = scores.withColumns({"_merit": _merit(scores), "_rank": rank_of(registry)})
@@ -117,10 +145,9 @@ def select_on_validation(val_forecasts: DataFrame, val_scale: DataFrame, test_fo
 
     Returns ``series_id, model, val_mase, test_mase, test_mae, is_member, is_winner``.
     """
-    val_scores = score(val_forecasts, val_scale)
-    members = trimmed_members(val_scores)
-    val_all = val_scores.unionByName(score(average(val_forecasts, members), val_scale))
-    test_all = score(test_forecasts.unionByName(average(test_forecasts, members)), test_scale)
+    _, val_all, members = with_ensemble(val_forecasts, val_scale)
+    members = stored(members, "members")
+    _, test_all, _ = with_ensemble(test_forecasts, test_scale, members)
     return (
         test_all.select("series_id", "model", F.col("mase").alias("test_mase"), F.col("mae").alias("test_mae"))
         .join(val_all.select("series_id", "model", F.col("mase").alias("val_mase")), ["series_id", "model"])

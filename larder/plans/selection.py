@@ -80,15 +80,12 @@ def model_selection(features: DataFrame, test_days: int = 168, s: Settings | Non
     s = s or Settings()
     windows = splits.backtest_window(features, test_days)
     split = splits.usable(windows)
-    forecasts = stored(forecast_all(features, split, s), "forecasts")
+    forecasts = forecast_all(features, split, s)
     scale = scoring.mase_scale(features, split)
-    base = scoring.score(forecasts, scale)
-    members = scoring.trimmed_members(base)
-    ensemble = scoring.average(forecasts, members)
-    scores = base.unionByName(scoring.score(ensemble, scale))
+    everything, scores, members = scoring.with_ensemble(forecasts, scale)
     names = registry_names(s)
     winners = scoring.winner(scores, names)
-    everything = forecasts.unionByName(ensemble)
+    everything = everything.drop("common")
     return {
         "forecasts": everything, "scores": scores, "members": members, "winner": winners,
         "table": scoring.score_table(scores, names),

@@ -201,7 +201,7 @@ def stream_refit_cadence(spark, sf):
 def stream_stock_ledger(spark, sf):
     inputs = policy_input(spark, sf)
     sigma = policy.interval_error_std(inputs, policy.Scenario().horizon)
-    stream, closing = _as_stream(inputs.join(sigma, "series_id"), "feed")
+    stream, closing = _as_stream(inputs.join(sigma, "series_id", "left"), "feed")
     return emit(feed.run_to_end(stateful.stock_ledger(stream), "stream-ledger", closing))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larder.functions.labels import readable
+from larder.functions.windows import day_number
 from larder.operators import drivers, ledger, naive, policy, scoring, splits
 from larder.schema import stock_columns
 from registry.common import clean_table, daily, emit, feature_table, policy_input, window
@@ -63,9 +64,20 @@ def avg_trimmed(spark, sf):
 
 
 def _all_scores(spark, sf):
-    forecasts, scale, scores = _scores(spark, sf)
-    average = scoring.average(forecasts, scoring.trimmed_members(scores))
-    return forecasts.unionByName(average), scores.unionByName(scoring.score(average, scale))
+    base = _base(spark, sf)
+    split = window(base)
+    return scoring.with_ensemble(_forecasts(base, split), scoring.mase_scale(base, split))[:2]
+
+
+def score_gaps(spark, sf):
+    """Scores where one model has no row on some days and another no forecast: all are compared on the days that are left."""
+    base = _base(spark, sf)
+    split = window(base)
+    day, model = F.dayofmonth("date"), F.col("model")
+    holes = _forecasts(base, split).filter(~((model == "naive_14") & (day % 5 == 0))).withColumn(
+        "forecast", F.when(~((model == "mean_7") & (day == 11)), F.col("forecast")))
+    scores = scoring.with_ensemble(holes, scoring.mase_scale(base, split))[1]
+    return emit(scores.select("series_id", "model", "mase", "mae", "n_days"))
 
 
 def score_table(spark, sf):
@@ -99,14 +111,16 @@ def interval_error_std(spark, sf):
     return emit(policy.interval_error_std(policy_input(spark, sf), 3))
 
 
-def _ordered(spark, sf):
-    """Order-up-to on every recorded day: position = recorded stock, forecast = trailing mean."""
+def _ordered(base):
+    """Order-up-to on every recorded day: position = recorded stock, forecast = trailing mean.
+
+    A series too short for an interval error has rows without safety, level and order.
+    """
     s = policy.Scenario()
-    base = clean_table(spark, sf)
     total = base.select("series_id", "date", policy.sum_columns([F.col(c) for c in STOCK]).alias("position"))
     inputs = policy.fallback_forecast(base)
     sigma = policy.interval_error_std(inputs, s.horizon)
-    joined = inputs.join(total, ["series_id", "date"]).join(sigma, "series_id")
+    joined = inputs.join(total, ["series_id", "date"]).join(sigma, "series_id", "left")
     safety = policy.safety_stock(F.lit(s.z), F.lit(s.horizon), sigma_interval=F.col("sigma_interval"))
     level = policy.order_up_to_level(s.horizon * F.col("forecast"), safety, F.col("mean_daily"), F.lit(s.cover_cap))
     return (joined.withColumn("safety", safety).withColumn("level", level)
@@ -114,14 +128,20 @@ def _ordered(spark, sf):
 
 
 def order_up_to(spark, sf):
-    return emit(_ordered(spark, sf).select("series_id", "date", "position", "safety", "level", "order_qty"))
+    return emit(_ordered(clean_table(spark, sf)).select("series_id", "date", "position", "safety", "level", "order_qty"))
+
+
+def order_up_to_short(spark, sf):
+    """The same where one series has three days only: it keeps its rows."""
+    base = clean_table(spark, sf).withColumn("t", day_number()).filter((F.col("series_id") != "AF") | (F.col("t") < 3))
+    return emit(_ordered(base).select("series_id", "date", "position", "safety", "level", "order_qty"))
 
 
 def safety_stock(spark, sf):
     inputs = policy_input(spark, sf)
     errors = inputs.groupBy("series_id").agg(
         F.stddev_pop(F.col("demand") - F.col("forecast")).alias("sigma_1step"))
-    both = errors.join(policy.interval_error_std(inputs, 3), "series_id")
+    both = errors.join(policy.interval_error_std(inputs, 3), "series_id", "left")
     levels = policy.with_scenarios(both, policy.service_level_scenarios())
     h = F.col("lead_time") + F.col("review")
     return emit(levels.select(
@@ -163,7 +183,7 @@ def stock_ageing(spark, sf):
 
 
 def arrival_split(spark, sf):
-    ordered = _ordered(spark, sf)
+    ordered = _ordered(clean_table(spark, sf))
     split = policy.arrival_split(ordered, 2, 0.05, policy.half_even(F.col("mean_daily")))
     return emit(split.select("series_id", "date", "arrived", "arrived_short", "arrived_long"))
 
@@ -228,8 +248,9 @@ def driver_labels(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in [
-    fc_seasonal_naive, mase_scale, mase, mae, trimmed_members, avg_trimmed, score_table, winner,
-    forecast_vs_actual, winner_on_validation, fallback_forecast, interval_error_std, order_up_to, safety_stock,
+    fc_seasonal_naive, mase_scale, mase, mae, trimmed_members, avg_trimmed, score_table, score_gaps, winner,
+    forecast_vs_actual, winner_on_validation, fallback_forecast, interval_error_std, order_up_to,
+    order_up_to_short, safety_stock,
     blended_cover_cap, expiry_first_issue, oldest_first_issue, stock_ageing, arrival_split, emergency_topup,
     stock_ledger, policy_kpis, current_kpis, policy_comparison, service_level_sweep, mix_sweep, stock_over_time,
     season_driver, top_drivers, driver_labels,
