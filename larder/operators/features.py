@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.windows import by_day, day_number, past, whole
+from larder.operators.splits import WARMUP, fold_number
 from larder.schema import LAGGED_DRIVERS
 
 LAGS = [1, 7, 14]
@@ -107,3 +108,35 @@ def scale_train(df: DataFrame, columns: list[str], train_end: Column) -> DataFra
         sd = F.stddev_pop(seen).over(whole())
         return (F.col(c) - F.avg(seen).over(whole())) / F.when(sd == 0, F.lit(1.0)).otherwise(sd)
     return df.withColumns({c: scaled(c) for c in columns})
+
+
+def scale_by_fold(split_features: DataFrame, columns: list[str], refit_every: int = 14) -> DataFrame:
+    """Test-block rows with ``fold`` and their columns standardised on the complete rows that the fold's model learns from.
+
+    Training sets of a rolling origin are nested, so the moments of a fold are running sums over blocks of days: the rows are
+    reduced once (counts, sums and sums of squares, combined before the exchange), whatever the number of folds.  Values are
+    shifted by the series' first complete row before they are squared, so that a large level costs no digits.  Sample deviation; 0 and
+    an unknown one leave the column NULL.
+    """
+    per_series = Window.partitionBy("series_id")
+    whole_row = F.expr(" AND ".join(f"{c} IS NOT NULL" for c in columns))
+    usable = whole_row & (F.col("t") >= WARMUP)
+    fold = F.greatest(fold_number(refit_every), F.lit(-1))
+    rows = split_features.withColumns({"fold": fold, "_use": usable})
+    origin = rows.filter("_use").groupBy("series_id").agg(*[F.min_by(c, "t").alias(f"_o_{c}") for c in columns])
+    shifted = rows.join(origin, "series_id")
+    at = {c: F.when(F.col("_use"), F.col(c) - F.col(f"_o_{c}")) for c in columns}
+    blocks = shifted.groupBy("series_id", "fold").agg(
+        F.count_if("_use").alias("_n"), *[F.sum(v).alias(f"_s_{c}") for c, v in at.items()], *[F.sum(v * v).alias(f"_q_{c}") for c, v in at.items()],
+        *[F.first(f"_o_{c}").alias(f"_o_{c}") for c in columns])
+    before = per_series.orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)
+    sums = [f"_{k}_{c}" for k in "sq" for c in columns]
+    running = blocks.withColumns({"_n": F.sum("_n").over(before), **{c: F.sum(c).over(before) for c in sums}}).filter("fold >= 0")
+    days = rows.filter("fold >= 0").select("series_id", "date", "fold", *columns)
+
+    def scaled(c: str) -> Column:
+        n, s, q = F.col("_n"), F.col(f"_s_{c}"), F.col(f"_q_{c}")
+        variance = F.when(n > 1, (q - s * s / n) / (n - 1))
+        sd = F.when(variance > 1e-12, F.sqrt(variance))
+        return ((F.col(c) - F.col(f"_o_{c}") - s / n) / sd).alias(c)
+    return days.join(running, ["series_id", "fold"]).select("series_id", "date", "fold", *[scaled(c) for c in columns])

@@ -154,7 +154,7 @@ def holt_winters(features: DataFrame, split: DataFrame, refit_every: int = 14,
     """Test-block forecasts; weights are chosen anew every ``refit_every`` days on the days before.
 
     With several ``variants`` each becomes a model of its own, from one job; a
-    multiplicative one is left out for a series that has a value of 0 or less.
+    multiplicative one is left out for a series that has a value of 0 or less before its test block.
     ``name`` labels a single variant, otherwise its own name is used.
     """
     forms = variants or [DEFAULT_VARIANT]
@@ -167,7 +167,8 @@ def holt_winters(features: DataFrame, split: DataFrame, refit_every: int = 14,
         for form in forms:
             lanes = np.arange(len(rows))
             if form.multiplicative:
-                lanes = np.flatnonzero(~(y <= 0).any(axis=0))
+                past = np.arange(longest)[:, None] < t0
+                lanes = np.flatnonzero(~((y <= 0) & past).any(axis=0))
             if not len(lanes):
                 continue
             yy = y[:, lanes]

@@ -79,6 +79,10 @@ def scale_features(spark, sf):
     return emit(scaled.select("series_id", "date", *[F.col("s")[i].alias(c) for i, c in enumerate(feat.FEATURES)]))
 
 
+def scale_fold_features(spark, sf):
+    return emit(feat.scale_by_fold(splits.with_split(*_test(spark, sf)), feat.FEATURES))
+
+
 def forecast_all(spark, sf):
     return emit(selection.forecast_all(*_test(spark, sf)))
 
@@ -207,7 +211,8 @@ def stream_stock_ledger(spark, sf):
 
 QUERIES = {f.__name__: f for f in [
     fc_holt_winters, fc_holt_winters_fit, fc_holt_winters_variants, fc_arx, fc_elasticnet, elasticnet_choice,
-    fc_theta, scale_features, forecast_all, model_selection, sample_params, grid_params, tune_arx,
+    fc_theta, scale_features, scale_fold_features,
+    forecast_all, model_selection, sample_params, grid_params, tune_arx,
     tune_holt_winters, tune_theta, adopt_rule, tuning_report, tuned_selection, leak_check, driver_coefficients,
     driver_importance, stream_daily_demand, stream_forecast, stream_refit_cadence, stream_stock_ledger,
 ]}

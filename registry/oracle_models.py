@@ -62,3 +62,15 @@ SQL["scale_features"] = query(f"""
 SELECT {KEYS}, {', '.join(f'round(({c} - m_{c}) / s_{c}, 6) + 0.0::DOUBLE AS {c}' for c in FEATURES)} FROM scalable,
   (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}' for c in FEATURES)} FROM scalable
    WHERE t >= 14 AND t < t0)""")
+
+CTES["in_block"] = "SELECT * FROM feats JOIN usable USING (series_id)"
+CTES["fold_starts"] = """
+SELECT series_id, CAST(unnest(range(0, CAST((n - t0 + 13) // 14 AS BIGINT))) AS INT) AS fold, t0 FROM usable"""
+CTES["fold_scales"] = f"""
+SELECT s.series_id, s.fold, {', '.join(f'avg({c}) AS m_{c}, nullif(round(stddev_samp({c}), 9), 0) AS z_{c}, stddev_samp({c}) AS s_{c}' for c in FEATURES)}
+FROM fold_starts s JOIN in_block b ON b.series_id = s.series_id AND b.t >= 14 AND b.t < s.t0 + s.fold * 14
+  AND {' AND '.join(f'b.{c} IS NOT NULL' for c in FEATURES)} GROUP BY 1, 2"""
+SQL["scale_fold_features"] = query(f"""
+SELECT b.series_id, CAST(date AS VARCHAR) AS date, f.fold,
+  {', '.join(f'round(CASE WHEN z_{c} IS NOT NULL THEN ({c} - m_{c}) / s_{c} END, 6) + 0.0::DOUBLE AS {c}' for c in FEATURES)}
+FROM in_block b JOIN fold_scales f ON b.series_id = f.series_id AND f.fold = (b.t - b.t0) // 14 WHERE b.t >= b.t0 AND b.t < b.n""")
