@@ -210,10 +210,12 @@ def query(body: str) -> str:
     if not names:
         return body
     recursive = "RECURSIVE " if any("UNION ALL" in CTES[n] and n in RECURSIVE for n in names) else ""
-    return f"WITH {recursive}" + ",\n".join(f"{n} AS ({CTES[n]})" for n in names) + "\n" + body
+    return f"WITH {recursive}" + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in MATERIALIZED else ''}({CTES[n]})" for n in names) + "\n" + body
 
 
 RECURSIVE: set[str] = set()
+# Tables that a recursion reads in every step.
+MATERIALIZED: set[str] = set()
 
 
 def r(expr: str, name: str | None = None) -> str:
