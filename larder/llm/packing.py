@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import lean, stored
+from larder.llm.common import give_back, lean, stored
 
 #: Pieces packed at once in the first round; items of a task and fan-in of the tree in later ones.
 PIECES, ITEMS, FAN_IN = 50_000, 100_000, 8
@@ -37,7 +37,7 @@ class Encoder:
     that may hold a special token, the tokenizer itself is asked.
     """
 
-    def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None, most: int = 100_000):
+    def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.path, self.most, self.quick = path, most, None
@@ -145,6 +145,7 @@ def _tokenized(docs: DataFrame, files: tuple, size: int, end: int, text: str, do
                     yield flush()
         if held:
             yield flush()
+        give_back()
     return docs.select(doc_id, text).mapInArrow(pack, schema)
 
 

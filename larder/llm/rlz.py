@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import lean, stored, words
+from larder.llm.common import give_back, lean, stored, words
 
 ANCHOR = 8
 #: Words that one call of the parser holds; longer documents are parsed in blocks of so many words.
@@ -160,6 +160,7 @@ def factored(docs: DataFrame, window: int = 35, text: str = "text", doc_id: str
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from pieces(batch["__k"].to_numpy(zero_copy_only=False), batch["__t"].to_pylist(), window)
+        give_back()
 
     every = narrow.mapInArrow(parse, "h long, sig long, k long, s int, n int")
     often = every.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
@@ -181,6 +182,7 @@ def factored(docs: DataFrame, window: int = 35, text: str = "text", doc_id: str
         for batch in batches:
             yield from _windows(batch.column(at_k).to_numpy(zero_copy_only=False), batch.column(at_t).to_pylist(),
                                 batch.column(len(names)).to_pylist(), window)
+        give_back()
 
     # a left join, as an inner one would filter the exchange and so need one of its own
     checked = spread.join(opened, "__k", "left").select(*[f"`{c}`" for c in names], "__open").mapInArrow(
