@@ -207,7 +207,8 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = _FIELDS, tampered: Colum
     own = [F.col(f) for f in fields]
     other = F.lit(None).cast("binary") if tampered is None else F.when(tampered.isNotNull(), leaf(*own[:-1], tampered))
     rows = docs.select(own[0].alias("id"), own[1].cast("string").alias("tree"), leaf(*own).alias("digest"), other.alias("tampered"))
-    leaves = ranked(rows, "tree", ["id", "digest"])
+    # written first: ranking reads its input twice, and the texts should be read once
+    leaves = ranked(stored(rows, "leaves"), "tree", ["id", "digest"])
     trees = tiers(leaves.select("tree", "pos", "total", "digest"), levels)
     roots = tops(trees, levels) if trees else rows.select("tree", F.col("digest").alias("top")).limit(0)
     sources = ranked(roots.select("tree", F.col("top").alias("digest"), F.lit("").alias("all")), "all", ["tree"])
