@@ -144,8 +144,9 @@ def keyed_rows(docs: DataFrame, shards: int = SHARDS, text: str = "text", doc_id
         *[lay(F.col(c)).alias(name) for name, (c, lay) in zip(names, dimensions, strict=True)]), "sizes")
     ends = rows.agg(F.sum("size").alias("total"), *[f(c).alias(f"{f.__name__}_{c}") for c in names for f in (F.min, F.max)]).first()
     part = max(1, (ends.total or 0) // (shards * PARTS))
-    # a group of any number of copies comes combined from each task; the rows of a very large one are split by the planner's skew join
-    groups = rows.groupBy("h1", "h2").agg(F.ceil(F.sum("size") / part).alias("parts"), *[F.min(c).alias(f"g_{c}") for c in names])
+    # a group of any number of copies comes combined from each task; written, so that the join has an exchange of its own on both sides and
+    # the planner can split the rows of a very large group
+    groups = stored(rows.groupBy("h1", "h2").agg(F.ceil(F.sum("size") / part).alias("parts"), *[F.min(c).alias(f"g_{c}") for c in names]), "groups")
     joined = rows.drop(*names).join(groups, ["h1", "h2"])
     own = F.shiftrightunsigned(F.xxhash64("h1", "h2", F.pmod(F.xxhash64("id"), F.col("parts"))), 64 - HASH_BITS)
 
