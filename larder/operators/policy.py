@@ -130,6 +130,38 @@ def fallback_forecast(clean: DataFrame) -> DataFrame:
         F.coalesce(F.col("usage_avg_7d"), mean).alias("forecast"), mean.alias("mean_daily"))
 
 
+def chosen_forecast(clean: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Policy input of the days a selection forecast: the winner's forecast instead of the trailing mean.
+
+    ``chosen`` has ``series_id, date, model, forecast`` of each series' winner (``scoring.forecast_vs_actual``).  The
+    mean is that of the whole clean series.  A day the winner gave no forecast for keeps its row with a NULL forecast.
+    """
+    means = clean.select("series_id", "date", F.col("demand_model").alias("demand"),
+                         F.avg("demand_model").over(whole()).alias("mean_daily"))
+    return (chosen.select("series_id", "date", "model", "forecast").join(means, ["series_id", "date"])
+            .select("series_id", "date", "model", "demand", "forecast", "mean_daily"))
+
+
+def stock_position(clean: DataFrame) -> DataFrame:
+    """Recorded units on the shelf, all ages together, per series and day."""
+    return clean.select("series_id", "date", sum_columns([F.col(c) for c in stock_columns_in(clean.columns)]).alias("position"))
+
+
+def order_days(inputs: DataFrame, position: DataFrame, scenario: Scenario = Scenario()) -> DataFrame:
+    """Safety stock, target level and order of every day of ``inputs``, from the recorded stock of the day.
+
+    ``inputs`` has ``series_id, date, demand, forecast, mean_daily``; the interval error is measured on its rows.  A
+    series too short for an interval error keeps its rows without safety, level and order.
+    """
+    s = scenario
+    sigma = interval_error_std(inputs, s.horizon)
+    joined = inputs.join(position, ["series_id", "date"]).join(sigma, "series_id", "left")
+    safety = safety_stock(F.lit(s.z), F.lit(s.horizon), sigma_interval=F.col("sigma_interval"))
+    level = order_up_to_level(s.horizon * F.col("forecast"), safety, F.col("mean_daily"), F.lit(s.cover_cap))
+    return (joined.withColumn("safety", safety).withColumn("level", level)
+            .withColumn("order_qty", order_quantity(F.col("level"), F.col("position"))))
+
+
 # -- the parts of one stock day -------------------------------------------------------------
 
 def issue_order(shelf_life: int, shelf_life_long: int) -> list[tuple[str, int]]:

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from larder.operators import drivers, elastic, linear, naive, policy, scoring, smoothing, splits, trees, tuning
 from larder.operators import features as feat
-from larder.plans import selection, tuned
+from larder.plans import replenish, selection, tuned
 from larder.session import stored
 from larder.streaming import feed, stateful
-from registry.common import emit, feature_table, policy_input, window
+from registry.common import daily, emit, feature_table, policy_input, window
 from registry.stock import naive_forecasts
 
 # Registered queries run the library's own settings over whole tables.
@@ -154,11 +154,23 @@ def leak_check(spark, sf):
     return emit(tuned.leak_check(feats, split, scoring.mase_scale(feats, split)))
 
 
+@lru_cache(maxsize=4)
+def _replenished(spark, sf):
+    return replenish.replenish(daily(spark, sf))
+
+
+def replenish_orders(spark, sf):
+    """Raw rows to orders on the forecast of the winner among all models."""
+    found = _replenished(spark, sf)["orders"]
+    return emit(found.select("series_id", "date", "model", "forecast", "position", "safety", "level", "order_qty"))
+
+
+def replenish_drivers(spark, sf):
+    return emit(_replenished(spark, sf)["drivers"])
+
+
 def _whole_history(spark, sf):
-    """The pooled training table with every row before the test block, which is empty."""
-    feats = feature_table(spark, sf)
-    counts = feats.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")).withColumn("t0", F.col("n"))
-    return trees.training_table(splits.with_split(feats, counts))
+    return replenish.whole_history(feature_table(spark, sf))
 
 
 def driver_coefficients(spark, sf):
@@ -214,7 +226,7 @@ QUERIES = {f.__name__: f for f in [
     fc_theta, scale_features, scale_fold_features,
     forecast_all, model_selection, sample_params, grid_params, tune_arx,
     tune_holt_winters, tune_theta, adopt_rule, tuning_report, tuned_selection, leak_check, driver_coefficients,
-    driver_importance, stream_daily_demand, stream_forecast, stream_refit_cadence, stream_stock_ledger,
+    driver_importance, replenish_orders, replenish_drivers, stream_daily_demand, stream_forecast, stream_refit_cadence, stream_stock_ledger,
 ]}
 QUERIES.update({
     "fc_random_forest": _tree(trees.FOREST), "fc_gbt": _tree(trees.GBT), "fc_gbt_leafwise": _tree(trees.GBT_LEAFWISE),

@@ -112,19 +112,8 @@ def interval_error_std(spark, sf):
 
 
 def _ordered(base):
-    """Order-up-to on every recorded day: position = recorded stock, forecast = trailing mean.
-
-    A series too short for an interval error has rows without safety, level and order.
-    """
-    s = policy.Scenario()
-    total = base.select("series_id", "date", policy.sum_columns([F.col(c) for c in STOCK]).alias("position"))
-    inputs = policy.fallback_forecast(base)
-    sigma = policy.interval_error_std(inputs, s.horizon)
-    joined = inputs.join(total, ["series_id", "date"]).join(sigma, "series_id", "left")
-    safety = policy.safety_stock(F.lit(s.z), F.lit(s.horizon), sigma_interval=F.col("sigma_interval"))
-    level = policy.order_up_to_level(s.horizon * F.col("forecast"), safety, F.col("mean_daily"), F.lit(s.cover_cap))
-    return (joined.withColumn("safety", safety).withColumn("level", level)
-            .withColumn("order_qty", policy.order_quantity(F.col("level"), F.col("position"))))
+    """Order-up-to on every recorded day: position = recorded stock, forecast = trailing mean."""
+    return policy.order_days(policy.fallback_forecast(base), policy.stock_position(base))
 
 
 def order_up_to(spark, sf):
@@ -137,6 +126,15 @@ def order_up_to_short(spark, sf):
     return emit(_ordered(base).select("series_id", "date", "position", "safety", "level", "order_qty"))
 
 
+def order_on_winner(spark, sf):
+    """Orders of the back-test window on the forecast of each series' winner."""
+    forecasts, scores = _all_scores(spark, sf)
+    chosen = scoring.forecast_vs_actual(forecasts, scoring.winner(scores, REGISTRY))
+    base = clean_table(spark, sf)
+    ordered = policy.order_days(policy.chosen_forecast(base, chosen), policy.stock_position(base))
+    return emit(ordered.select("series_id", "date", "model", "forecast", "position", "safety", "level", "order_qty"))
+
+
 def safety_stock(spark, sf):
     inputs = policy_input(spark, sf)
     errors = inputs.groupBy("series_id").agg(
@@ -250,7 +248,7 @@ def driver_labels(spark, sf):
 QUERIES = {f.__name__: f for f in [
     fc_seasonal_naive, mase_scale, mase, mae, trimmed_members, avg_trimmed, score_table, score_gaps, winner,
     forecast_vs_actual, winner_on_validation, fallback_forecast, interval_error_std, order_up_to,
-    order_up_to_short, safety_stock,
+    order_up_to_short, order_on_winner, safety_stock,
     blended_cover_cap, expiry_first_issue, oldest_first_issue, stock_ageing, arrival_split, emergency_topup,
     stock_ledger, policy_kpis, current_kpis, policy_comparison, service_level_sweep, mix_sweep, stock_over_time,
     season_driver, top_drivers, driver_labels,
