@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.columns import flag
-from larder.functions.windows import by_day
+from larder.functions.windows import by_day, whole
+
+#: A gap of more days than this splits a series into spans; only the span with most days is one calendar.
+MAX_GAP = 3653
 
 
 def parse_dates(df: DataFrame, column: str = "date") -> DataFrame:
@@ -61,12 +64,36 @@ def dedup_daily(df: DataFrame, sequence: str | None = None) -> DataFrame:
     return drop_bad_dates(rows_by_day(df, sequence)).drop("n_rows", "has_conflict")
 
 
-def calendar_complete(df: DataFrame) -> DataFrame:
+def with_span(days: DataFrame, max_gap: int = MAX_GAP) -> DataFrame:
+    """Adds ``span`` (0-based; a gap of more than ``max_gap`` days starts a new one) and ``is_near`` to one row per day.
+
+    The span of a series that has most days is the near one, the earliest if several have.  All windows are over a
+    series, the partitioning the calendar needs anyway.
+    """
+    far = F.coalesce(F.datediff("date", F.lag("date").over(by_day())) > max_gap, F.lit(False))
+    spans = days.withColumn("_far", far.cast("int")).withColumn("span", F.sum("_far").over(by_day()).cast("int"))
+    size = F.struct(F.count(F.lit(1)).over(whole("span")).alias("n"), (-F.col("span")).alias("s"))
+    sized = spans.withColumn("_size", size)
+    return sized.withColumn("is_near", F.col("_size") == F.max("_size").over(whole())).drop("_far", "_size")
+
+
+def rejected_spans(days: DataFrame, max_gap: int = MAX_GAP) -> DataFrame:
+    """The side table of ``calendar_complete``: one row for each span of days too far from the rest of its series."""
+    return (with_span(days, max_gap).filter(~F.col("is_near")).groupBy("series_id", "span")
+            .agg(F.min("date").alias("first_day"), F.max("date").alias("last_day"), F.count(F.lit(1)).alias("n_days")))
+
+
+def calendar_complete(df: DataFrame, max_gap: int | None = MAX_GAP) -> DataFrame:
     """One row for every day between a series' first and last day, ``is_inserted`` = 1 on new ones.
 
+    Days too far from the rest (see ``with_span``) are left out first, so that one wrong year costs one row of
+    ``rejected_spans`` and not millions of inserted days; ``max_gap=None`` takes every day.
+
     Each row expands over the gap up to its successor, so the calendar needs no
     join and the table is exchanged once, on the key all later windows use.
     """
+    if max_gap is not None:
+        df = with_span(df, max_gap).filter("is_near").drop("span", "is_near")
     values = [c for c in df.columns if c not in ("series_id", "date")]
     following = F.lead("date").over(by_day())
     last_of_gap = F.coalesce(F.date_sub(F.col("_following"), 1), F.col("date"))

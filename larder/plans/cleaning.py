@@ -11,7 +11,8 @@ from larder.operators import calendar, checks, diagnostics, rows, values
 
 
 def repair(raw: DataFrame, roles: dict[str, str] | None = None, max_gap_fill: int = 2,
-           date_column: str = "date", sequence: str | None = None, past_only: bool = False) -> DataFrame:
+           date_column: str = "date", sequence: str | None = None, past_only: bool = False,
+           max_gap: int = rows.MAX_GAP) -> DataFrame:
     """Rows and values repaired, with the per-row marks the report counts.
 
     Two exchanges: raw copies are combined per (series, day), then the daily table
@@ -21,10 +22,13 @@ def repair(raw: DataFrame, roles: dict[str, str] | None = None, max_gap_fill: in
     bad = F.coalesce(F.sum(F.when(F.col("date").isNull(), F.col("n_rows"))).over(whole()), F.lit(0))
     # A series' bad rows are one row here; their count moves to a column before the row is dropped.
     days = rows.drop_bad_dates(days.withColumn("bad_date_rows", bad.cast("bigint")))
-    marks = ["n_rows", "has_conflict", "bad_date_rows"]
+    # So is the count of rows whose day is too far from the rest to belong to the series' calendar.
+    far = F.coalesce(F.sum(F.when(~F.col("is_near"), F.col("n_rows"))).over(whole()), F.lit(0)).cast("bigint")
+    days = (rows.with_span(days, max_gap).withColumn("far_rows", far).filter("is_near").drop("span", "is_near"))
+    marks = ["n_rows", "has_conflict", "bad_date_rows", "far_rows"]
     numeric = schema.count_columns(days.columns, roles)
     carried = schema.carried_columns(numeric, roles)
-    complete = rows.calendar_complete(days)
+    complete = rows.calendar_complete(days, max_gap=None)
     typed = values.negatives_to_null(values.coerce_numeric(complete, numeric), numeric)
     interpolated = [c for c in numeric if c not in carried]
     filled = values.fill_short_gaps(typed, carried, interpolated, max_gap_fill, past_only)
@@ -47,16 +51,16 @@ def annotate(repaired: DataFrame, roles: dict[str, str] | None = None, outlier_k
     )
 
 
-_MARKS = ["_n_rows", "_has_conflict", "_bad_date_rows", "is_inserted", "negative_cells",
+_MARKS = ["_n_rows", "_has_conflict", "_bad_date_rows", "_far_rows", "is_inserted", "negative_cells",
           "missing_cells", "high_outlier_columns"]
 
 
 def clean_marked(raw: DataFrame, roles: dict[str, str] | None = None, max_gap_fill: int = 2,
                  outlier_k: float = 4.0, recon_tol: float = 1.0, high_mult: float = 5.0,
                  date_column: str = "date", sequence: str | None = None,
-                 past_only: bool = False) -> DataFrame:
+                 past_only: bool = False, max_gap: int = rows.MAX_GAP) -> DataFrame:
     """``clean_daily`` with the marks ``cleaning_report`` counts."""
-    return annotate(repair(raw, roles, max_gap_fill, date_column, sequence, past_only),
+    return annotate(repair(raw, roles, max_gap_fill, date_column, sequence, past_only, max_gap),
                     roles, outlier_k, recon_tol, high_mult)
 
 
@@ -74,6 +78,7 @@ def cleaning_report(marked: DataFrame, diagnose: bool = True) -> DataFrame:
     shortage = F.sum("is_shortage") if "is_shortage" in marked.columns else F.lit(0)
     report = marked.groupBy("series_id").agg(
         F.max("_bad_date_rows").alias("rows_dropped_bad_date"),
+        F.max("_far_rows").alias("rows_rejected_far_day"),
         F.sum(F.coalesce("_has_conflict", F.lit(0))).alias("conflicting_duplicate_dates"),
         F.sum(F.coalesce(F.col("_n_rows") - 1, F.lit(0))).alias("duplicate_dates_removed"),
         F.sum("is_inserted").alias("missing_calendar_days_inserted"),

@@ -2,21 +2,36 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder import schema
 
 
-def roll_up(transactions: DataFrame, series_id: Column, date: Column, measures: dict[str, Column]) -> DataFrame:
-    """One row per series and day.
+def roll_up(transactions: DataFrame, series_id: Column, date: Column, measures: dict[str, Column],
+            distinct: dict[str, Column] | None = None) -> DataFrame:
+    """One row per series and day, ``measures`` first, then the ``distinct`` counts (double, NULL values not counted).
 
     The aggregates combine before the exchange, so a series or day that holds
-    most of the transactions sends one partial row per map task.  Distinct counts
-    are grouped by the counted value first, which spreads a hot day over tasks.
+    most of the transactions sends one partial row per map task.  Each distinct count is a
+    branch of its own that reads three columns and is grouped by (series, day, value) first, which spreads
+    a hot day over tasks; counts and measures meet as rows of one key, so no wide row is copied for each count.
     """
+    keys = ["series_id", "date"]
     keyed = transactions.withColumns({"series_id": series_id, "date": date.cast("date")})
-    return keyed.groupBy("series_id", "date").agg(*[c.alias(name) for name, c in measures.items()])
+    rolled = keyed.groupBy(*keys).agg(*[c.alias(name) for name, c in measures.items()])
+    if not distinct:
+        return rolled
+    parts = [rolled]
+    for name, value in distinct.items():
+        seen = keyed.select(*keys, value.alias("_value")).filter(F.col("_value").isNotNull()).distinct()
+        parts.append(seen.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias(name)))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return rows.groupBy(*keys).agg(
+        *[F.first(c, ignorenulls=True).alias(c) for c in measures],
+        *[F.coalesce(F.first(c, ignorenulls=True), F.lit(0.0)).alias(c) for c in distinct])
 
 
 def conform(df: DataFrame, shelf_life: int = 5, keep_extra: bool = False) -> DataFrame:

@@ -25,9 +25,7 @@ def daily_measures() -> dict[str, Column]:
     }
     measures.update({f"stock_{k}day_left": _quantity_if(f"l_linenumber = {k}") for k in range(1, 6)})
     measures.update({
-        "driver_scheduled": "double(count(DISTINCT l_orderkey))",
         "driver_census_a": "double(sum(l_linenumber))",
-        "driver_census_b": "double(count(DISTINCT l_partkey))",
         "driver_census_c": "double(count(*))",
         "driver_lab_a": _rows_if("l_discount > 0.055D"),
         "driver_lab_b": _rows_if("l_tax > 0.045D"),
@@ -36,11 +34,18 @@ def daily_measures() -> dict[str, Column]:
     return {name: F.expr(text) for name, text in measures.items()}
 
 
+DAILY_COLUMNS = [
+    "units_used", "units_requested", "units_received", "units_expired", *[f"stock_{k}day_left" for k in range(1, 6)],
+    "driver_scheduled", "driver_census_a", "driver_census_b", "driver_census_c", "driver_lab_a", "driver_lab_b", "driver_lab_c"]
+
+
 def daily(spark: SparkSession, folder: str) -> DataFrame:
     """Canonical daily table of the order lines in ``folder``: series = return flag + line status."""
     lines = spark.read.parquet(f"{folder}/lineitem.parquet")
     series = F.concat("l_returnflag", "l_linestatus")
-    return roll_up(lines, series, F.col("l_shipdate"), daily_measures())
+    rolled = roll_up(lines, series, F.col("l_shipdate"), daily_measures(),
+                     {"driver_scheduled": F.col("l_orderkey"), "driver_census_b": F.col("l_partkey")})
+    return rolled.select("series_id", "date", *DAILY_COLUMNS)
 
 
 def dirty(daily_table: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.functions.windows import whole
 from larder.operators import calendar, checks, diagnostics, rows, splits, values
 from larder.operators import features as feat
 from larder.plans import cleaning
@@ -65,6 +66,23 @@ def calendar_complete(spark, sf):
     return emit(_complete(spark, sf))
 
 
+def _far(spark, sf):
+    """The dirty table with two stray days for each series: its first row again in the year 1066 and in the year 9999."""
+    days = rows.dedup_daily(_dated(spark, sf), "ingest_seq")
+    first = F.min("date").over(whole())
+    strays = F.array(F.lit("1066-10-14").cast("date"), F.lit("9999-12-31").cast("date"))
+    again = days.withColumn("_first", first).filter(F.col("date") == F.col("_first")).drop("_first")
+    return days.unionByName(again.withColumn("date", F.explode(strays)))
+
+
+def calendar_rejects(spark, sf):
+    return emit(rows.rejected_spans(_far(spark, sf)))
+
+
+def calendar_complete_far(spark, sf):
+    return emit(rows.calendar_complete(_far(spark, sf)))
+
+
 def _numeric(spark, sf):
     return values.coerce_numeric(_complete(spark, sf), DIRTY_NUMBERS)
 
@@ -228,7 +246,7 @@ def time_series_folds(spark, sf):
 
 QUERIES = {f.__name__: f for f in [
     daily_source, schema_conform, short_history, report_sink,
-    drop_bad_dates, conflicting_dates, dup_removed, dedup_daily, calendar_complete,
+    drop_bad_dates, conflicting_dates, dup_removed, dedup_daily, calendar_complete, calendar_rejects, calendar_complete_far,
     coerce_numeric, negatives_to_null, null_run_length, ffill_short, interpolate_short, fill_past_only,
     imputed_flag, long_gap_cells, high_outlier_flag, calendar_cols, federal_holidays,
     inventory_reconcile, decensor_demand, demand_outlier_mad, usage_avg_7d, cleaning_report,

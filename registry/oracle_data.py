@@ -43,6 +43,28 @@ FROM (SELECT series_id, max(n) AS n, var_pop(y - trend - season) AS vr, var_pop(
 
 CTES["d_station"] = stationarity("d_clean")
 CTES["d_strength"] = strength("d_clean")
+
+
+def spans(p: str, days: str) -> None:
+    """Days of a series in spans; the one with most days stays, the earliest if several have."""
+    CTES[f"{p}span"] = f"""
+SELECT *, sum(CASE WHEN date - before > 3653 THEN 1 ELSE 0 END) OVER ({W}) AS span
+FROM (SELECT *, lag(date) OVER ({W}) AS before FROM {days})"""
+    CTES[f"{p}near"] = f"""
+SELECT series_id, span FROM (SELECT series_id, span, row_number() OVER (PARTITION BY series_id ORDER BY count(*) DESC, span) AS rn
+  FROM {p}span GROUP BY 1, 2) WHERE rn = 1"""
+
+
+CTES["far_days"] = """
+SELECT * FROM d_dedup UNION ALL
+SELECT * EXCLUDE (stray) REPLACE (CAST(stray AS DATE) AS date) FROM (
+  SELECT * FROM d_dedup QUALIFY date = min(date) OVER (PARTITION BY series_id)), (VALUES ('1066-10-14'), ('9999-12-31')) AS v(stray)"""
+spans("far_", "far_days")
+spans("d_all", "d_dedup")
+CTES["far_kept"] = "SELECT far_span.* FROM far_span JOIN far_near USING (series_id, span)"
+CTES["d_far"] = """
+SELECT series_id, CAST(count(*) FILTER (WHERE n.span IS NULL) AS BIGINT) AS rows_rejected_far_day
+FROM d_dated JOIN d_allspan s USING (series_id, date) LEFT JOIN d_allnear n USING (series_id, span) GROUP BY 1"""
 CTES["d_report"] = """
 SELECT series_id, CAST(sum(is_inserted) AS BIGINT) AS missing_calendar_days_inserted,
   CAST(sum(negative_cells) AS BIGINT) AS negative_values_fixed,
@@ -76,6 +98,15 @@ SQL = {
     "dedup_daily": query(f"SELECT {KEYS}, units_used, {rounded(['units_requested', 'driver_census_a'])} FROM d_dedup"),
     "calendar_complete": query(
         f"SELECT {KEYS}, units_used, {rounded(['units_requested', 'driver_census_a'])}, is_inserted FROM d_cal"),
+    "calendar_rejects": query(
+        "SELECT series_id, CAST(span AS INT) AS span, CAST(min(date) AS VARCHAR) AS first_day, CAST(max(date) AS VARCHAR) AS last_day, "
+        "count(*) AS n_days FROM far_span LEFT JOIN (SELECT *, TRUE AS near FROM far_near) USING (series_id, span) "
+        "WHERE near IS NULL GROUP BY 1, 2"),
+    "calendar_complete_far": query(f"""
+SELECT d.series_id, CAST(d.date AS VARCHAR) AS date, r.units_used, {r('r.units_requested', 'units_requested')},
+  {r('r.driver_census_a', 'driver_census_a')}, CAST(r.series_id IS NULL AS INT) AS is_inserted
+FROM (SELECT series_id, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date
+  FROM far_kept GROUP BY 1) d LEFT JOIN far_kept r ON d.series_id = r.series_id AND d.date = r.date"""),
     "coerce_numeric": query(f"SELECT {KEYS}, {rounded(DIRTY_NUMBERS)} FROM d_num"),
     "negatives_to_null": query(f"SELECT {KEYS}, {rounded(DIRTY_NUMBERS)}, negative_cells FROM d_pos"),
     "null_run_length": query(f"SELECT {KEYS}, {', '.join('run_' + c for c in DIRTY_NUMBERS)} FROM d_runs"),
@@ -103,7 +134,7 @@ FROM d_pos JOIN (SELECT series_id, {', '.join(f'quantile_cont({c}, 0.99) AS p_{c
     "demand_outlier_mad": query(f"SELECT {KEYS}, {r('demand_model')}, is_demand_outlier FROM d_clean"),
     "usage_avg_7d": query(f"SELECT {KEYS}, {r('usage_avg_7d')} FROM d_clean"),
     "cleaning_report": query(
-        "SELECT * FROM d_report JOIN d_counters USING (series_id) "
+        "SELECT * FROM d_report JOIN d_counters USING (series_id) JOIN d_far USING (series_id) "
         "JOIN (SELECT series_id, df_t, is_stationary_5pct FROM d_station) USING (series_id) "
         "JOIN d_strength USING (series_id)"),
     "df_stationarity": query(stationarity("c_clean")),
