@@ -31,19 +31,27 @@ def daily_demand(transactions: DataFrame, series_id: Column, measures: dict[str,
 END = "2260-01-01"
 
 
-def run_to_end(stream: DataFrame, label: str, closing: tuple[DataFrame, str] | None = None) -> DataFrame:
+def run_to_end(stream: DataFrame, label: str, closing: tuple[DataFrame, str] | None = None, one_batch: bool = False) -> DataFrame:
     """Process all available input into files under the shared folder and return them as a table.
 
     Without ``closing`` the last days stay in the state, as a watermark waits for late rows.  With it the
     input has ended: after all of it a marker (see ``closing_feed``) moves the watermark past every day, in a
-    second run from the same checkpoint.
+    second run from the same checkpoint.  If all input is one batch (``one_batch``; files are read without
+    ``files_per_batch``), the marker joins it: no row of a batch is late for the batch's own marker, and the run closes
+    the days in the batch without data that follows it.
     """
     spark: SparkSession = stream.sparkSession
     out, progress = new_path(spark, label), new_path(spark, f"{label}-progress")
-    for last in (False, True) if closing is not None else (False,):
+
+    def close():
+        marker, folder = closing
+        marker.write.mode("append").parquet(folder)
+
+    if closing is not None and one_batch:
+        close()
+    for last in (False, True) if closing is not None and not one_batch else (False,):
         if last:
-            marker, folder = closing
-            marker.write.mode("append").parquet(folder)
+            close()
         query = (stream.writeStream.format("parquet").outputMode("append")
                  .option("path", out).option("checkpointLocation", progress).trigger(availableNow=True).start())
         query.awaitTermination()

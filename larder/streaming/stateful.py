@@ -3,7 +3,9 @@
 Rows of a series may arrive in any order within the watermark's delay.  They wait
 in the state until the watermark has passed their day and are then handled in
 day order, so a result does not depend on how the input was cut into batches.
-The waiting rows of a series are bounded by the delay.
+The waiting rows of a series are bounded by the delay.  Of several rows for one day the least by content counts
+(missing before known values, as ``rows.rows_by_day`` keeps them), whichever arrives first.  Days without a row are
+handled too, just before the next day that has one, so that state always moves by single calendar days.
 """
 
 from __future__ import annotations
@@ -17,44 +19,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from larder.operators import ledger, smoothing
+from larder.operators import ledger, rows, smoothing
 from larder.operators.policy import Scenario
 
 EPOCH = dt.date(1970, 1, 1)
 DAY_MS = 86_400_000
-_STATE = "last_day int, days array<int>, waiting array<double>, numbers array<double>"
+_STATE = "last_day int, days array<int>, waiting array<double>, numbers array<double>, latest array<double>"
+
+
+def _content(values: list[float]) -> list[tuple]:
+    """What rows of one day are ordered by: column by column, missing first."""
+    return [(not np.isnan(v), 0.0 if np.isnan(v) else v) for v in values]
 
 
 def in_day_order(daily: DataFrame, columns: list[str], step: Callable[[list[float], dt.date, list[float]], tuple],
-                 start: list[float], schema: str, delay: str = "2 days") -> DataFrame:
+                 start: list[float], schema: str, delay: str = "2 days", carried: int = 0) -> DataFrame:
     """Apply ``step(numbers, date, values) -> (numbers, output row or None)`` to each series' days in order.
 
     ``daily`` is a stream with ``series_id, date`` and ``columns``; ``numbers`` is
     the state of one series, ``start`` its first value.  Missing values arrive as NaN.
+
+    A calendar day without a row, between two that have one, is a step of its own: all values are missing, but the last
+    ``carried`` columns keep the values of the day before.  It is emitted with the next row of its series, as only that
+    row tells a gap from the end of the series.  A gap of more than ``rows.MAX_GAP`` days is not filled: the state
+    goes on with the next row.
     """
     width = len(columns)
     names = [f.split()[0] for f in schema.split(", ")]
 
     def handle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, days, waiting, numbers = state.get if state.exists else (-10**9, [], [], list(start))
+        last, days, waiting, numbers, latest = state.get if state.exists else (None, [], [], list(start), [])
         waits = {d: list(waiting[i * width:(i + 1) * width]) for i, d in enumerate(days)}
         if not state.hasTimedOut:
             for pdf in batches:
                 for row in pdf.itertuples(index=False):
-                    if row.day > last:
-                        waits.setdefault(row.day, [float(v) if v is not None else float("nan") for v in row[2:]])
+                    if last is None or row.day > last:
+                        new = [float(v) if v is not None else float("nan") for v in row[2:]]
+                        old = waits.get(row.day)
+                        waits[row.day] = new if old is None else min(old, new, key=_content)
         passed = state.getCurrentWatermarkMs() // DAY_MS
         out = []
-        numbers = list(numbers)
-        for day in sorted(d for d in waits if d < passed):
-            date = EPOCH + dt.timedelta(days=int(day))
-            numbers, result = step(numbers, date, waits.pop(day))
-            last = int(day)
-            if result is not None:
-                out.append((key[0], date, *result))
+        numbers, latest = list(numbers), list(latest)
+        for known in sorted(d for d in waits if d < passed):
+            gap = last is not None and known - last <= rows.MAX_GAP
+            for day in range(last + 1 if gap else known, known + 1):
+                latest = waits.pop(day) if day == known else [float("nan")] * (width - carried) + latest[width - carried:]
+                date = EPOCH + dt.timedelta(days=int(day))
+                numbers, result = step(numbers, date, latest)
+                if result is not None:
+                    out.append((key[0], date, *result))
+            last = int(known)
         left = sorted(waits)
-        state.update((int(last), [int(d) for d in left], [float(v) for d in left for v in waits[d]],
-                      [float(v) for v in numbers]))
+        state.update((None if last is None else int(last), [int(d) for d in left],
+                      [float(v) for d in left for v in waits[d]], [float(v) for v in numbers], [float(v) for v in latest]))
         if left:
             state.setTimeoutTimestamp(max((int(left[0]) + 1) * DAY_MS, state.getCurrentWatermarkMs() + 1))
         if out:
@@ -99,7 +116,7 @@ def holt_winters(daily: DataFrame, weights: DataFrame, delay: str = "2 days") ->
 
     ``weights`` is the versioned table of ``smoothing.holt_winters_weights``; it is
     joined to the stream by series and validity, so a new version takes over on its
-    first day.  Days without a version learn with the first weights of the grid and
+    first day (if that day has no row, with the next row).  Days without a version learn with the first weights of the grid and
     emit nothing.  State: the first two weeks, then level, trend and season.
     """
     joined = daily.join(weights.select("series_id", "valid_from", "valid_to", "alpha", "beta", "gamma"), [
@@ -133,7 +150,7 @@ def holt_winters(daily: DataFrame, weights: DataFrame, delay: str = "2 days") ->
         row = None if np.isnan(values[1]) else (float(forecast[0, 0]), _number(y))
         return _packed(t + 1, state), row
 
-    return in_day_order(joined, ["y", "alpha", "beta", "gamma"], step, [0.0], FORECAST_SCHEMA, delay)
+    return in_day_order(joined, ["y", "alpha", "beta", "gamma"], step, [0.0], FORECAST_SCHEMA, delay, carried=3)
 
 
 def _packed(t: int, state: dict) -> list[float]:
@@ -167,4 +184,4 @@ def stock_ledger(daily: DataFrame, scenario: Scenario = Scenario(), delay: str =
         return packed, tuple(float(row[c][0]) for c in ledger.LEDGER_NUMBERS)
 
     return in_day_order(daily, ["demand", "forecast", "mean_daily", "sigma_interval"], step, [],
-                        STREAM_LEDGER_SCHEMA, delay)
+                        STREAM_LEDGER_SCHEMA, delay, carried=3)

@@ -189,7 +189,7 @@ def stream_daily_demand(spark, sf):
     rolled = feed.daily_demand(stream, F.col("event_type"), {
         "units_used": F.count(F.lit(1)).cast("double"),
         "units_requested": F.count_if(F.col("value") > 50).cast("double")})
-    return emit(feed.run_to_end(rolled, "daily", closing))
+    return emit(feed.run_to_end(rolled, "daily", closing, one_batch=True))
 
 
 def _as_stream(table, label):
@@ -203,7 +203,17 @@ def _as_stream(table, label):
 def stream_forecast(spark, sf):
     daily = feature_table(spark, sf).select("series_id", "date", "y")
     stream, closing = _as_stream(daily, "feed")
-    return emit(feed.run_to_end(stateful.seasonal_naive(stream), "stream-forecast", closing))
+    return emit(feed.run_to_end(stateful.seasonal_naive(stream), "stream-forecast", closing, one_batch=True))
+
+
+def stream_forecast_gaps(spark, sf):
+    """The same on a feed as it may arrive: days without a row, days with two that differ, in any order."""
+    daily = feature_table(spark, sf).select("series_id", "date", "y")
+    day = F.dayofmonth("date")
+    kept = daily.filter(~(day.between(4, 6) | ((day == 20) & (F.month("date") % 2 == 0))))
+    again = kept.filter(day.isin(8, 9)).withColumn("y", F.when(day == 8, F.col("y") + 5).otherwise(F.col("y") - 3))
+    stream, closing = _as_stream(kept.unionByName(again).repartition(8, "y"), "feed")
+    return emit(feed.run_to_end(stateful.seasonal_naive(stream), "stream-gaps", closing, one_batch=True))
 
 
 def stream_refit_cadence(spark, sf):
@@ -211,14 +221,14 @@ def stream_refit_cadence(spark, sf):
     weights = stored(smoothing.holt_winters_weights(feats, split), "weights")
     daily = feats.select("series_id", "date", "y")
     stream, closing = _as_stream(daily, "feed")
-    return emit(feed.run_to_end(stateful.holt_winters(stream, weights), "stream-smoothing", closing))
+    return emit(feed.run_to_end(stateful.holt_winters(stream, weights), "stream-smoothing", closing, one_batch=True))
 
 
 def stream_stock_ledger(spark, sf):
     inputs = policy_input(spark, sf)
     sigma = policy.interval_error_std(inputs, policy.Scenario().horizon)
     stream, closing = _as_stream(inputs.join(sigma, "series_id", "left"), "feed")
-    return emit(feed.run_to_end(stateful.stock_ledger(stream), "stream-ledger", closing))
+    return emit(feed.run_to_end(stateful.stock_ledger(stream), "stream-ledger", closing, one_batch=True))
 
 
 QUERIES = {f.__name__: f for f in [
@@ -226,7 +236,7 @@ QUERIES = {f.__name__: f for f in [
     fc_theta, scale_features, scale_fold_features,
     forecast_all, model_selection, sample_params, grid_params, tune_arx,
     tune_holt_winters, tune_theta, adopt_rule, tuning_report, tuned_selection, leak_check, driver_coefficients,
-    driver_importance, replenish_orders, replenish_drivers, stream_daily_demand, stream_forecast, stream_refit_cadence, stream_stock_ledger,
+    driver_importance, replenish_orders, replenish_drivers, stream_daily_demand, stream_forecast, stream_forecast_gaps, stream_refit_cadence, stream_stock_ledger,
 ]}
 QUERIES.update({
     "fc_random_forest": _tree(trees.FOREST), "fc_gbt": _tree(trees.GBT), "fc_gbt_leafwise": _tree(trees.GBT_LEAFWISE),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from registry import oracle_stock  # noqa: F401  (defines the score and ledger tables used here)
-from registry.sql import CTES, FEATURES, KEYS, MATERIALIZED, RECURSIVE, query, r, rounded
+from registry.sql import CTES, FEATURES, KEYS, MATERIALIZED, RECURSIVE, W, query, r, rounded
 
 CTES["hw_start"] = f"""
 SELECT series_id, avg(v) FILTER (WHERE t < 7) AS level,
@@ -32,6 +32,9 @@ ORDERS = ["(1,1,1)x(1,0,1,7)", "(0,1,1)x(0,0,1,7)", "(1,1,0)x(1,0,0,7)", "(2,1,1
 OPTIONS = ", ".join([f"('holt_winters', '{n}', {m})" for n, m in VARIANTS] + [f"('theta', '{n}', FALSE)" for n in THETAS]
                     + [f"('arx', '{n}', FALSE)" for n in ORDERS])
 
+CTES["gap_feed"] = """
+SELECT series_id, date, y FROM feats WHERE NOT (day(date) BETWEEN 4 AND 6 OR (day(date) = 20 AND month(date) % 2 = 0))"""
+
 SQL = {
     "fc_holt_winters": query(
         f"SELECT series_id, CAST(date AS VARCHAR) AS date, 'holt_winters' AS model, {rounded(['forecast'])}, {r('y', 'actual')} "
@@ -51,6 +54,11 @@ SELECT event_type AS series_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, CAST(
 FROM events GROUP BY 1, 2"""),
     "stream_forecast": query(f"""
 SELECT {KEYS}, {r('lag_7', 'forecast')}, {r('y', 'actual')} FROM feats"""),
+    "stream_forecast_gaps": query(f"""
+SELECT {KEYS}, {r('lag(y, 7) OVER (' + W + ')', 'forecast')}, {r('y', 'actual')} FROM (
+  SELECT d.series_id, d.date, least(y, CASE WHEN day(d.date) = 9 THEN y - 3 END) AS y FROM (
+    SELECT series_id, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM gap_feed GROUP BY 1) d
+  LEFT JOIN gap_feed g ON g.series_id = d.series_id AND g.date = d.date)"""),
     "stream_stock_ledger": query(f"""
 SELECT {KEYS}, {rounded(['demand', 'ordered', 'arrived_short', 'arrived_long', 'expired_short', 'expired_long', 'courier',
                          'served', 'short', 'onhand_short', 'onhand_long'])} FROM p_book"""),

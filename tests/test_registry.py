@@ -13,7 +13,7 @@ CHECKED = [
     "daily_source", "conflicting_dates", "dup_removed", "dedup_daily", "calendar_complete", "negatives_to_null",
     "null_run_length", "interpolate_short", "clean_dirty_daily", "cleaning_report", "federal_holidays",
     "seasonal_trend_strength", "build_features", "scale_train", "rolling_origin", "backtest_rejects",
-    "score_table", "avg_trimmed", "winner_on_validation", "order_up_to", "expiry_first_issue", "stock_ledger", "mix_sweep",
+    "score_table", "avg_trimmed", "winner_on_validation", "order_up_to", "order_on_winner", "calendar_rejects", "stream_forecast_gaps", "expiry_first_issue", "stock_ledger", "mix_sweep",
     "policy_comparison", "top_drivers", "fc_holt_winters", "stream_daily_demand", "stream_stock_ledger",
 ]
 
