@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from larder.functions.columns import half_even
 from larder.functions.windows import by_day
 from larder.operators.splits import SEASON
-from larder.session import stored
+from larder.session import stored_by
 
 # Sums of doubles depend on the order rows arrive in; scores are ranked to this many places,
 # so that equal forecasts tie.
@@ -95,11 +95,11 @@ def average(forecasts: DataFrame, members: DataFrame, name: str = ENSEMBLE) -> D
 
     A day for which a member has no forecast, or no row, gets none.
     """
-    sized = members.select("series_id", "model", F.count(F.lit(1)).over(Window.partitionBy("series_id")).alias("_members"))
-    mean = F.when(F.count("forecast") == F.max("_members"), F.avg("forecast"))
+    of_series = members.groupBy("series_id").agg(F.collect_list("model").alias("_members"))  # as long as the registry
+    mean = F.when(F.count("forecast") == F.max(F.size("_members")), F.avg("forecast"))
     common = {"common": F.bool_or("common")} if "common" in forecasts.columns else {}
     return (
-        forecasts.join(sized, ["series_id", "model"])
+        forecasts.join(of_series, "series_id").filter(F.array_contains("_members", F.col("model")))
         .groupBy("series_id", "date").agg(mean.alias("forecast"), F.max("actual").alias("actual"), *[c.alias(n) for n, c in common.items()])
         .select("series_id", "date", F.lit(name).alias("model"), "forecast", "actual", *common)
     )
@@ -110,10 +110,12 @@ def with_ensemble(forecasts: DataFrame, scale: DataFrame, members: DataFrame | N
 
     The marked forecasts are written once, as scores, members and ensemble all read them.
     """
-    marked = stored(on_common_days(forecasts), "forecasts")
-    members = members if members is not None else trimmed_members(score(marked, scale))
-    everything = marked.unionByName(average(marked, members), allowMissingColumns=True)
-    return everything, score(everything, scale), members
+    marked = stored_by(on_common_days(forecasts), "forecasts")
+    scores = score(marked, scale)
+    members = members if members is not None else trimmed_members(scores)
+    ensemble = average(marked, members)
+    # scored apart, each where its rows lie: a union of rows would be exchanged again
+    return marked.unionByName(ensemble, allowMissingColumns=True), scores.unionByName(score(ensemble, scale)), members
 
 
 def winner(scores: DataFrame, registry: list[str]) -> DataFrame:
@@ -134,7 +136,7 @@ def score_table(scores: DataFrame, registry: list[str]) -> DataFrame:
 def forecast_vs_actual(forecasts: DataFrame, winners: DataFrame) -> DataFrame:
     """The winner's forecast beside the actual."""
     return (
-        forecasts.join(winners.select("series_id", F.col("winner").alias("model")), ["series_id", "model"])
+        forecasts.join(winners.select("series_id", "winner"), "series_id").filter(F.col("model") == F.col("winner"))
         .select("series_id", "date", "model", "actual", "forecast")
     )
 
@@ -146,14 +148,18 @@ def select_on_validation(val_forecasts: DataFrame, val_scale: DataFrame, test_fo
     Returns ``series_id, model, val_mase, test_mase, test_mae, is_member, is_winner``.
     """
     _, val_all, members = with_ensemble(val_forecasts, val_scale)
-    members = stored(members, "members")
+    members = stored_by(members, "members")
     _, test_all, _ = with_ensemble(test_forecasts, test_scale, members)
+    # lists of a series' models, as long as the registry: every join is on the series alone, where the rows lie
+    judged = val_all.groupBy("series_id").agg(F.collect_list(F.struct("model", "mase")).alias("_val"))
+    chosen = members.groupBy("series_id").agg(F.collect_list("model").alias("_members"))
+    own = F.filter("_val", lambda v: v["model"] == F.col("model"))
     return (
         test_all.select("series_id", "model", F.col("mase").alias("test_mase"), F.col("mae").alias("test_mae"))
-        .join(val_all.select("series_id", "model", F.col("mase").alias("val_mase")), ["series_id", "model"])
-        .join(members.withColumn("is_member", F.lit(1)), ["series_id", "model"], "left")
+        .join(judged, "series_id").filter(F.size(own) > 0)
+        .join(chosen, "series_id", "left")
         .join(winner(val_all, registry).select("series_id", "winner"), "series_id")
-        .select("series_id", "model", "val_mase", "test_mase", "test_mae",
-                F.coalesce("is_member", F.lit(0)).alias("is_member"),
+        .select("series_id", "model", own[0]["mase"].alias("val_mase"), "test_mase", "test_mae",
+                F.coalesce(F.array_contains("_members", F.col("model")), F.lit(False)).cast("int").alias("is_member"),
                 (F.col("model") == F.col("winner")).cast("int").alias("is_winner"))
     )

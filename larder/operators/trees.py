@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from larder.operators.features import FEATURES, LAG_FEATURES, ROLL_FEATURES
 from larder.operators.splits import WARMUP, fold_number, test_rows, training_rows
-from larder.session import stored
+from larder.session import stored_by
 
 SEED = 42
 # Fits submitted to the cluster at the same time.
@@ -76,8 +76,8 @@ def training_table(split_features: DataFrame) -> DataFrame:
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="vec", handleInvalid="keep").transform(scaled)
     whole = " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in FEATURES)
     known = vectors.withColumn("vec", F.when(F.expr(whole), F.col("vec")))
-    return stored(known.select("series_id", "date", "t", "n", "t0", "y", "scale",
-                               (F.col("y") / F.col("scale")).alias("label"), "vec"), "training")
+    return stored_by(known.select("series_id", "date", "t", "n", "t0", "y", "scale",
+                                  (F.col("y") / F.col("scale")).alias("label"), "vec"), "training")
 
 
 def learnable(table: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def fit_all(table: DataFrame, jobs: list[tuple[TreeModel, int]], refit_every: in
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
         fitted = list(pool.map(one, jobs))
     parts = [_forecasts(table, m, f, refit_every, x) for (m, f), x in zip(jobs, fitted, strict=True)]
-    return stored(reduce(lambda a, b: a.unionByName(b), parts), "tree-forecasts")
+    return stored_by(reduce(lambda a, b: a.unionByName(b), parts), "tree-forecasts")
 
 
 def tree_forecasts(table: DataFrame, models: list[TreeModel], refit_every: int, folds: int) -> DataFrame:

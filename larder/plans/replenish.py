@@ -11,7 +11,7 @@ from larder.operators import elastic, policy, splits, trees
 from larder.operators.features import build_features
 from larder.plans.cleaning import clean_marked, cleaning_report
 from larder.plans.selection import Settings, model_selection
-from larder.session import stored
+from larder.session import stored_by
 
 
 def whole_history(features: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def explain_winners(features: DataFrame, winners: DataFrame, s: Settings | None
     names of winners only, at most as many as the registry holds.
     """
     s = s or Settings()
-    table = stored(whole_history(features), "history")
+    table = stored_by(whole_history(features), "history")
     own = {m.name: m for m in (s.gbt, s.forest, s.gbt_leafwise)}
     won = {r["winner"] for r in winners.select("winner").distinct().collect()}
     parts = [trees.importances(table, own[name]).withColumn("explained_by", F.lit(name)) for name in sorted(won & set(own))]
@@ -54,11 +54,11 @@ def replenish(raw: DataFrame, test_days: int = 168, s: Settings | None = None,
     of the back-test window, on the winner's forecast) and, unless ``explain`` is off, ``drivers``.  The clean and the
     feature table and the winner's forecasts are written once; every later step reads them.
     """
-    marked = stored(clean_marked(raw, **cleaning), "marked")
-    features = stored(build_features(marked), "features")
+    marked = stored_by(clean_marked(raw, **cleaning), "marked")
+    features = stored_by(build_features(marked), "features")
     found = model_selection(features, test_days, s)
-    chosen = stored(found["chosen"], "chosen")
-    winners = stored(found["winner"], "winner")
+    chosen = stored_by(found["chosen"], "chosen")
+    winners = stored_by(found["winner"], "winner")
     out = {"clean": marked, "report": cleaning_report(marked), **found, "chosen": chosen, "winner": winners,
            "orders": policy.order_days(policy.chosen_forecast(marked, chosen), policy.stock_position(marked), scenario)}
     if explain:

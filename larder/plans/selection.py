@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.operators import elastic, linear, naive, scoring, smoothing, splits, trees
-from larder.session import stored
+from larder.session import stored_by
 
 Forecaster = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -73,7 +73,7 @@ def forecast_all(features: DataFrame, split: DataFrame, s: Settings | None = Non
 def model_selection(features: DataFrame, test_days: int = 168, s: Settings | None = None) -> dict[str, DataFrame]:
     """Forecasts, scores, members, winner and table over the last ``test_days`` days.
 
-    ``features`` should be a stored table (``session.stored``), as every model reads
+    ``features`` should be a stored table (``session.stored_by``), as every model reads
     it.  Series with too little history are in ``rejects``.  The winner is chosen
     on the block it is reported on; ``plans.tuned`` chooses on a validation block.
     """
@@ -81,7 +81,7 @@ def model_selection(features: DataFrame, test_days: int = 168, s: Settings | Non
     windows = splits.backtest_window(features, test_days)
     split = splits.usable(windows)
     forecasts = forecast_all(features, split, s)
-    scale = scoring.mase_scale(features, split)
+    scale = stored_by(scoring.mase_scale(features, split), "scale")
     everything, scores, members = scoring.with_ensemble(forecasts, scale)
     names = registry_names(s)
     winners = scoring.winner(scores, names)

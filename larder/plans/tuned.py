@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.operators import elastic, linear, naive, scoring, smoothing, splits, trees, tuning
-from larder.session import stored
+from larder.session import stored, stored_by
 
 
 @dataclass
@@ -111,7 +111,7 @@ class Block:
 
 
 def block(features: DataFrame, split: DataFrame) -> Block:
-    return Block(split, stored(scoring.mase_scale(features, split), "scale"), trees.training_table(splits.with_split(features, split)))
+    return Block(split, stored_by(scoring.mase_scale(features, split), "scale"), trees.training_table(splits.with_split(features, split)))
 
 
 def tuned_selection(features: DataFrame, s: TuningSettings | None = None,
@@ -121,7 +121,7 @@ def tuned_selection(features: DataFrame, s: TuningSettings | None = None,
     ``features`` should be a stored table.  ``search`` may give the searches of the tree models if they were made before.
     """
     s = s or TuningSettings()
-    blocks = stored(splits.pct_split(features, s.test_frac, s.val_frac), "blocks")
+    blocks = stored_by(splits.pct_split(features, s.test_frac, s.val_frac), "blocks")
     val, test = splits.validation_split(blocks), splits.test_split(blocks)
     on_val, on_test = block(features, val), block(features, test)
     val_scale, test_scale = on_val.scale, on_test.scale
@@ -159,8 +159,8 @@ def tuned_selection(features: DataFrame, s: TuningSettings | None = None,
     test_parts.append(trees.tree_forecasts(on_test.table, finals, every, trees.folds_of(test, every)))
 
     columns = ["series_id", "date", "model", "forecast", "actual"]
-    val_all = stored(naive.union([p.select(*columns) for p in val_parts]), "val-forecasts")
-    test_all = stored(naive.union([p.select(*columns) for p in test_parts]), "test-forecasts")
+    val_all = stored_by(naive.union([p.select(*columns) for p in val_parts]), "val-forecasts")
+    test_all = stored_by(naive.union([p.select(*columns) for p in test_parts]), "test-forecasts")
     selected = scoring.select_on_validation(val_all, val_scale, test_all, test_scale, REGISTRY)
     return {"selection": selected, "tuning_report": naive.union(reports), "test_forecasts": test_all,
             "split": blocks, "rejects": blocks.filter(F.col("status") == "rejected"),

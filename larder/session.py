@@ -48,11 +48,14 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 _WRITTEN: list[str] = []
+_TABLES: list[str] = []
 
 
 def release(spark: SparkSession) -> None:
     """Delete every table that ``stored`` wrote; for the end of a job, when no result reads them any more."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
     while _WRITTEN:
         path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
         path.getFileSystem(conf).delete(path, True)
@@ -70,12 +73,31 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def wide(spark: SparkSession) -> int:
+    """At least one partition per core, and as many as an exchange makes."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def stored_by(df: DataFrame, label: str, key: str = "series_id", order: tuple[str, ...] = ("date",)) -> DataFrame:
+    """``stored`` in buckets of ``key``, one file each: windows, aggregates and joins on ``key`` read it without an exchange.
+
+    Tables written in one session have equal buckets, so they join where they lie.  A bucket holds whole keys: for
+    keys whose rows are bounded, as the days of a series are.  Rows are sorted by the key and those of ``order`` that exist.
+    """
+    spark = df.sparkSession
+    path, buckets = new_path(spark, label), wide(spark)
+    name = os.path.basename(path).replace("-", "_")
+    _WRITTEN.append(path)
+    _TABLES.append(name)
+    sort = [key, *(c for c in order if c in df.columns)]
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(*sort).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Exchange on ``keys`` into at least one partition per core.
 
     For work whose cost is CPU rather than bytes: the adaptive planner would
     otherwise merge small partitions and run the fits one after another.
     """
-    spark = df.sparkSession
-    wanted = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(wanted, *keys)
+    return df.repartition(wide(df.sparkSession), *keys)

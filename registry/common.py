@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from larder.operators import policy, splits
 from larder.operators.features import build_features
 from larder.plans.cleaning import clean_daily, clean_marked
-from larder.session import stored
+from larder.session import stored_by
 from larder.sources import lineitem
 
 DIRTY = {"date_column": "date_text", "sequence": "ingest_seq"}
@@ -39,10 +39,10 @@ _STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def _once(spark: SparkSession, sf: str, label: str, make) -> DataFrame:
-    """A table written to the shared folder the first time a session asks for it."""
+    """A table of daily rows written to the shared folder, in buckets of series, the first time a session asks for it."""
     key = (spark.sparkContext.applicationId, sf, label)
     if key not in _STORED:
-        _STORED[key] = stored(make(), label)
+        _STORED[key] = stored_by(make(), label)
     return _STORED[key]
 
 

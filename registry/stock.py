@@ -8,6 +8,7 @@ from larder.functions.labels import readable
 from larder.functions.windows import day_number
 from larder.operators import drivers, ledger, naive, policy, scoring, splits
 from larder.schema import stock_columns
+from larder.session import stored_by
 from registry.common import clean_table, daily, emit, feature_table, policy_input, window
 
 STOCK = stock_columns(5)
@@ -66,7 +67,7 @@ def avg_trimmed(spark, sf):
 def _all_scores(spark, sf):
     base = _base(spark, sf)
     split = window(base)
-    return scoring.with_ensemble(_forecasts(base, split), scoring.mase_scale(base, split))[:2]
+    return scoring.with_ensemble(_forecasts(base, split), stored_by(scoring.mase_scale(base, split), "scale"))[:2]
 
 
 def score_gaps(spark, sf):
@@ -99,7 +100,7 @@ def winner_on_validation(spark, sf):
     long = naive_forecasts(base)
     parts = {}
     for name, split in (("val", splits.validation_split(blocks)), ("test", splits.test_split(blocks))):
-        parts[name] = naive.in_test_block(long, split).select(*naive.LONG), scoring.mase_scale(base, split)
+        parts[name] = naive.in_test_block(long, split).select(*naive.LONG), stored_by(scoring.mase_scale(base, split), "scale")
     return emit(scoring.select_on_validation(*parts["val"], *parts["test"], REGISTRY))
 
 
