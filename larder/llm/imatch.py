@@ -16,16 +16,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from larder.llm.common import row_keys, stored
 
 SUBSETS, RETAIN = 64, 32
 #: Band of document frequencies: at least so many documents, at most this share of them.
 LEAST_DOCS, MOST_SHARE = 1, 0.1
-#: Rows of a range of ids, on average.
-RANGE = 4096
-#: Most ranges whose first rows are broadcast; beyond it, a merge join finds them.
-MOST_SENT = 100_000
+#: Rows of a range of ids, on average, while there are no more than ``MOST_RANGES`` (and as many of null ids): their cuts and
+#: first rows are sent to all tasks, some 50 bytes each.
+RANGE, MOST_RANGES = 4096, 65_536
 _BLANK = r"[\x20\x09-\x0D]+"
 
 
@@ -65,17 +65,48 @@ def counts(docs: DataFrame, text: str) -> DataFrame:
     return each.groupBy("h").agg(F.count("*").alias("df"))
 
 
+def _among(cuts: list[int], holds) -> Column:
+    """How many of the sorted ``cuts`` satisfy ``holds``, which is true up to some cut: a look at the first of each group, then at one group."""
+    size = max(1, int(len(cuts) ** 0.5))
+    groups = [cuts[a:a + size] for a in range(0, len(cuts), size)]
+    before = F.size(F.filter(F.lit([g[0] for g in groups]), holds))  # groups that begin where it holds
+    inside = F.transform(F.array(before), lambda g: F.size(F.filter(F.element_at(F.lit(groups), F.greatest(g, F.lit(1))), holds)))[0]
+    return F.when(before == 0, F.lit(0)).otherwise((before - 1) * size + inside)
+
+
+def _range(rows: DataFrame) -> Column:
+    """Number of a row's range in the order (id, k1), null ids first: ranges lie between quantiles of the ids, so they hold alike many rows.
+
+    An id that holds several quantiles, and null ids, are divided by ``k1``; only rows equal in id and text stay together.
+    """
+    total, nulls = rows.agg(F.count("*"), F.count_if(F.col("id").isNull())).first()
+    wanted, of_null = (min(MOST_RANGES, max(1, -(-n // RANGE))) for n in (total - nulls, nulls))
+    share = F.col("k1") / F.lit(float(2 ** 64)) + 0.5
+
+    def piece(count: Column) -> Column:
+        return F.least(F.floor(share * count), count - 1)
+    cuts = []
+    if wanted > 1:
+        at = [i / wanted for i in range(1, wanted)]
+        cuts = sorted(rows.agg(F.percentile_approx("id", at, 4 * wanted)).first()[0] or [])
+    known = F.lit(0)
+    if cuts:
+        below, upto = _among(cuts, lambda c: c < F.col("id")), _among(cuts, lambda c: c <= F.col("id"))
+        own = upto - below
+        known = below + F.least(own, F.lit(1)) + piece(F.greatest(own, F.lit(1)))
+    return F.when(F.col("id").isNull(), piece(F.lit(of_null)) - of_null).otherwise(known).cast("long")
+
+
 def with_next(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """(id, t, pos, next_t, next_pos): each document with the next by id (null first, ties by content), the first after the last.
 
-    ``pos`` is a number of the row.
+    ``pos`` is a number of the row.  Ids are whole numbers of any size (``ValueError`` for other types), null or repeated.
     """
+    if not isinstance(docs.schema[doc_id].dataType, IntegralType):
+        raise ValueError(f"{doc_id} must hold whole numbers")
     keys = row_keys(doc_id, text)
-    rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"), *keys)
-    low, high, total = rows.agg(F.min("id"), F.max("id"), F.count("*")).first()
-    ranges = max(1, -(-total // RANGE))
-    width = max(1.0, ((high or 0) - (low or 0) + 1) / ranges)
-    rows = rows.withColumn("part", F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.floor((F.col("id") - F.lit(low or 0)) / F.lit(width))).cast("long"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"), *keys)
+    rows = rows.withColumn("part", _range(rows))
     order = ["id", "k1", "k2"]  # ascending with null first
     least = F.struct(F.col("id").isNotNull().alias("a"), F.coalesce("id", F.lit(0)).alias("b"), "k1", "k2")
     firsts = rows.groupBy("part").agg(F.min(least).alias("x"))
@@ -83,8 +114,7 @@ def with_next(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     firsts = firsts.withColumn("to", F.coalesce(F.lag("part").over(by_part), F.max("part").over(
         by_part.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))).select(
             F.col("part").alias("p"), F.col("x.k1").alias("f1"), F.col("x.k2").alias("f2"), "to")
-    # a row of some 50 bytes a range: sent to all tasks while that stays below 10 MB, so that no text moves for it
-    firsts = firsts.hint("broadcast" if ranges <= MOST_SENT else "merge")
+    firsts = F.broadcast(firsts)  # at most 2 * MOST_RANGES rows, so that no text moves for it
     guests = rows.join(firsts, (rows.part == firsts.p) & (rows.k1 == firsts.f1) & (rows.k2 == firsts.f2)).dropDuplicates(["p"])
     both = rows.select(*order, "t", "part", F.lit(0).alias("guest"), F.lit(0).cast("long").alias("own")).unionByName(
         guests.select(*order, "t", F.col("to").alias("part"), F.lit(1).alias("guest"), F.col("p").alias("own")))
@@ -120,7 +150,8 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     The edited text has its last half of code points (rounded down) replaced by as many of the next document's first, or all it has.
     A fingerprint is four hexadecimal digits for each subset; the likeness is of 0 to 1, and 1 for equal texts.  A null text
-    counts as empty; a text without terms in the band has a hash of the whole text instead.  Ids may be null or repeat; the next
+    counts as empty; a text without terms in the band has a hash of the whole text instead.  Ids are whole numbers
+    (``ValueError`` for other types) and may be null or repeat; the next
     document of the last is the first, of a single one itself.
     """
     total = docs.count()

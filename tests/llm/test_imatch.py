@@ -5,7 +5,9 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from larder.llm import imatch
 from larder.llm.queries import QUERIES
@@ -94,3 +96,42 @@ def test_repetitive_text_keeps_its_terms(spark):
     got = sorted(map(tuple, imatch.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
     assert got == expected(rows)
     assert got[0][3].count("0000") < 60 and got[0][6] > 0.7
+
+
+def test_ranges_hold_alike_many_rows(spark, monkeypatch):
+    """Ids close together with one far off, at both ends of 64 bits, one id with a third of the rows, many null."""
+    monkeypatch.setattr(imatch, "RANGE", 20)
+    ids = [*range(200), 2**63 - 1, -2**63, *[77] * 200, *[None] * 200]
+    docs = spark.createDataFrame([(d, f"text {i}") for i, d in enumerate(ids)], "doc_id long, text string")
+    rows = docs.select(F.col("doc_id").alias("id"), *imatch.row_keys("doc_id", "text"))
+    parted = rows.withColumn("part", imatch._range(rows)).collect()
+    sizes = Counter(r.part for r in parted)
+    assert max(sizes.values()) <= 60 and len(sizes) >= 25
+    key = lambda r: (r.id is not None, r.id or 0, r.k1, r.k2)
+    parts = [r.part for r in sorted(parted, key=key)]
+    assert parts == sorted(parts)
+    got = imatch.with_next(docs, "text", "doc_id").collect()
+    of_key = {r.pos: r for r in got}
+    assert len(of_key) == len(ids)
+    first = min(got, key=lambda r: r.pos)
+    seen, at = [], first
+    for _ in ids:
+        seen.append(at.id)
+        assert of_key[at.next_pos].t == at.next_t
+        at = of_key[at.next_pos]
+    assert at == first and seen == sorted(ids, key=lambda d: (d is not None, d or 0))
+
+
+def test_cuts_are_counted(spark):
+    cuts = [1, 3, 3, 3, 8, 9, 9, 20, 21, 22, 40]
+    ids = spark.range(-2, 45)
+    got = ids.select("id", imatch._among(cuts, lambda c: c < F.col("id")).alias("a"), imatch._among(cuts, lambda c: c <= F.col("id")).alias("b")).collect()
+    assert all(r.a == sum(c < r.id for c in cuts) and r.b == sum(c <= r.id for c in cuts) for r in got)
+
+
+def test_other_id_types(spark):
+    docs = spark.createDataFrame([("a", "x")], "doc_id string, text string")
+    with pytest.raises(ValueError, match="whole numbers"):
+        imatch.fingerprints(docs)
+    short = spark.createDataFrame([(1, "x y"), (2, "z")], "doc_id int, text string")
+    assert sorted(map(tuple, imatch.fingerprints(short).collect())) == expected([(1, "x y"), (2, "z")])
