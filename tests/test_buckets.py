@@ -55,6 +55,37 @@ def test_selection_reads_rows_where_they_lie(spark, no_broadcast, features):
     assert exchanges(stock.winner_on_validation(spark, SMALL)) <= 4
 
 
+@pytest.fixture
+def many_partitions(spark):
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "300")
+    yield
+    spark.conf.set(name, before)
+
+
+def test_few_series_make_few_tasks_whatever_the_setting(spark, features, many_partitions, monkeypatch):
+    for name in ("_WRITTEN", "_TABLES"):
+        monkeypatch.setattr(session, name, [])
+    most = 2 * spark.sparkContext.defaultParallelism
+    again = session.stored_by(features, "again")
+    buckets = spark.sql(f"DESCRIBE EXTENDED {session._TABLES[0]}").filter("col_name = 'Num Buckets'").first()["data_type"]
+    assert int(buckets) <= most
+    assert session.spread(features, "series_id").rdd.getNumPartitions() <= most
+    assert again.exceptAll(features).count() == 0 and again.count() == features.count()
+    # the rows written to be counted are gone; only the table is left to release
+    assert len(session._WRITTEN) == 1
+    session.release(spark)
+
+
+def test_partitions_grow_with_the_keys(spark, many_partitions):
+    keys = spark.range(40 * session.KEYS_A_PART).select(F.col("id").cast("string").alias("series_id"))
+    assert session.parts(keys, "series_id") == 64
+    assert session.parts(keys.limit(0), "series_id") == 2 * spark.sparkContext.defaultParallelism
+    many = spark.range(10_000 * session.KEYS_A_PART).select(F.col("id").cast("string").alias("series_id"))
+    assert session.parts(many, "series_id") == 300
+
+
 def test_release_drops_the_tables(spark, monkeypatch):
     for name in ("_WRITTEN", "_TABLES"):
         monkeypatch.setattr(session, name, [])
