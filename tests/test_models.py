@@ -143,6 +143,29 @@ def test_every_day_has_a_forecast_row(spark):
     assert none.count() == 20 and none.filter("forecast IS NOT NULL").isEmpty()
 
 
+def test_fits_read_partitions_by_rows_not_by_files(spark, monkeypatch):
+    rows = spark.range(1000).repartition(90)
+    least = 2 * spark.sparkContext.defaultParallelism
+    assert trees.for_fits(rows, 1000).rdd.getNumPartitions() == least
+    monkeypatch.setattr(trees, "ROWS_A_TASK", 50)
+    assert trees.for_fits(rows, 1000).rdd.getNumPartitions() == 20
+    assert trees.for_fits(rows, 1000).count() == 1000
+
+
+def test_days_without_a_forecast_come_from_one_scan(spark, seasonal, split):
+    table = trees.training_table(splits.with_split(seasonal, split))
+    bare = table.withColumn("vec", F.when(F.col("t") % 2 == 0, F.col("vec")))
+    jobs = [(trees.GBT, f) for f in range(4)] + [(trees.FOREST, f) for f in range(4)]
+    rows = [0, 5, 5, 5]  # nothing to learn from in the first fold
+    found = trees._unknown(bare, jobs, rows, 42)
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    test_days = bare.filter(F.col("t") >= F.col("t0"))
+    first = test_days.filter(F.col("t") < F.col("t0") + 42).count()
+    missing = test_days.filter((F.col("t") >= F.col("t0") + 42) & F.col("vec").isNull()).count()
+    assert found.count() == 2 * (first + missing) == found.distinct().count()
+    assert found.filter("forecast IS NOT NULL").isEmpty()
+
+
 def test_arx_equals_least_squares_on_the_rows(seasonal, split):
     got = linear.arx(seasonal, split, refit_every=400).filter("series_id = 'AF'").orderBy("date").toPandas()
     rows = seasonal.filter("series_id = 'AF'").orderBy("t").toPandas()
