@@ -18,18 +18,22 @@ the scoring of all documents is one pass over whole texts without an exchange.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import lean, stored
+from larder.llm.common import give_back, lean, stored
 
 #: Bounds of the training sample: labelled rows (least by a hash of their id), and terms.
 MAX_ROWS, MAX_TERMS = 10_000, 300
+#: Terms that a task holds while it counts.
+HELD_TERMS = 50_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -125,16 +129,37 @@ def _sample(docs: DataFrame, labels: DataFrame, label: str, text: str, doc_id: s
     return first.select("__id", "__text", "y")
 
 
+def _counted(sample: DataFrame) -> DataFrame:
+    """(y, term, n): the number of texts with a label that hold a term; a pair comes more than once, so that a task holds few.
+
+    Terms are counted where they are found.  Arrays of them would be held for a whole batch, and Spark asks for a column once more
+    in the filter that it puts below its explode: a second worker for each task.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([y for y, _ in held], pa.float64()), pa.array([t for _, t in held], pa.string()),
+                                              pa.array(held.values(), pa.int64())], ["y", "term", "n"])
+            held.clear()
+            return out
+        for batch in batches:
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held.update((y, t) for t in terms(text.as_py()))
+                if len(held) >= HELD_TERMS:
+                    yield flush()
+        if held:
+            yield flush()
+        give_back()
+    return sample.select("y", "__text").mapInArrow(count, "y double, term string, n long")
+
+
 def _vocabulary(sample: DataFrame, max_terms: int) -> list[str]:
     """The terms that tell most about the label, strongest sign of toxic first, counted over the whole sample."""
-    @F.pandas_udf("array<string>")
-    def column(texts: pd.Series) -> pd.Series:
-        return pd.Series([list(terms(t)) for t in texts])
-    rows = sample.select("y", column("__text").alias("terms"))
-    n = {r.y > 0.5: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n = {r.y > 0.5: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = n.get(True, 0), n.get(False, 0)
-    counts = rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(
-        F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).filter("a + b >= 3")
+    counts = _counted(sample).groupBy("term").agg(
+        F.sum(F.col("y") * F.col("n")).alias("a"), F.sum((1 - F.col("y")) * F.col("n")).alias("b")).filter("a + b >= 3")
     a, b = (F.col("a") + 0.5) / (toxic + 1), (F.col("b") + 0.5) / (clean + 1)
     evidence = (a - b) * F.log(a / b)
     ranked = counts.select("term", evidence.alias("evidence"), F.log(a / b).alias("odds"))
@@ -184,6 +209,7 @@ def score(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
             values = texts.tolist()
             parts = [model.predict(values[a:a + 512]) for a in range(0, len(values), 512)]
             yield pd.Series([row for p in parts for row in p], dtype=object)
+        give_back()
     base = docs.drop(*names, "is_toxic", "__p").withColumn("__p", column(F.col(text)))
     return base.withColumns({n: F.col("__p")[i] for i, n in enumerate(names)}).withColumn(
         "is_toxic", F.col(names[-1]) > chain.threshold).drop("__p")

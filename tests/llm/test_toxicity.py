@@ -1,3 +1,6 @@
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -62,3 +65,31 @@ def test_no_toxic_labels(spark, kept):
     docs = spark.createDataFrame([(1, "a b c"), (2, "d e f")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0), (2, None)], "doc_id long, toxic int").filter(kept)
     assert toxicity.not_toxic(docs, toxicity.train(docs, labels)).count() == 2
+
+
+def test_one_worker_a_task(spark, monkeypatch):
+    """No job of training, nor the scoring, sends its rows through Python twice, which takes two workers for each task."""
+    plans = []
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    frame = type(spark.range(1))
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda df: plans.append(plan(df)) or collect(df))
+    docs = spark.createDataFrame([(i, "you idiot fool here" if i % 4 == 0 else "a calm line here") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)], "doc_id long, toxic int")
+    chain = toxicity.train(docs, labels)
+    nodes = [len(re.findall(r"EvalPython|MapInArrow|MapInPandas", p)) for p in [*plans, plan(toxicity.not_toxic(docs, chain)), plan(toxicity.score(docs, chain))]]
+    assert max(nodes) == 1 and sum(nodes) == 4
+
+
+def test_terms_are_counted_whole(spark, monkeypatch):
+    """Counts of a term by label are those of a plain count, however few terms a task may hold."""
+    rows = [(i, " ".join(f"word{chr(97 + (i * j) % 23)}x" for j in range(1, 9)) + " Same same", float(i % 3 == 0)) for i in range(60)]
+    rows += [(60, None, 1.0), (61, "", 0.0), (62, "\u00c4rger \u00e4rger 12 a", 1.0)]
+    want = Counter((y, t) for _, text, y in rows for t in toxicity.terms(text))
+    sample = spark.createDataFrame(rows, "__id long, __text string, y double")
+    for most in (toxicity.HELD_TERMS, 5):
+        monkeypatch.setattr(toxicity, "HELD_TERMS", most)
+        got = Counter()
+        for r in toxicity._counted(sample).collect():
+            got[r.y, r.term] += r.n
+        assert got == want
