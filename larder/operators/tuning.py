@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.operators import linear, smoothing, trees
+from larder.operators import linear, smoothing
 from larder.operators.scoring import RANK_PLACES
 
 # Fixed values: (setting, kind, low, high); integer ranges leave out the high end, "log" is uniform in log10.
@@ -60,8 +60,7 @@ def learner_params(settings: dict) -> dict:
     """Settings as parameters of Spark's tree learners.
 
     The two penalty terms have no counterpart and are dropped; a number of leaves
-    becomes the depth of a full tree with as many; of rounds and trees a share is taken, as in the default settings, and a
-    boosting step grows by as much, up to .5.
+    becomes the depth of a full tree with as many; rounds, trees and steps are taken as drawn.
     """
     renamed = {"learning_rate": "stepSize", "max_depth": "maxDepth", "min_child_weight": "minInstancesPerNode",
                "min_samples_leaf": "minInstancesPerNode", "min_child_samples": "minInstancesPerNode",
@@ -72,10 +71,8 @@ def learner_params(settings: dict) -> dict:
             out["featureSubsetStrategy"] = f"{settings[share]:.4f}"
     if "num_leaves" in settings:
         out["maxDepth"] = max(1, math.ceil(math.log2(settings["num_leaves"])))
-    if "stepSize" in out:
-        out["stepSize"] = min(0.5, out["stepSize"] * 4)
     if "n_estimators" in settings:
-        out["maxIter" if "learning_rate" in settings else "numTrees"] = settings["n_estimators"] // trees.ROUND_SHARE
+        out["maxIter" if "learning_rate" in settings else "numTrees"] = settings["n_estimators"]
     return out
 
 
