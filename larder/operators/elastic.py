@@ -1,14 +1,13 @@
 """Elastic net over all series: ``pyspark.ml.LinearRegression`` on the pooled training table.
 
 Penalty and ratio are chosen by cross-validation on the rows before the test block, then the model is refitted on
-the cadence of the back-test.  The number of fits is that of settings and folds; it does not depend on the number of series.
-All settings of a validation split are scored in one pass over its rows.
+the cadence of the back-test.  Squared errors are sums of products: one pass over the rows reduces every validation split to the
+products of its columns, from which every setting is fitted and scored, whatever the number of settings, rows and series.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,13 +18,15 @@ from pyspark.sql import functions as F
 
 from larder.operators.features import FEATURES
 from larder.operators.splits import WARMUP, with_split
-from larder.operators.trees import PARALLEL_FITS, TreeModel, folds_of, for_fits, learnable, training_table, tree_forecasts
+from larder.operators.trees import TreeModel, folds_of, learnable, training_table, tree_forecasts
 
 # Ratios tried.
 L1_RATIOS = (0.1, 0.3, 0.5, 0.7, 0.9, 0.95, 1.0)
 # Penalties of a falling geometric path and where it ends, as a share of the least penalty that leaves no coefficient.
-N_ALPHAS, ALPHA_SPAN = 5, 1e-3
+N_ALPHAS, ALPHA_SPAN = 100, 1e-3
 CV_SPLITS = 5
+# Coordinate descent ends when no coefficient moves by this share of the label's deviation, or after so many rounds.
+TOLERANCE, MOST_ROUNDS = 1e-7, 5000
 
 
 @dataclass(frozen=True)
@@ -56,29 +57,74 @@ def split_number(past_only: bool) -> Column:
     return F.greatest(F.lit(-1), F.floor((F.col("t") - (F.col("t0") - CV_SPLITS * size)) / size)).cast("int")
 
 
-def _scale(rows: DataFrame) -> tuple[float, float]:
-    """(largest covariance of the label with a standardised column, the label's deviation), population."""
-    x = [F.get("x", F.lit(i)) for i in range(len(FEATURES))]
-    found = rows.select("label", vector_to_array("vec").alias("x")).agg(
-        F.stddev_pop("label").alias("sd"),
-        *[(F.covar_pop(c, "label") / F.nullif(F.stddev_pop(c), F.lit(0.0))).alias(f"c{i}") for i, c in enumerate(x)]).first()
-    return max((abs(v) for v in found[1:] if v is not None), default=0.0), found["sd"] or 0.0
-
-
-def _errors(rows: DataFrame, models: dict[int, list[tuple[np.ndarray, float]]]) -> dict[tuple[int, int], float]:
-    """Mean squared error by (split, number of the model), from one pass over the rows."""
-    matrices = {s: (np.column_stack([c for c, _ in m]), np.array([b for _, b in m])) for s, m in models.items()}
+def _products(rows: DataFrame) -> dict[int, np.ndarray]:
+    """By split the sums of products of ``1, x, label``, columns less their means: one pass for the means, one for the products."""
+    x = vector_to_array("vec")
+    first = rows.agg(*[F.avg(F.get(x, F.lit(i))) for i in range(len(FEATURES))], F.avg("label")).first()
+    if first[-1] is None:
+        return {}
+    means, size = np.array(first), len(FEATURES) + 2
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[int, np.ndarray] = {}
         for pdf in batches:
             for s, part in pdf.groupby("split"):
-                coef, bias = matrices[s]
-                error = np.vstack(part["x"].to_numpy()) @ coef + bias - part["label"].to_numpy()[:, None]
-                yield pd.DataFrame({"split": s, "model": np.arange(len(bias)), "n": len(part), "s": (error ** 2).sum(axis=0)})
-    held = rows.filter(F.col("split").isin(list(models))).select("split", vector_to_array("vec").alias("x"), "label")
-    totals = held.mapInPandas(sums, "split int, model int, n long, s double").groupBy("split", "model").agg(
-        (F.sum("s") / F.sum("n")).alias("mse"))
-    return {(r.split, r.model): r.mse for r in totals.collect()}
+                z = np.column_stack([np.vstack(part["x"].to_numpy()), part["label"].to_numpy()]) - means
+                z = np.column_stack([np.ones(len(z)), z])
+                found[s] = found.get(s, 0.0) + z.T @ z
+        for s, product in found.items():
+            yield pd.DataFrame({"split": s, "at": np.arange(size * size), "s": product.ravel()})
+    totals = rows.select("split", x.alias("x"), "label").mapInPandas(sums, "split int, at int, s double").groupBy("split", "at").agg(F.sum("s").alias("s"))
+    found: dict[int, np.ndarray] = {}
+    for r in totals.collect():  # a number for each split and pair of columns
+        found.setdefault(r["split"], np.zeros(size * size))[r["at"]] = r["s"]
+    return {s: v.reshape(size, size) for s, v in found.items()}
+
+
+def _moments(product: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+    """(means, deviations, correlations, covariances of standard columns with the label, the label's deviation); 0 where nothing varies."""
+    mean = product[0, 1:] / product[0, 0]
+    second = product[1:, 1:] / product[0, 0]
+    cov = second - np.outer(mean, mean)
+    var = np.diag(cov)
+    sd = np.sqrt(np.where(var > 1e-12 * np.diag(second), var, 0.0))
+    inverse = np.divide(1.0, sd, out=np.zeros_like(sd), where=sd > 0)
+    x = inverse[:-1]
+    return mean, sd, cov[:-1, :-1] * np.outer(x, x), cov[:-1, -1] * x * (sd[-1] > 0), float(sd[-1])
+
+
+def _descend(corr: np.ndarray, toward: np.ndarray, absolute: float, square: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Coefficients of standard columns, a problem a row: coordinate descent from ``start``."""
+    b = start.copy()
+    for _ in range(MOST_ROUNDS):
+        before = b.copy()
+        for j in range(b.shape[1]):
+            r = toward[:, j] - np.einsum("ij,ij->i", corr[:, j], b) + corr[:, j, j] * b[:, j]
+            b[:, j] = np.sign(r) * np.maximum(np.abs(r) - absolute, 0.0) / (1.0 + square)
+        if (np.abs(b - before).max(axis=1) <= stop).all():
+            break
+    return b
+
+
+def _errors(trains: list[np.ndarray], helds: list[np.ndarray], largest: float, label_sd: float, ratios: tuple[float, ...],
+            shares: np.ndarray) -> np.ndarray:
+    """Mean squared error by split, ratio and penalty: fits on ``trains``, from the largest penalty down, judged on ``helds``."""
+    moments = [_moments(p) for p in trains]
+    each = [(k, r) for k in range(len(trains)) for r in ratios]
+    mean, sd, corr, toward = (np.array([moments[k][i] for k, _ in each]) for i in range(4))
+    own = np.array([moments[k][4] for k, _ in each])
+    held = np.array([helds[k] / helds[k][0, 0] for k, _ in each])
+    ratio = np.array([r for _, r in each])
+    b, out = np.zeros(toward.shape), []
+    for share in shares:
+        alpha = largest / ratio * share
+        square = np.divide(alpha * (1 - ratio) * label_sd, own, out=np.zeros_like(own), where=own > 0)
+        b = _descend(corr, toward, largest * share, square, b, TOLERANCE * own)
+        plain = np.divide(b, sd[:, :-1], out=np.zeros_like(b), where=sd[:, :-1] > 0)
+        bias = mean[:, -1] - np.einsum("ij,ij->i", mean[:, :-1], plain)
+        rest = np.column_stack([-bias, -plain, np.ones(len(b))])
+        out.append(np.einsum("ij,ijk,ik->i", rest, held, rest))
+    return np.array(out).T.reshape(len(trains), len(ratios), len(shares))
 
 
 def choose(table: DataFrame, past_only: bool = True, n_alphas: int = N_ALPHAS, ratios: tuple[float, ...] = L1_RATIOS,
@@ -89,28 +135,21 @@ def choose(table: DataFrame, past_only: bool = True, n_alphas: int = N_ALPHAS, r
     label does not vary, the penalty is 0 and the settings are empty.
     """
     rows = learnable(table).filter((F.col("t") >= WARMUP) & (F.col("t") < F.col("t0"))).withColumn("split", split_number(past_only))
-    largest, label_sd = _scale(rows)
-    counts = {r.split: r["count"] for r in rows.groupBy("split").count().collect()}
+    products = _products(rows)
+    if not products:
+        return Choice(penalised(0.0, 1.0, 1.0, name), [])
+    *_, toward, label_sd = _moments(sum(products.values()))
+    largest = float(np.abs(toward).max())
 
-    def learned_from(s: int) -> int:
-        return sum(n for k, n in counts.items() if (k < s if past_only else k != s))
-    splits = [s for s in range(CV_SPLITS) if counts.get(s) and learned_from(s) > 1]
+    def learned_from(s: int) -> np.ndarray:
+        return sum((p for k, p in products.items() if (k < s if past_only else k != s)), np.zeros_like(products[s]))
+    splits = [s for s in range(CV_SPLITS) if s in products and learned_from(s)[0, 0] > 1]
     if not largest or not splits:
         return Choice(penalised(0.0, 1.0, 1.0, name), [])
-    rows = for_fits(rows.select("vec", "label", "split"), sum(counts.values())).persist()  # every fit reads it; what is lost is read again from the table
-    settings = [(r, largest / r * a) for r in ratios for a in np.logspace(0, np.log10(ALPHA_SPAN), n_alphas)]
-
-    def fit(job: tuple[int, tuple[float, float]]):
-        s, (ratio, alpha) = job
-        train = rows.filter(F.col("split") < s if past_only else F.col("split") != s).select("vec", "label")
-        fitted = penalised(alpha, ratio, label_sd).estimator().fit(train)
-        return fitted.coefficients.toArray(), fitted.intercept
-    jobs = [(s, setting) for s in splits for setting in settings]
-    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        fitted = list(pool.map(fit, jobs))
-    errors = _errors(rows, {s: [f for (k, _), f in zip(jobs, fitted, strict=True) if k == s] for s in splits})
-    rows.unpersist()
-    mean = [float(np.mean([errors[s, i] for s in splits])) for i in range(len(settings))]
+    shares = np.logspace(0, np.log10(ALPHA_SPAN), n_alphas)
+    settings = [(r, largest / r * a) for r in ratios for a in shares]
+    errors = _errors([learned_from(s) for s in splits], [products[s] for s in splits], largest, label_sd, ratios, shares)
+    mean = [float(v) for v in errors.mean(axis=0).ravel()]
     best = min(range(len(settings)), key=lambda i: (round(mean[i], 12), -settings[i][1]))
     ratio, alpha = settings[best]
     return Choice(penalised(alpha, ratio, label_sd, name),

@@ -333,3 +333,18 @@ def test_one_hot_day_is_reduced_before_the_exchange(spark):
     assert days.count() == 97 and days.agg(F.sum("n_rows")).first()[0] == 20000
     plan = days._jdf.queryExecution().executedPlan().toString()
     assert plan.index("partial_min") > plan.index("Exchange hashpartitioning(series_id")
+
+
+def test_the_whole_path_of_penalties_is_tried(spark):
+    """A hundred penalties for each ratio, each judged as a fit of the learner judges it."""
+    table, _, y = pooled_rows(spark, 660, 600)
+    choice = elastic.choose(table)
+    assert len(choice.settings) == 7 * 100
+    assert selection.Settings().n_alphas == elastic.N_ALPHAS == 100
+    rows = table.withColumn("split", elastic.split_number(True)).filter("t < t0")
+    for ratio, alpha, mse, _ in (choice.settings[0], choice.settings[350], choice.settings[-1]):
+        model, errors = elastic.penalised(alpha, ratio, y[:600].std()).estimator(), []
+        for s in range(5):
+            found = model.fit(rows.filter(F.col("split") < s)).transform(rows.filter(F.col("split") == s))
+            errors.append(found.agg(F.avg((F.col("_pred") - F.col("label")) ** 2)).first()[0])
+        assert mse == pytest.approx(np.mean(errors), rel=1e-4)
