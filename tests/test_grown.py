@@ -7,8 +7,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from larder.operators import features as feat
-from larder.operators import grown, splits, trees
-from larder.plans import replenish
+from larder.operators import grown, splits, trees, tuning
+from larder.plans import replenish, tuned
 
 
 def pooled(spark, n=160, t0=120, seed=3):
@@ -114,3 +114,28 @@ def test_one_row_or_one_value():
     for kind, params in (("boost", {"subsamplingRate": 0.5}), ("forest", {})):
         found, weights = grown.grow(x, np.array([5.0]), later, kind, params, 1)
         assert found == pytest.approx([5.0, 5.0]) and not weights.any()
+
+
+def test_drawn_settings_are_taken_whole():
+    for model in tuning.SPACES:
+        for drawn in tuning.sample_params(model, 40):
+            params = tuning.learner_params(drawn)
+            assert params["numTrees" if model == "random_forest" else "maxIter"] == drawn["n_estimators"] >= 200
+            assert params.get("stepSize") == drawn.get("learning_rate")
+            assert grown.known("forest" if model == "random_forest" else "boost", params)
+
+
+def test_a_search_draws_forty_settings_and_refits_on_the_cadence_of_the_others(spark, monkeypatch):
+    """What the reports and the selection take by default: 40 trials a model, a fold each 14 days."""
+    s, asked = tuned.TuningSettings(), {}
+    assert s.pooled_refit_every == s.refit_every == 14
+
+    def halving(table, default, trials, refit_every, folds, score):
+        asked[default.kind, default.params.get("maxDepth")] = (len(trials), refit_every, folds)
+        return [trees.Trial(default, folds, 1.0)], table
+    monkeypatch.setattr(trees, "halving", halving)
+    table = pooled(spark)
+    split = table.select("series_id", "n", "t0").distinct()
+    for base in s.tree_models:
+        tuned.tune_trees(table, split, table, base, s)
+    assert list(asked.values()) == [(40, 14, 3)] * 3  # 40 days
